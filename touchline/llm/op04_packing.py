@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +36,46 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """Bytes of a word -> its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins text across ASCII white space, so a text's ids are its words' ids in order.
+    The tokenizer never joins text across ASCII white space, so a text's ids are its words' ids in order. Nor does it join an
+    ASCII letter and the full stop or comma that ends a word, so these are learnt apart.
     """
 
+    #: Stands between the new words of one call; words that hold it are encoded alone.
+    MARK = "\u00b6"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        mark = self._encode(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > MEMO_WORDS:
             self.clear()
         new = [w for w in words if w not in self]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, encoded in zip(new, got, strict=True):
-            self[word] = b"".join(i.to_bytes(4, "little") for i in encoded.ids)
+        ended = [w for w in new if w[-1:] in b".," and w[-2:-1].isalpha()]
+        plain = {w[:-1] for w in ended} | {b".", b","} | set(new).difference(ended)
+        plain = [w for w in plain if w not in self]
+        alone = plain if self.mark is None else [w for w in plain if self.MARK.encode() in w]
+        for word in alone:
+            self[word] = self._encode(word.decode("utf-8", "replace")).tobytes()
+        rest = [w for w in plain if w not in self]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            ids = self._encode(f" {self.MARK} ".join(w.decode("utf-8", "replace") for w in some))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, start = ids.tobytes(), 0
+            for word, end in zip(some, ends, strict=True):
+                self[word] = data[4 * start : 4 * end]
+                start = end + 1
+        for word in ended:
+            self[word] = self[word[:-1]] + self[word[-1:]]
 
 
 def _word_ids(path: str) -> WordIds:
