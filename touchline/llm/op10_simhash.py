@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from touchline.llm.common import checkpoint, table, text_bytes
+from touchline.llm.common import checkpoint, row_key, table, text_bytes
 from touchline.llm.components import connected_components
 
 SHINGLE = 3
@@ -57,24 +58,24 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, carry: list[Column] | None = None) -> DataFrame:
+    """doc_id (or the columns ``carry``) and fp (the fingerprint's 64 bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [shingle_hashes(t, size, seed) for t in part.column(1).to_pylist()]
+                found = [shingle_hashes(t, size, seed) for t in part.column(part.num_columns - 1).to_pylist()]
                 out = np.zeros(len(found), np.uint64)
                 full = [i for i, h in enumerate(found) if h]
                 if full:
                     lengths = np.array([len(found[i]) for i in full])
                     flat = np.fromiter((h for i in full for h in found[i]), np.uint64, lengths.sum())
                     out[full] = majority(flat, np.cumsum(lengths) - lengths)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out.view(np.int64))], names=[*part.schema.names[:-1], "fp"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    rows = docs.select(*(carry or [F.col("doc_id")]), text_bytes().alias("__bytes"))
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("fp", LongType()))
 
 
 def bucket_keys(fp: Column) -> Column:
@@ -212,17 +213,33 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS, bucket: int = BU
     return spread.mapInArrow(compare, "a long, b long")
 
 
+def class_roots(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """fp, root: one root for all fingerprints that links join."""
+    classes = prints.select("fp").distinct()
+    roots = connected_components(fingerprint_links(classes, radius, bucket))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
     prints = checkpoint(fingerprints(docs, size, seed))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(fingerprint_links(classes, radius, bucket))
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    joined = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(class_roots(prints, radius, bucket), "fp")
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = joined.join(smallest, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Of each group the document of the smallest doc_id (nulls last, then the smallest text hash), with its columns."""
+    prints = checkpoint(fingerprints(docs, size, seed, carry=row_key()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "text_bytes"))
+    of_class = prints.groupBy("fp").agg(first.alias("first")).join(class_roots(prints, radius, bucket), "fp")
+    chosen = of_class.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.text_bytes").alias("__bytes"))
+    key = row_key()
+    kept = docs.join(chosen, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__hash")) & (key[2] == F.col("__bytes")))
+    return kept.dropDuplicates(["__id", "__hash", "__bytes"]).select(*docs.columns)
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
