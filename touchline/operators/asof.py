@@ -109,7 +109,8 @@ def venue_columns() -> dict[str, tuple[bool, Column]]:
 
 
 def rest_columns(config: AsOfConfig = AsOfConfig()) -> dict[str, tuple[bool, Column]]:
-    days = F.round(F.least((F.col("kickoff") - F.col("seen.last_kickoff")) / DAY, F.lit(config.max_rest_days)), 6)
+    since = (F.col("kickoff") - F.col("seen.last_kickoff")) / DAY
+    days = F.when(since.isNotNull(), F.round(F.least(since, F.lit(config.max_rest_days)), 6))  # least() alone would pass over a null
     return {"home_rest_days": (True, days), "away_rest_days": (False, days)}
 
 

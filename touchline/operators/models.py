@@ -31,6 +31,7 @@ def scaled(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> Data
 
 def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str], c: float = 1.0) -> DataFrame:
     """``test`` with p, from a multinomial logit with an L2 penalty fitted to ``train`` (column target of 0, 1, 2)."""
+    train = train.select("target", *features).persist()  # read for medians, for deviations and by the solver
     fitted = imputation(train, features)
     assemble = VectorAssembler(inputCols=features, outputCol="__x")
     rows = assemble.transform(scaled(train, fitted)).select("__x", F.col("target").cast("double").alias("target")).cache()
@@ -39,9 +40,12 @@ def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str],
         raise ValueError("training rows must have all three outcomes")
     model = LogisticRegression(featuresCol="__x", labelCol="target", family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-8, maxIter=2000, probabilityCol="__p").fit(rows)
     rows.unpersist()
-    out = model.transform(assemble.transform(scaled(test, fitted)))
-    keep = test.columns
-    return test.join(out.select("fixture_id", vector_to_array("__p").alias("p")), "fixture_id").select(*keep, "p")
+    train.unpersist()
+    # The scaled values go under names of their own, so that the test rows keep theirs.
+    renamed = {c: f"__{c}" for c in features}
+    inputs = scaled(test.withColumns({n: F.col(c) for c, n in renamed.items()}), {renamed[c]: v for c, v in fitted.items()})
+    rows = VectorAssembler(inputCols=[*renamed.values()], outputCol="__x").transform(inputs)
+    return model.transform(rows).select(*test.columns, vector_to_array("__p").alias("p"))
 
 
 # ---- goals

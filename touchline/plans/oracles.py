@@ -25,7 +25,7 @@ def _sides(columns: dict[str, tuple[int, str]]) -> str:
 _POINTS = {"home_points_sum_5": (1, "pts"), "away_points_sum_5": (0, "pts")}
 _GOALS = {"home_goals_for_sum_5": (1, "gf"), "home_goals_against_sum_5": (1, "ga"), "away_goals_for_sum_5": (0, "gf"), "away_goals_against_sum_5": (0, "ga")}
 _VENUE = {"home_home_points_sum_5": (1, "pts"), "home_home_goal_diff_sum_5": (1, "gf - ga"), "away_away_points_sum_5": (0, "pts"), "away_away_goal_diff_sum_5": (0, "gf - ga")}
-_REST = "round(least((ko - sko) / 86400E0, 30E0), 6)"
+_REST = "case when sko is not null then round(least((ko - sko) / 86400E0, 30E0), 6) end"
 
 _PRED = """o as (select o_orderkey as key, cast(year(o_orderdate) as int) as season, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as block,
   case o_orderstatus when 'F' then 0 when 'O' then 1 when 'P' then 2 end as y,
@@ -127,5 +127,5 @@ r as (select a.x as lo, b.x as hi, sum(g.s) / sum(g.n) as v from g a join g b on
 m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g.x group by g.x, r.lo) select x, round(max(v), 6) as fitted from m group by x""",
     "kickoff_groups": f"with {_FX}, g as (select ko as kickoff, ko - 86400 as as_of, count(*) as n from fx where fin group by ko) select kickoff, as_of, n, cast(sum(n) over (order by kickoff) as bigint) as end_row, kickoff + 86400 as known_by from g",
     "gate_report": f"with {_SCORED}, r as (select avg(strict) as h, avg(brier) as b, count(*) as n from sc where model_id = 'proportional'), s as (select max(epoch(o_orderdate)) - min(epoch(o_orderdate)) as span from orders) select 'hitRate must be > 0.48' as failure from r where not h > 0.48 union all select 'brier must be < 0.22' from r where not b < 0.22 union all select 'sampleCount must be >= 500' from r where n < 500 union all select 'evaluation coverage must be >= 365 days' from s where span < 31536000",
-    "record_union": f"with {_PRED}, c as (select count(distinct season) as s from m) select 'model' as record_type, 3 as n, 3 as model_count, 0 as with_season, 0 as with_point union all select 'season', 3 * s, 3, 3 * s, 0 from c union all select 'reliability', 30, 3, 0, 0 union all select 'difference', 2, 2, 0, 2",
+    "record_union": f"with {_PRED}, c as (select cast(count(distinct season) as bigint) as s from m) select 'model' as record_type, cast(3 as bigint) as n, cast(3 as bigint) as model_count, cast(0 as bigint) as with_season, cast(0 as bigint) as with_point union all select 'season', 3 * s, 3, 3 * s, 0 from c union all select 'reliability', 30, 3, 0, 0 union all select 'difference', 2, 2, 0, 2",
 }
