@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ MIN_LITERALS = 4
 COVERAGE = 0.5
 RUN = 25
 BROADCAST_WINDOWS = 2_000_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 900_000
+#: Bytes of text whose tokens are handled together.
+RUN_BYTES = 2 << 20
 
 NUMBER = re.compile(r"[+-]?(\d[\d.,:/]*|\d*\.\d+)%?\Z")
 NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%|°[CF]?)\Z")
@@ -39,67 +42,93 @@ NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|%|°[CF]?)\Z")
 NUMBER_WORDS = {"one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million"}
 UNITS = {"mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "mile", "miles", "g", "kg", "lb", "lbs", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees"}
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
+ENDS, CAPITAL, IS_UNIT = 4, 8, 16
+#: Stands for the hash of a number with its unit attached.
+UNIT_CODE = np.uint64(0x5DEECE66D5DEECE6)
+#: Marks that are stripped from words without a look at the rest.
+MARKS = b".,;:!?()[]\"'|&*#"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
+_NUMBERS, _UNITS = {w.encode() for w in NUMBER_WORDS}, {w.encode() for w in UNITS}
+#: Last bytes of a word that ends a sentence, brackets and quotes behind them left aside.
+_STOPS = b".!?:|"
+
 
 class Words(dict):
-    """Raw word -> its number in the tables of traits that grow along."""
+    """Raw word -> its number in the tables of hashes and traits that grow along."""
 
     def __init__(self):
+        from xxhash import xxh64_intdigest
+
         super().__init__()
-        self.forms: list[str] = []
-        self.code, self.kind, self.ends, self.capital, self.is_unit = [], [], [], [], []
+        self.hash = xxh64_intdigest
+        self.raw: list[bytes] = []
+        self.code: list[int] = []
+        self.traits: list[int] = []  # kind, and flags from bit 2 on
 
     def __missing__(self, raw: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        word = raw.decode("utf-8", "replace")
-        keep_sign = NUMBER.match(word.rstrip(".,;:!?)"))
-        bare = keep_sign.group(0) if keep_sign else _EDGE.sub("", word)
-        low = bare.lower()
-        number = bool(NUMBER.match(bare)) or low in NUMBER_WORDS
-        joint = NUMBER_UNIT.match(bare)
-        kind = NUM if number or joint else LITERAL
-        self.forms.append(low)
-        self.code.append(xxh64_intdigest("#unit" if joint and not number else low, 7) if bare else 0)
-        self.kind.append(kind)
-        self.ends.append(word.rstrip("\"')]»”").endswith((".", "!", "?", ":", "|")))
-        self.capital.append(len(bare) > 1 and bare[0].isupper() and bare[1:].islower())
-        self.is_unit.append(low in UNITS)
-        self[raw] = len(self.forms) - 1
+        bare = raw.strip(MARKS)
+        if bare.isalpha():  # ASCII letters alone, as in most words
+            low = bare.lower()
+            kind = NUM if low in _NUMBERS else LITERAL
+            self.code.append(self.hash(low, 7))
+            stop = raw.rstrip(b"\"')]")
+            self.traits.append(kind | ENDS * (stop[-1] in _STOPS) | CAPITAL * (len(bare) > 1 and bare.istitle()) | IS_UNIT * (low in _UNITS))
+        else:
+            self._learn(raw.decode("utf-8", "replace"))
+        self.raw.append(raw)
+        self[raw] = len(self.raw) - 1
         return self[raw]
 
+    def _learn(self, word: str) -> None:
+        bare, low, number, joint = parse(word)
+        ends = word.rstrip("\"')]»”").endswith((".", "!", "?", ":", "|"))
+        capital = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
+        self.code.append(int(UNIT_CODE) if joint and not number else self.hash(low, 7) if bare else 0)
+        self.traits.append((NUM if number or joint else LITERAL) | ENDS * ends | CAPITAL * capital | IS_UNIT * (low in UNITS))
 
-_WORDS = Words()
+    def form(self, number: int) -> str:
+        return parse(self.raw[number].decode("utf-8", "replace"))[1]
 
 
-def templates(text: bytes, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, kind and template hash of each token; tokens of punctuation alone are left out."""
-    raw = text.split()
-    index = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-    code = np.array(words.code, np.uint64)[index] if len(raw) < 64 else _column(words, "code", np.uint64)[index]
-    kind = _column(words, "kind", np.int8)[index].copy()
-    ends, capital = _column(words, "ends", bool)[index], _column(words, "capital", bool)[index]
-    inside = np.append(False, ~ends[:-1])[: len(index)]
-    kind[(kind == LITERAL) & capital & inside] = NAME
-    kept = code != 0
-    index, code, kind = index[kept], code[kept], kind[kept]
-    after_number = np.append(False, kind[:-1] == NUM)[: len(index)]
-    kind[after_number & _column(words, "is_unit", bool)[index]] = UNIT
-    code = np.where(kind == LITERAL, code, np.where((kind == NUM) & (code != _unit_code(words)), np.uint64(11), np.where(kind == NUM, np.uint64(12), np.where(kind == UNIT, np.uint64(13), np.uint64(14)))))
-    return index, kind, code
+def parse(word: str) -> tuple[str, str, bool, bool]:
+    """The word without marks around it, in lower case, whether it is a number, and whether a number with its unit."""
+    stripped = word.strip(MARKS.decode())
+    if stripped.isalpha():
+        return stripped, stripped.lower(), stripped.lower() in NUMBER_WORDS, False
+    signed = NUMBER.match(word.rstrip(".,;:!?)"))
+    bare = signed.group(0) if signed else _EDGE.sub("", word)
+    low = bare.lower()
+    return bare, low, bool(NUMBER.match(bare)) or low in NUMBER_WORDS, bool(NUMBER_UNIT.match(bare))
 
 
-def _unit_code(words: Words) -> np.uint64:
-    from xxhash import xxh64_intdigest
+_WORDS = Words()
 
-    return np.uint64(xxh64_intdigest("#unit", 7))
+
+def templates(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text's number, word number, kind and template hash of each token of all texts; tokens of punctuation alone are left out."""
+    raw = [t.split() for t in texts]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    index = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, lengths.sum())
+    owner = np.repeat(np.arange(len(raw)), lengths)
+    code, traits = _column(words, "code", np.uint64)[index], _column(words, "traits", np.uint8)[index]
+    kind, ends, capital = (traits & 3).astype(np.int8), traits & ENDS > 0, traits & CAPITAL > 0
+    inside = np.append(False, (owner[1:] == owner[:-1]) & ~ends[:-1])[: len(index)]
+    kind[(kind == LITERAL) & capital & inside] = NAME
+    kept = code != 0
+    owner, index, code, kind, traits = owner[kept], index[kept], code[kept], kind[kept], traits[kept]
+    after_number = np.append(False, (owner[1:] == owner[:-1]) & (kind[:-1] == NUM))[: len(index)]
+    kind[after_number & (traits & IS_UNIT > 0)] = UNIT
+    with_unit = (kind == NUM) & (code == UNIT_CODE)
+    code[kind != LITERAL] = (kind[kind != LITERAL] + 10).astype(np.uint64)
+    code[with_unit] = 20
+    return owner, index, kind, code
 
 
 def _column(words: Words, name: str, kind) -> np.ndarray:
     """A trait's table as an array, made anew only when words were added."""
     cache = words.__dict__.setdefault("arrays", {})
-    if name not in cache or len(cache[name]) < len(words.forms):
+    if name not in cache or len(cache[name]) < len(words.raw):
         have = cache.get(name, np.zeros(0, kind))
         cache[name] = np.concatenate([have, np.array(getattr(words, name)[len(have) :], kind)])
     return cache[name]
@@ -123,7 +152,7 @@ def literal_counts(kind: np.ndarray, size: int) -> np.ndarray:
 
 
 def _slots(index: np.ndarray, kind: np.ndarray, at: int, size: int, words: Words) -> list[str]:
-    return [f"{kind[k]}{words.forms[index[k]]}" if kind[k] != LITERAL else "" for k in range(at, at + size)]
+    return [f"{kind[k]}{words.form(index[k])}" if kind[k] != LITERAL else "" for k in range(at, at + size)]
 
 
 def item_windows(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
@@ -134,14 +163,14 @@ def item_windows(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_L
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                index, kind, code = templates(text, words)
+                _, index, kind, code = templates([text], words)
                 own = min(size, len(code))
                 if not own:
                     continue
                 variants = [code]
-                if kind[0] == LITERAL and _column(words, "capital", bool)[index[0]]:
+                if kind[0] == LITERAL and words.traits[index[0]] & CAPITAL:
                     # Behind other text the first word of the item may look like a name.
-                    variants.append(np.concatenate([np.array([14], np.uint64), code[1:]]))
+                    variants.append(np.concatenate([np.array([NAME + 10], np.uint64), code[1:]]))
                 good = np.flatnonzero(literal_counts(kind, own) >= min_literals)
                 for variant in variants:
                     hashes = window_hashes(variant, own)
@@ -171,6 +200,16 @@ class Filter:
         return maybe[self.sorted[at] == hashes[maybe]]
 
 
+def _runs(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have some ``most`` bytes together."""
+    sizes = np.fromiter((len(t) for t in batch.column(column).to_pylist()), np.int64, batch.num_rows)
+    group = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def document_windows(docs: DataFrame, sizes: list[int], wanted: dict[int, np.ndarray] | None, min_literals: int = MIN_LITERALS) -> DataFrame:
     """h, size, doc_at, doc_slots and the row's key for each window; with ``wanted`` only for hashes of the benchmark."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
@@ -179,22 +218,21 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: dict[int, np.nda
         global _WORDS
         filters = {s: Filter(h) for s, h in shared.value.items()} if shared is not None else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in _runs(batch, 3):
                 if len(_WORDS) > MEMO_WORDS:
                     _WORDS = Words()
                 words, rows = _WORDS, []
-                for i, text in enumerate(part.column(3).to_pylist()):
-                    index, kind, code = templates(text, words)
-                    for size in sizes:
-                        hashes = window_hashes(code, size)
-                        if not len(hashes):
-                            continue
-                        at = filters[size](hashes) if filters is not None else np.arange(len(hashes))
-                        if len(at):
-                            # One literal may be taken for a name where a passage begins.
-                            at = at[literal_counts(kind, size)[at] >= min_literals - 1]
-                        rows += [(int(hashes[k].view(np.int64)), size, i, int(k), _slots(index, kind, k, size, words)) for k in at]
+                owner, index, kind, code = templates(part.column(3).to_pylist(), words)
+                starts = np.searchsorted(owner, np.arange(part.num_rows))
+                for size in sizes:
+                    hashes = window_hashes(code, size)
+                    if not len(hashes):
+                        continue
+                    at = filters[size](hashes) if filters is not None else np.arange(len(hashes))
+                    at = at[owner[at] == owner[at + size - 1]]
+                    # One literal may be taken for a name where a passage begins.
+                    at = at[literal_counts(kind, size)[at] >= min_literals - 1]
+                    rows += [(int(hashes[k].view(np.int64)), size, int(owner[k]), int(k - starts[owner[k]]), _slots(index, kind, k, size, words)) for k in at]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 take = pa.array(cols[2], pa.int64())
                 yield pa.RecordBatch.from_arrays(
