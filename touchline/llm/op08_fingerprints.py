@@ -110,17 +110,18 @@ def _pair(doc_id: str, text_hash: str | Column, text_bytes: str | Column, name:
 
 def edited_fingerprints(docs: DataFrame, size: int = SIZE, unit: int = UNIT) -> DataFrame:
     """doc_id, n_chars, edited (the text whose last quarter its successor's beginning replaces), next_id, and the sketches own, of_edited, of_next."""
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("own", sketch(F.col("body"), size, unit))
-    held = held.select(*_pair("doc_id", F.xxhash64("body"), F.octet_length("body").cast("long"), "k"), "doc_id", "body", "own")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    # Both roles of a document, before and behind another, read this one exchange; it stays free of sketches to be the same plan in both.
+    held = held.select(*_pair("doc_id", F.xxhash64("body"), F.octet_length("body").cast("long"), "k"), "doc_id", "body")
     links = successors(docs)
     links = links.select(*_pair(*KEY, "l"), *_pair(*(f"p_{c}" for c in KEY), "p"), "p_n")
     # Of repeated rows one is enough to give its beginning; a rank would need a row limit of its own before the exchange.
     first = F.lag("k1").over(Window.partitionBy("k1", "k2").orderBy("k1")).isNull()
     giver = held.withColumn("first", first).where("first").join(links, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")))
-    given = giver.select("p1", "p2", F.col("doc_id").alias("next_id"), F.expr("substring(body, 1, cast(p_n div 4 as int))").alias("start"), F.col("own").alias("of_next"))
+    given = giver.select("p1", "p2", F.col("doc_id").alias("next_id"), F.expr("substring(body, 1, cast(p_n div 4 as int))").alias("start"), sketch(F.col("body"), size, unit).alias("of_next"))
     met = (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))
     n = F.char_length("body").cast("long")
-    joined = held.join(given, met).select("doc_id", n.alias("n_chars"), F.expr("concat(substring(body, 1, cast(char_length(body) - char_length(body) div 4 as int)), start)").alias("edited"), "own", "next_id", "of_next")
+    joined = held.join(given, met).select("doc_id", n.alias("n_chars"), F.expr("concat(substring(body, 1, cast(char_length(body) - char_length(body) div 4 as int)), start)").alias("edited"), sketch(F.col("body"), size, unit).alias("own"), "next_id", "of_next")
     return joined.withColumn("of_edited", sketch(F.col("edited"), size, unit))
 
 
