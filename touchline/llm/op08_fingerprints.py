@@ -135,6 +135,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("of_edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("of_edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("of_next")).alias("near_next"),
+        "next_id",  # without it the two roles would read different columns, and not one exchange
     )
 
 
