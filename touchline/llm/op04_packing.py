@@ -11,6 +11,8 @@ packed once each. An empty table gives no rows. Columns besides ``doc_id`` and `
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +46,20 @@ class WordIds(dict):
     MARK = "\u00b6"
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.folds = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
         mark = self._encode(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
+    def words(self, text: bytes) -> list[bytes]:
+        """The text's words; where the tokenizer lower-cases anyway, A-Z already are, which leaves fewer words to learn."""
+        return (text.lower() if self.folds else text).split()
+
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -62,13 +70,15 @@ class WordIds(dict):
         ended = [w for w in new if w[-1:] in b".," and w[-2:-1].isalpha()]
         plain = {w[:-1] for w in ended} | {b".", b","} | set(new).difference(ended)
         plain = [w for w in plain if w not in self]
-        alone = plain if self.mark is None else [w for w in plain if self.MARK.encode() in w]
+        mark = self.MARK.encode()
+        alone = plain if self.mark is None else [w for w in plain if mark in w]
         for word in alone:
             self[word] = self._encode(word.decode("utf-8", "replace")).tobytes()
         rest = [w for w in plain if w not in self]
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            ids = self._encode(f" {self.MARK} ".join(w.decode("utf-8", "replace") for w in some))
+        runs = [rest[at : at + 256] for at in range(0, len(rest), 256)]
+        joined = [f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in run]) for run in runs]
+        for some, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
             data, start = ids.tobytes(), 0
             for word, end in zip(some, ends, strict=True):
@@ -102,10 +112,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = MAX_
         memo = _word_ids(path)
         end = eos.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 doc_ids, rows = part.column(0), {"take": [], "start": [], "length": [], "ids": [], "doc_tokens": []}
-                split = [t.split() for t in part.column(1).to_pylist()]
+                split = list(map(memo.words, part.column(1).to_pylist()))
                 memo.learn({w for words in split for w in words})
                 for i, words in enumerate(split):
                     ids = b"".join(map(memo.__getitem__, words)) + end
