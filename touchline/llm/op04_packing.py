@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import table, text_bytes
 
 #: Words whose ids a worker remembers at most; then it starts afresh.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_500_000
 MAX_LEN = 4096
 EOS = 2
 _MEMO: dict = {}
