@@ -86,13 +86,15 @@ def context_report(histogram: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
+def _with_each(report: DataFrame, name: str, values: list, kind: str) -> DataFrame:
+    """Every histogram row once for each of the caller's values (repeated values count once)."""
+    return report.withColumn(name, F.explode(F.array(*(F.lit(v) for v in sorted(set(values)))).cast(f"array<{kind}>")))
+
+
 def totals_at(report: DataFrame, limits: list[int]) -> DataFrame:
-    """Truncated total and documents cut for arbitrary limits, from the report alone."""
-    spark = report.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    h = report.select("n_tokens", "n_docs")
+    """Truncated total and documents cut for arbitrary limits, from the report alone; no rows for an empty one."""
     return (
-        h.join(F.broadcast(wanted))  # the limits are a short list given by the caller
+        _with_each(report, "context_limit", limits, "long")
         .groupBy("context_limit")
         .agg(
             F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("truncated_total"),
@@ -103,9 +105,8 @@ def totals_at(report: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(report: DataFrame, shares: list[float]) -> DataFrame:
     """Smallest length that at least the given share of documents does not exceed."""
-    wanted = report.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
     reached = F.col("docs_upto") >= F.ceil(F.col("share") * F.col("total_docs"))
-    return report.join(F.broadcast(wanted), reached).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return _with_each(report, "share", shares, "double").where(reached).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
