@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems
 from touchline.plans import oracles
 from touchline.sources import fixtures as source
 from touchline.sources import ingest
+from touchline.streaming import live_form
 
 VERSION = "demo-1"
 FIXED_TIME = 883_612_800  # 1998-01-01
@@ -335,6 +336,37 @@ def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("record_type").agg(F.count("*").alias("n"), F.countDistinct("model_id").alias("model_count"), F.count("season").alias("with_season"), F.count("point").alias("with_point"))
 
 
+def weekly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregate by ISO week, on a table instead of a stream."""
+    return live_form.weekly_results(source.from_orders(spark, sf_dir))
+
+
+def season_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many final fixtures of earlier seasons train each season's systems, and how many it is evaluated on."""
+    finals = source.from_orders(spark, sf_dir).where("is_final").groupBy("season").agg(F.count("*").alias("evaluated"))
+    earlier = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)  # one row per season
+    return finals.withColumn("trained", F.coalesce(F.sum("evaluated").over(earlier), F.lit(0)))
+
+
+def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures of the last season by whether the goal model has seen both teams; it is fitted here without the two last teams."""
+    _, past, now, _ = _last_season(spark, sf_dir)
+    known = past.where("is_final and home < 18 and away < 18")
+    model = models.fit_goals(models.pair_statistics(known).collect())  # one row per ordered pair of teams
+    return models.goal_rates(now, model).groupBy("cold_start").agg(F.count("*").alias("n"))
+
+
+def systems_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten systems on the last season, with their ranks."""
+    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
+    odds = source.odds_from_orders(spark, sf_dir).select(F.col("key").alias("fixture_id"), "odds")
+    seasons = sorted(r.season for r in fx.select("season").distinct().collect())  # seasons are few
+    rows = systems.predict_all(fx, odds, seasons[-1:], gbdt.BoostConfig(rounds=10), len(seasons) - 2)
+    truth = fx.select("fixture_id", P.week_block(F.col("kickoff")).alias("block"), P.outcome(F.col("home_goals"), F.col("away_goals")).alias("target"))
+    board = scoring.leaderboard(scoring.score(rows.join(truth, "fixture_id")))
+    return scoring.ranked(board, systems.registry(spark)).select("model_id", "rank", "n", "week_count", *(_r(c).alias(c) for c in scoring.METRICS))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,6 +422,10 @@ QUERIES = {
         purge_counts,
         gate_report,
         record_union,
+        weekly_results,
+        season_training_rows,
+        cold_starts,
+        systems_board,
     )
 }
 ORACLES = oracles.ORACLES

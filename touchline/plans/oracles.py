@@ -81,6 +81,9 @@ from fx join s on fx.lg = s.lg and fx.ko = s.ko""",
     "fixture_keys_digest": f"with {_FX}, k as (select distinct lg, se, concat_ws('|', cast(se as varchar), cast(ko as varchar), cast(h as varchar), cast(a as varchar)) as key from fx), c as (select lg, se, count(*) as n from fx group by lg, se) select c.lg as league_id, c.se as season, c.n, sha256(string_agg(key, chr(10) order by key) || chr(10)) as digest from c join k on c.lg = k.lg and c.se = k.se group by c.lg, c.se, c.n",
     "duplicate_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1",
     "iso_week_blocks": "select strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as block, count(*) as n, min(strftime(o_orderdate, '%Y-%m-%d')) as first_date, max(strftime(o_orderdate, '%Y-%m-%d')) as last_date from orders group by 1",
+    "weekly_results": f"with {_FX} select strftime(date_trunc('week', o.o_orderdate), '%Y-%m-%d') as block, fx.lg as league_id, count(*) as n, cast(sum(hg + ag) as bigint) as goals from fx join orders o on o.o_orderkey = fx.fid where fin group by all",
+    "season_training_rows": f"with {_FX}, s as (select se as season, count(*) as evaluated from fx where fin group by 1) select season, evaluated, cast(coalesce(sum(evaluated) over (order by season rows between unbounded preceding and 1 preceding), 0) as bigint) as trained from s",
+    "cold_starts": f"with {_FX} select h >= 18 or a >= 18 as cold_start, count(*) as n from fx where se = (select max(se) from fx) group by 1",
     "season_counts": "select cast(year(o_orderdate) as int) as season, count(*) as n, cast(sum(case when o_orderstatus <> 'P' then 1 else 0 end) as bigint) as finals, count(distinct date_trunc('week', o_orderdate)) as week_count from orders group by 1",
     "team_dense_ids": f"with {_FX}, t as (select h as team from fx union select a from fx) select team, row_number() over (order by team) as team_id from t",
     "coverage_anti_join": f"with {_PRED}, h as (select distinct model_id, key from m where not (model_id = 'sharpened' and key % 97 = 0)), w as (select key from o where key % 89 <> 0), i as (select distinct model_id from h) select i.model_id, w.key, 'missing' as side from i, w where not exists (select 1 from h where h.model_id = i.model_id and h.key = w.key) union all select h.model_id, h.key, 'extra' from h where h.key not in (select key from w)",
