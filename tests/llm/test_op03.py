@@ -85,3 +85,27 @@ def test_empty_table_and_no_training_rows(spark):
     held = [(i, "some words") for i in range(40) if is_held(i)]
     got = op.scores(frame(spark, held)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in got} == {(0, 0, 0.0)}
+
+
+def test_rounds_learn_from_every_training_document(spark, monkeypatch):
+    rows, seen, counts = sample(), [], op.class_counts
+
+    def spied(docs, heads, model=None, *args, **kwargs):
+        if model is not None:
+            seen.extend(r.doc_id for r in docs.select("doc_id").collect())
+        return counts(docs, heads, model, *args, **kwargs)
+
+    monkeypatch.setattr(op, "class_counts", spied)
+    op.scores(frame(spark, rows)).collect()
+    assert Counter(seen) == Counter(i for i, _ in rows if not is_held(i))
+
+
+def test_hashed_rows_grow_with_the_corpus():
+    assert op.hashed_rows(0) == op.hashed_rows(10**6) == op.HASHED < op.hashed_rows(10**8) < op.hashed_rows(10**10)
+    words = op.Words()
+    tokens, starts = op.tokens_of([" ".join(f"w{i}" for i in range(9000)).encode()], words)
+    own = op.traits(words, {})
+    few, many = (op.feature_rows(tokens, starts, own, words[op.END], h) for h in (op.HASHED, 8 * op.HASHED))
+    for feature in (3, 4):
+        assert len(set(many[feature])) > 3 * len(set(few[feature]))
+    assert many.max() < op.table_rows(8 * op.HASHED)

@@ -7,9 +7,10 @@ the last word and the last two words. Within a class, tokens have their training
 frees goes to the one unknown word of the class.
 
 Weights start at the smoothed log-odds of each feature's class counts over all training documents. Then each of ``ROUNDS`` takes the next
-``1 / SHARES`` of the training documents: tasks sum the gradient (observed less expected class counts of each row) over their
-documents, a tree of groupings sums these, and the driver, which holds only the fixed-size table, steps along the gradient
-scaled by the expected counts.
+``1 / SHARES`` of the training documents, and ``ROUNDS`` is a multiple of ``SHARES``, so that all of them are learnt from alike: tasks sum the gradient (observed less expected class counts of each row) over their
+documents, a tree of groupings sums these, and the driver, which holds only the table, steps along the gradient
+scaled by the expected counts. The hashed rows of a feature grow with the square root of the training tokens (``hashed_rows``), so the table
+stays a small part of the corpus; contexts of two words outnumber them on a large corpus and share rows.
 
 Word counts never meet in one place. Texts are dealt into blocks by hash; each block sends its distinct words' counts to
 the words' hashes, and gets back the totals of those that other blocks have too. Words are told apart by 64-bit hashes.
@@ -20,6 +21,7 @@ rows all words are unknown. An empty table gives no rows. Columns besides ``doc_
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,19 +35,20 @@ from xxhash import xxh3_64_intdigest, xxh32_intdigest
 from touchline.llm.common import block_count, block_of, held_out, stored, table, text_bytes
 
 CLASSES, HEADS = 32, 7
+#: The least rows of each hashed feature.
 HASHED = 2048
 PAIRS = CLASSES * CLASSES
-#: Rows of the table: class pairs at distances (1, 2), (2, 3) and (3, 4); the last word; the last two words.
+#: Rows of the smallest table: class pairs at distances (1, 2), (2, 3) and (3, 4); the last word; the last two words.
 ROWS = 3 * PAIRS + 2 * HASHED
 FEATURES = 5
 DISCOUNT, PRIOR = 0.5, 20.0
-ROUNDS, SHARES, STEP = 4, 16, 0.35
+ROUNDS, SHARES, STEP = 4, 4, 0.35
 BLOCK_BYTES = 10 << 20
 PASS = 1 << 16
 #: Tokens whose class weights are held at once when scoring: they fit into a core's cache.
 NEAR = 1 << 12
-#: Parts of the table that are summed apart, and the most sums that one group adds up.
-CHUNKS, FAN_IN = 8, 64
+#: Cells of the table that are summed apart, and the most sums that one group adds up.
+CHUNK_CELLS, FAN_IN = 1 << 16, 64
 END = b"\n"
 TEST_REMAINDER = 1
 
@@ -108,7 +111,16 @@ def traits(words: Words, heads: dict[int, int]) -> Traits:
     return Traits(hashes, classes)
 
 
-def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int) -> np.ndarray:
+def hashed_rows(tokens: int) -> int:
+    """Rows of each hashed feature for so many training tokens: the next power of two of their square root."""
+    return max(HASHED, 1 << math.isqrt(max(0, tokens - 1)).bit_length())
+
+
+def table_rows(hashed: int) -> int:
+    return 3 * PAIRS + 2 * hashed
+
+
+def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int, hashed: int = HASHED) -> np.ndarray:
     """(FEATURES, tokens): the table rows of each token's context; before a text stand ends."""
     n = len(tokens)
     place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
@@ -120,9 +132,9 @@ def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int)
         back.append(shifted)
     c = [own.classes[b] for b in back]
     h1, h2 = (own.hashes[back[k]].view(np.uint64) for k in (1, 2))
-    last = (h1 >> np.uint64(20)) % np.uint64(HASHED)
-    both = ((h1 * np.uint64(0x9E3779B97F4A7C15) + h2 * np.uint64(0xD1342543DE82EF95)) >> np.uint64(24)) % np.uint64(HASHED)
-    return np.stack([c[1] * CLASSES + c[2], PAIRS + c[2] * CLASSES + c[3], 2 * PAIRS + c[3] * CLASSES + c[4], 3 * PAIRS + last.astype(np.int64), 3 * PAIRS + HASHED + both.astype(np.int64)])
+    last = (h1 >> np.uint64(20)) % np.uint64(hashed)
+    both = ((h1 * np.uint64(0x9E3779B97F4A7C15) + h2 * np.uint64(0xD1342543DE82EF95)) >> np.uint64(24)) % np.uint64(hashed)
+    return np.stack([c[1] * CLASSES + c[2], PAIRS + c[2] * CLASSES + c[3], 2 * PAIRS + c[3] * CLASSES + c[4], 3 * PAIRS + last.astype(np.int64), 3 * PAIRS + hashed + both.astype(np.int64)])
 
 
 @dataclass
@@ -135,6 +147,10 @@ class Model:
     tokens: int
     words: int
 
+    @property
+    def hashed(self) -> int:
+        return (len(self.table) - 3 * PAIRS) // 2
+
     def class_weights(self, rows: np.ndarray) -> np.ndarray:
         """Class probabilities before they are made to sum to one."""
         logits = np.take(self.table, rows[0], axis=0)
@@ -194,8 +210,8 @@ def word_totals(blocked: DataFrame) -> DataFrame:
     return each.withColumn("total", F.sum("n").over(same)).withColumn("is_first", F.min("block").over(same) == F.col("block"))
 
 
-def sum_tables(parts: DataFrame, tasks: int) -> np.ndarray:
-    """Sum of (chunk, source, data) rows by chunk, in groups of at most FAN_IN sources at a time."""
+def sum_tables(parts: DataFrame, tasks: int, cells: int) -> np.ndarray:
+    """Sum of (chunk, source, data) rows by chunk, in groups of at most FAN_IN sources at a time; ``cells`` in all."""
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(d, np.float32).astype(float) for d in group.column("data").to_pylist()).astype(np.float32)
@@ -205,52 +221,66 @@ def sum_tables(parts: DataFrame, tasks: int) -> np.ndarray:
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("source", F.col("source") % tasks).groupBy("chunk", "source").applyInArrow(add, parts.schema)
     parts = parts.withColumn("source", F.lit(0)).groupBy("chunk", "source").applyInArrow(add, "chunk int, source int, data binary")
-    found = {r.chunk: np.frombuffer(r.data, np.float32).astype(float) for r in parts.collect()}  # CHUNKS rows of a fixed size
-    return np.concatenate([found[k] for k in range(CHUNKS)])[: 2 * (ROWS + 1) * CLASSES].reshape(2, ROWS + 1, CLASSES) if found else np.zeros((2, ROWS + 1, CLASSES))
+    total = np.zeros(-(-cells // CHUNK_CELLS) * CHUNK_CELLS)
+    for r in parts.collect():  # the table, in chunks
+        total[r.chunk * CHUNK_CELLS : (r.chunk + 1) * CHUNK_CELLS] = np.frombuffer(r.data, np.float32)
+    return total[:cells]
 
 
-def class_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = None) -> np.ndarray:
-    """(2, ROWS + 1, CLASSES): observed class counts of every table row (the last row: of all tokens), and with a model the expected ones."""
+def class_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = None, hashed: int = HASHED) -> np.ndarray:
+    """(2, rows + 1, CLASSES): observed class counts of every table row (the last row: of all tokens), and with a model the expected ones."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((heads, model))
-    size = -(-2 * (ROWS + 1) * CLASSES // CHUNKS)
+    total = table_rows(hashed)
+    shape = (2, total + 1, CLASSES)
+    chunks = -(-math.prod(shape) // CHUNK_CELLS)
+    edges = [0, PAIRS, 2 * PAIRS, 3 * PAIRS, 3 * PAIRS + hashed, total]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         heads, model = shared.value
-        sums = np.zeros((2, ROWS + 1, CLASSES))
+        sums = np.zeros(shape)
         some = False
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 words = Words()
                 tokens, starts = tokens_of(batch.column(0).slice(at, 256).to_pylist(), words)
                 own = traits(words, heads)
-                rows, classes = feature_rows(tokens, starts, own, words[END]), own.classes[tokens]
+                rows, classes = feature_rows(tokens, starts, own, words[END], hashed), own.classes[tokens]
                 some = True
                 for first in range(0, len(tokens), PASS):
                     part = slice(first, first + PASS)
-                    sums[0, :ROWS] += np.bincount((rows[:, part] * CLASSES + classes[part]).ravel(), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-                    sums[0, ROWS] += np.bincount(classes[part], minlength=CLASSES)
+                    p = model.class_probabilities(rows[:, part]).astype(float) if model else None
+                    # Each feature has rows of its own, from one edge to the next.
+                    for r, low, high in zip(rows[:, part], edges, edges[1:], strict=False):
+                        size = (high - low) * CLASSES
+                        cells = (r - low) * CLASSES
+                        sums[0, low:high] += np.bincount(cells + classes[part], minlength=size).reshape(-1, CLASSES)
+                        if model:
+                            sums[1, low:high] += np.bincount((cells[:, None] + np.arange(CLASSES)).ravel(), p.ravel(), size).reshape(-1, CLASSES)
+                    sums[0, total] += np.bincount(classes[part], minlength=CLASSES)
                     if model:
-                        p = model.class_probabilities(rows[:, part]).astype(float).ravel()
-                        for r in rows[:, part]:
-                            cells = (r[:, None] * CLASSES + np.arange(CLASSES)).ravel()
-                            sums[1, :ROWS] += np.bincount(cells, p, ROWS * CLASSES).reshape(ROWS, CLASSES)
-                        sums[1, ROWS] += p.reshape(-1, CLASSES).sum(axis=0)
+                        sums[1, total] += p.sum(axis=0)
         if some:
-            flat = np.pad(sums.ravel(), (0, size * CHUNKS - sums.size)).astype(np.float32)
             source = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([source] * CHUNKS, pa.int32()), pa.array([flat[k * size : (k + 1) * size].tobytes() for k in range(CHUNKS)], pa.binary())], names=["chunk", "source", "data"])
+            flat = sums.ravel()
+            for k in range(chunks):
+                data = np.zeros(CHUNK_CELLS, np.float32)
+                piece = flat[k * CHUNK_CELLS : (k + 1) * CHUNK_CELLS]
+                if not piece.any():
+                    continue
+                data[: len(piece)] = piece
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([source], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "source", "data"])
 
     parts = docs.select(text_bytes().alias("text")).mapInArrow(run, "chunk int, source int, data binary")
-    return sum_tables(parts, docs.rdd.getNumPartitions())
+    return sum_tables(parts, docs.rdd.getNumPartitions(), math.prod(shape)).reshape(shape)
 
 
 def first_weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bias and table from observed counts: each row's log-odds against the whole, shared out among the features."""
-    share = (counts[ROWS] + 0.5) / (counts[ROWS] + 0.5).sum()
-    rows = counts[:ROWS]
+    share = (counts[-1] + 0.5) / (counts[-1] + 0.5).sum()
+    rows = counts[:-1]
     odds = (rows + PRIOR * share) / (rows.sum(axis=1, keepdims=True) + PRIOR) / share
     return np.log(share).astype(np.float32), (np.log(odds) / FEATURES).astype(np.float32)
 
@@ -268,15 +298,16 @@ def fit(docs: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Model:
     for r in firsts.groupBy(own.alias("k")).agg(F.sum("total").alias("t"), F.count("*").alias("v")).collect():  # CLASSES rows
         tokens[r.k], words[r.k] = r.t, r.v
     train = training_rows(docs.select("doc_id", "text"))
-    bias, weights = first_weights(class_counts(train, heads)[0])
+    hashed = hashed_rows(int(tokens.sum()))
+    bias, weights = first_weights(class_counts(train, heads, hashed=hashed)[0])
     model = Model(heads, bias, weights, tokens, words, int(tokens.sum()), int(words.sum()))
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARES))
-    tasks = max(1, train.rdd.getNumPartitions() // 4)  # a round has a small share of the rows
+    tasks = max(1, train.rdd.getNumPartitions() // SHARES)  # a round has a share of the rows
     for k in range(rounds):
-        observed, expected = class_counts(train.where(share == k % SHARES).coalesce(tasks), heads, model)
+        observed, expected = class_counts(train.where(share == k % SHARES).coalesce(tasks), heads, model, hashed)
         step = STEP * (observed - expected) / (expected + PRIOR)
-        model.table = model.table + step[:ROWS].astype(np.float32)
-        model.bias = model.bias + step[ROWS].astype(np.float32)
+        model.table = model.table + step[:-1].astype(np.float32)
+        model.bias = model.bias + step[-1].astype(np.float32)
     return model
 
 
@@ -308,7 +339,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS
         log10 = np.empty(len(tokens))
         for first, last in runs(starts):
             part = slice(starts[first], starts[last] if last < len(starts) else len(tokens))
-            rows = feature_rows(tokens[part], starts[first:last] - part.start, own, words[END])
+            rows = feature_rows(tokens[part], starts[first:last] - part.start, own, words[END], model.hashed)
             log10[part] = model.log10(rows, own.classes[tokens[part]]) + inside[tokens[part]]
         lengths = np.diff(np.append(starts, len(tokens)))
         return pa.table(
