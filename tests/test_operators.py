@@ -360,3 +360,39 @@ def test_flagship(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_boosted_and_fitted_queries_predict_every_season_with_an_earlier_one(spark, monkeypatch):
+    sf, configs, deal = "/root/testdata/sf0.001", [], gbdt.fold_probabilities
+
+    def spied(rows, folds, features, config=gbdt.BoostConfig()):
+        configs.append(config)
+        return deal(rows, folds, features, gbdt.BoostConfig(rounds=2))
+
+    monkeypatch.setattr(gbdt, "fold_probabilities", spied)
+    fx = catalog.source.from_orders(spark, sf)
+    first = fx.agg(F.min("season")).first()[0]
+    finals = {r.fixture_id for r in fx.where(F.col("is_final") & (F.col("season") > first)).collect()}
+    counts = sorted((r.season, r["count"]) for r in fx.where("is_final").groupBy("season").count().collect())
+    enough = [s for i, (s, _) in enumerate(counts) if sum(n for _, n in counts[:i]) >= 380]
+    every = {r.fixture_id for r in fx.where(F.col("season").isin(enough)).collect()}
+    assert len(enough) > 2
+    for query, want in ((catalog.gbdt_oof, finals), (catalog.poisson_fit, every)):
+        assert sorted(r.fixture_id for r in query(spark, sf).select("fixture_id").collect()) == sorted(want)
+    assert configs == [gbdt.BoostConfig()]
+
+
+def test_systems_board_asks_for_every_season_that_can_be_calibrated(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def spied(fixtures, odds, seasons, config=gbdt.BoostConfig(), least_earlier=2):
+        raise Asked(seasons, config, least_earlier)
+
+    monkeypatch.setattr(systems, "predict_all", spied)
+    sf = "/root/testdata/sf0.001"
+    counts = sorted((r.season, r["count"]) for r in catalog.source.from_orders(spark, sf).where("is_final").groupBy("season").count().collect())
+    want = [s for i, (s, _) in enumerate(counts) if i >= 2 and sum(n for _, n in counts[:i]) >= 380]
+    with pytest.raises(Asked) as asked:
+        catalog.systems_board(spark, sf)
+    assert asked.value.args == (want, gbdt.BoostConfig(), 1)

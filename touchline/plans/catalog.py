@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,15 +280,24 @@ def _last_season(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return fx, fx.where(F.col("season") < last), fx.where(F.col("season") == last), last
 
 
+def _seasons(rows: DataFrame, earlier: int = 1, matches: int = 0) -> list[int]:
+    """Seasons with at least so many seasons and matches before them."""
+    counts = sorted((r.season, r["count"]) for r in rows.groupBy("season").count().collect())  # seasons are few
+    return [s for i, (s, _) in enumerate(counts) if i >= earlier and sum(n for _, n in counts[:i]) >= matches]
+
+
 def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx, *_, last = _last_season(spark, sf_dir)
-    snaps = asof.snapshots(fx).where("target is not null")
-    return models.logit_probabilities(snaps.where(F.col("season") < last), snaps.where(F.col("season") == last), asof.FEATURES).select("fixture_id", *_triple())
+    """Every season that has an earlier one, predicted from all earlier ones."""
+    snaps = asof.snapshots(source.from_orders(spark, sf_dir)).where("target is not null")
+    parts = [models.logit_probabilities(snaps.where(F.col("season") < s), snaps.where(F.col("season") == s), asof.FEATURES) for s in _seasons(snaps)]
+    return reduce(DataFrame.unionByName, parts).select("fixture_id", *_triple())
 
 
 def poisson_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, past, now, _ = _last_season(spark, sf_dir)
-    return models.poisson_probabilities(past, now).select("fixture_id", *_triple())
+    """Every season that has enough final fixtures before it for a goal model, predicted from all of them."""
+    fx = source.from_orders(spark, sf_dir)
+    parts = [models.poisson_probabilities(fx.where(F.col("season") < s), fx.where(F.col("season") == s)) for s in _seasons(fx.where("is_final"), 1, models.LEAST_MATCHES)]
+    return reduce(DataFrame.unionByName, parts).select("fixture_id", *_triple())
 
 
 def dixon_coles_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,10 +308,10 @@ def dixon_coles_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbdt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx, *_, last = _last_season(spark, sf_dir)
-    snaps = asof.snapshots(fx).where("target is not null")
-    folds = spark.createDataFrame([(0, last - 1), (1, last)], "fold int, season int")
-    return gbdt.fold_probabilities(snaps, folds, asof.FEATURES, gbdt.BoostConfig(rounds=10)).select("fixture_id", "fold", *_triple())
+    """Every season that has an earlier one, predicted once from all earlier ones by the production setting."""
+    snaps = asof.snapshots(source.from_orders(spark, sf_dir)).where("target is not null")
+    folds = spark.createDataFrame(list(enumerate(_seasons(snaps))), "fold int, season int")
+    return gbdt.fold_probabilities(snaps, folds, asof.FEATURES, gbdt.BoostConfig()).select("fixture_id", "fold", *_triple())
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,11 +368,10 @@ def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def systems_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ten systems on the last season, with their ranks."""
+    """All ten systems with their ranks, on every season before which another one has out-of-fold predictions to calibrate on."""
     fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
     odds = source.odds_from_orders(spark, sf_dir).select(F.col("key").alias("fixture_id"), "odds")
-    seasons = sorted(r.season for r in fx.select("season").distinct().collect())  # seasons are few
-    rows = systems.predict_all(fx, odds, seasons[-1:], gbdt.BoostConfig(rounds=10), len(seasons) - 2)
+    rows = systems.predict_all(fx, odds, _seasons(fx.where("is_final"), 2, models.LEAST_MATCHES), gbdt.BoostConfig(), 1)
     truth = fx.select("fixture_id", P.week_block(F.col("kickoff")).alias("block"), P.outcome(F.col("home_goals"), F.col("away_goals")).alias("target"))
     board = scoring.leaderboard(scoring.score(rows.join(truth, "fixture_id")))
     return scoring.ranked(board, systems.registry(spark)).select("model_id", "rank", "n", "week_count", *(_r(c).alias(c) for c in scoring.METRICS))
