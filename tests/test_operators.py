@@ -396,3 +396,14 @@ def test_systems_board_asks_for_every_season_that_can_be_calibrated(spark, monke
     with pytest.raises(Asked) as asked:
         catalog.systems_board(spark, sf)
     assert asked.value.args == (want, gbdt.BoostConfig(), 1)
+
+
+def test_candidate_gate_asks_for_provenance(spark):
+    failures = {r.failure for r in catalog.QUERIES["candidate_gate"](spark, "/root/testdata/sf0.001").collect()}
+    assert "pointInTimeProvenance is required" in failures
+    assert not failures & {"foldCount must be >= 3", "protocol must be walk-forward"}
+
+
+def test_dixon_coles_query_fits_rho(spark):
+    got = catalog.QUERIES["dixon_coles_fitted_rho"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 1 and got[0].n >= 25 and abs(got[0].rho) < 0.25

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -307,6 +308,16 @@ def dixon_coles_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.agg(F.sum("n").alias("n"), *(_r(F.sum(F.col("n") * F.col("coefficient") / (1 + F.col("coefficient") * r))).alias(f"score_{i}") for i, r in enumerate((-0.05, 0.0, 0.05))))
 
 
+def dixon_coles_fitted_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rho of ``fit_rho`` on rates fitted to goals that follow a goal model; ``dixon_coles_rho`` has only its score, as SQL can tell it."""
+    done = source.with_drawn_goals(source.from_orders(spark, sf_dir)).where("is_final")
+    rated = models.goal_rates(done, models.fit_goals(models.pair_statistics(done).collect()))  # teams squared rows at most
+    cells = models.low_score_cells(rated).collect()  # four for each pair of teams at most
+    rates = [(r.home_rate, r.away_rate) for r in rated.select("home_rate", "away_rate").distinct().collect()]
+    rho = models.fit_rho(np.array([r.coefficient for r in cells]), np.array([r.n for r in cells], float), rates)
+    return spark.createDataFrame([(int(sum(r.n for r in cells)), rho)], "n long, rho double").select("n", _r("rho").alias("rho"))
+
+
 def gbdt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every season that has an earlier one, predicted once from all earlier ones by the production setting."""
     snaps = asof.snapshots(source.from_orders(spark, sf_dir)).where("target is not null")
@@ -340,6 +351,18 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m,) for m in backtest.metric_failures(report)], "failure string")
 
 
+def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All failures of the gate, on the fixtures that the plan's folds evaluate; ``gate_report`` has only what its SQL twin can tell."""
+    examples = _examples(spark, sf_dir)
+    stages = backtest.plan(examples)
+    dealt = backtest.deal(examples, stages).where("role = 'evaluate'").select(F.col("fixture_id").alias("key"), "kickoff", "fold")
+    s = scored(spark, sf_dir).where("model_id = 'proportional'").join(dealt, "key")
+    r = s.agg(F.avg("argmax_hit").alias("hit"), F.avg("brier").alias("brier"), F.count("*").alias("n"), F.countDistinct("fold").alias("folds"), F.min("kickoff").alias("first"), F.max("kickoff").alias("last")).first()
+    forward = all(a.raw_end <= a.calibration_start < a.calibration_end <= a.evaluation_start for a in stages) and all(a.evaluation_end <= b.evaluation_start for a, b in zip(stages, stages[1:], strict=False))
+    report = {"hitRate": r.hit, "brier": r.brier, "sampleCount": r.n, "foldCount": r.folds, "evaluationStartUtc": r["first"], "evaluationEndUtc": r["last"], "protocol": "walk-forward" if forward else "other"}
+    return spark.createDataFrame([(m,) for m in backtest.apply_gate(report, "1", "append-only")], "failure string")
+
+
 def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     parts = {"model": scoring.leaderboard(s), "season": scoring.season_leaderboard(s).where("overall = 0"), "reliability": scoring.reliability(s), "difference": scoring.paired_blocks(s, "proportional", "brier").groupBy("model_id").agg((F.sum("diff") / F.sum("n")).alias("point"))}
@@ -426,11 +449,13 @@ QUERIES = {
         logit_predict,
         poisson_fit,
         dixon_coles_rho,
+        dixon_coles_fitted_rho,
         gbdt_oof,
         kickoff_groups,
         fold_plan,
         purge_counts,
         gate_report,
+        candidate_gate,
         record_union,
         weekly_results,
         season_training_rows,
