@@ -34,15 +34,54 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table under the shared checkpoint folder, which takes less room than a checkpoint."""
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written as a Parquet table under the shared checkpoint folder, which takes less room than a checkpoint.
+
+    Its path is added to ``paths``, so that :func:`discard` can delete the table once nothing reads it any more.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of :func:`stored`."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column of ``df`` (Spark minds no case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, seed: int) -> DataFrame:
+    """doc_id, label, order, text: at most ``rows`` training rows of each label, those whose ids hash lowest, with their whole texts.
+
+    Of rows that repeat a doc_id the one whose text hashes lowest stands for all; a repeated label counts once.
+    """
+    known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.distinct().withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
+    picked = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(rows) for k in (0, 1)]
+    picked = F.broadcast(picked[0].union(picked[1]))  # 2 * rows rows at most, each an id and two numbers
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return met.groupBy("doc_id", "label", "order").agg(least.alias("x")).select("doc_id", "label", "order", "x.text")
+
+
 def held_out(doc_id: Column, remainder: int = 0) -> Column:
     """True where crc32 of the id as text leaves ``remainder`` by 5; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == remainder, F.lit(False))

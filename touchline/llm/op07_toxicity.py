@@ -1,20 +1,23 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the distinct words of a text and the stems (first ``STEM`` characters) of its longer words. Of the terms in the labelled
-examples, those whose document frequencies differ between the labels (chi-square of at least ``CHI``) make up the vocabulary.
-The examples' normalised TF-IDF vectors are laid out term by term in blocks of ``BLOCK`` examples, each with its largest weight. A query
-adds up those block maxima, visits the blocks from the highest bound down and stops once no bound exceeds the
+Terms are words cut to their first ``STEM`` characters, so that inflections meet. A term weighs its count in the text times the
+logarithm of the inverse share of documents that have it, counted over the whole table; a term that more than ``STOP`` of the documents have is a
+stop word. The vocabulary is all terms of the examples but these. The examples' normalised vectors lie in term order, within a term
+in blocks of ``BLOCK`` examples, each with its largest weight; examples with the same commonest word (and so, mostly, language) stand together, which keeps the
+bounds tight. A query adds up those block maxima, takes blocks from the highest bound down and stops once no bound reaches the
 least of its ``NEIGHBOURS`` best cosines; what it returns are the exact nearest ones. They vote with their cosines as weights, against a
-fixed weight for the prior, and a logistic curve fitted to the examples' own leave-one-out votes turns the vote
+fixed weight for the prior, and a logistic curve fitted to the examples' own leave-one-out votes, with equal weight for either label, turns the vote
 into a probability. The nearest examples' ids and cosines are the evidence.
 
-The examples are a bounded sample of the labelled training rows: at most ``EXAMPLES`` of each label, those whose ids hash lowest. Only the
-index of these (at most ``2 * EXAMPLES`` vectors of at most ``TERMS`` terms) goes to every task.
+The examples are a bounded sample of the labelled training rows: at most ``EXAMPLES`` of each label, those whose ids hash lowest, with their whole
+texts. What reaches the driver are their term counts and one count of documents for each of their terms, both summed in Spark; the index of these
+goes to every task.
 
 Edge cases: a null or empty text, like any text without a term of the vocabulary, has no neighbour and gets the score of an empty
-vote. Labels that are null or for documents not in the table are not used; repeated labels count once each. With no
-labelled rows of one kind the score is the smoothed share of label 1. Ties among neighbours go to the example that comes first in the order of
-the sample. Repeated rows are scored alike. An empty table gives no rows. Further columns are ignored.
+vote. A very long text is one vector like any other. Labels that are null or for documents not in the table are not used; a repeated label counts
+once, both labels of a document count if they differ, and of training rows that repeat a doc_id the one whose text hashes lowest is used. With
+no labelled rows of one kind the score is the smoothed share of label 1. Ties among neighbours go to the example that stands first in the
+index. Repeated rows are scored alike. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,28 +33,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import held_out, table
+from touchline.llm.common import held_out, labelled_sample, table
 
-EXAMPLES, TERMS, CHI = 2500, 20_000, 25.0
-STEM, LONGER = 5, 7
-BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 0.5
+EXAMPLES = 2500
+STEM, STOP = 4, 0.2
+BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 30, 0.5
+#: Blocks that a query looks into first; each further look takes twice as many.
+FIRST_BLOCKS = 8
+#: Texts whose results a task remembers, as copies are common.
+MEMO = 20_000
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str) -> set[str]:
-    """Distinct words, and the stems of longer ones (marked by an asterisk)."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:STEM] + "*" for w in words if len(w) >= LONGER}
+def terms(text: str) -> Counter:
+    """How often each term occurs."""
+    return Counter([w[:STEM] for w in _WORD.findall(text.lower())])
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each start, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 @dataclass
 class Index:
-    """Examples' vectors by term, in blocks. ``postings[t]``: example numbers and weights; ``bounds[t]``: block numbers and their largest weights."""
-
-    idf: dict[str, float]
-    postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    bounds: dict[str, tuple[np.ndarray, np.ndarray]]
+    """Postings of term t lie in blocks ``first[t]`` to ``first[t + 1]``; block b of them holds postings ``start[b]`` to ``start[b + 1]``."""
+
+    vocabulary: dict[str, int]
+    idf: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
     labels: np.ndarray
     ids: list
     prior: float
@@ -63,74 +80,61 @@ class Index:
         return -(-len(self.labels) // BLOCK)
 
 
-def vocabulary(sets: list[set[str]], labels: np.ndarray, chi: float = CHI, most: int = TERMS) -> dict[str, float]:
-    """Term -> idf for the terms that tell the labels apart; the strongest ``most`` of them."""
-    by = [Counter(), Counter()]
-    for found, label in zip(sets, labels, strict=True):
-        by[int(label)].update(found)
-    n1 = float(labels.sum())
-    n0, n = len(labels) - n1, float(len(labels))
-    if not n0 or not n1:
-        return {}
-    kept = []
-    for term in by[0].keys() | by[1].keys():
-        a, b = by[1][term], by[0][term]
-        have = a + b
-        if have < 3 or have == n:
-            continue
-        strength = n * (a * n0 - b * n1) ** 2 / (have * (n - have) * n1 * n0)
-        if strength >= chi:
-            kept.append((-strength, term, math.log((n + 1) / have)))
-    return {term: idf for _, term, idf in sorted(kept)[:most]}
-
-
-def weights(found: set[str], idf: dict[str, float]) -> list[tuple[str, float]]:
-    """The normalised vector of a set of terms, over the vocabulary."""
-    own = sorted(found & idf.keys())
-    norm = math.sqrt(sum(idf[t] ** 2 for t in own))
-    return [(t, idf[t] / norm) for t in own]
-
-
-def build(sets: list[set[str]], labels: np.ndarray, ids: list) -> Index:
-    idf = vocabulary(sets, labels)
-    lists: dict[str, list[tuple[int, float]]] = {}
-    for i, found in enumerate(sets):
-        for term, weight in weights(found, idf):
-            lists.setdefault(term, []).append((i, weight))
-    postings, bounds = {}, {}
-    for term, own in lists.items():
-        at, weight = np.array([i for i, _ in own]), np.array([w for _, w in own])
-        block, starts = np.unique(at // BLOCK, return_index=True)
-        postings[term] = (at, weight, np.append(starts, len(at)))
-        bounds[term] = (block, np.maximum.reduceat(weight, starts))
-    index = Index(idf, postings, bounds, labels.astype(float), ids, float((labels.sum() + 1) / (len(labels) + 2)))
-    if idf:
-        votes = np.array([vote(index, nearest(index, s, but=i)) for i, s in enumerate(sets)])
+def vector(found: Counter, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, ascending, and the normalised weights of a text's terms."""
+    own = sorted((vocabulary[t], n) for t, n in found.items() if t in vocabulary)
+    at, n = np.array([t for t, _ in own], np.int64), np.array([n for _, n in own], float)
+    w = n * idf[at]
+    return at, w / (math.sqrt((w * w).sum()) or 1.0)
+
+
+def build(found: list[Counter], labels: np.ndarray, ids: list, document_counts: dict[str, int], documents: int, stop: float = STOP) -> Index:
+    """The index of examples in the given order; ``document_counts`` has each term's documents, of ``documents`` in all."""
+    kept = sorted(t for t in {t for c in found for t in c} if document_counts[t] <= stop * documents)
+    vocabulary = {t: i for i, t in enumerate(kept)}
+    idf = np.array([math.log((documents + 1) / document_counts[t]) for t in kept])
+    vectors = [vector(c, vocabulary, idf) for c in found]
+    term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
+    example = np.repeat(np.arange(len(found)), [len(at) for at, _ in vectors])
+    order = np.lexsort((example, term))
+    term, example, weight = term[order], example[order], np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+    key = term * (len(found) // BLOCK + 1) + example // BLOCK
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+    first = np.searchsorted(term[start], np.arange(len(kept) + 1))
+    prior = float((labels.sum() + 1) / (len(labels) + 2))
+    index = Index(vocabulary, idf, first, example[start] // BLOCK, most, np.append(start, len(term)), example, weight, labels.astype(float), ids, prior)
+    if 0 < labels.sum() < len(labels):
+        votes = np.array([vote(index, nearest(index, v, but=i)) for i, v in enumerate(vectors)])
         index.slope, index.offset = logistic(votes, labels)
     return index
 
 
-def nearest(index: Index, found: set[str], k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[float, int]]:
+def nearest(index: Index, query: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
     """The k examples of the largest cosines above zero, exactly: (cosine, example), ties by example."""
-    query = [(index.postings[t], index.bounds[t], w) for t, w in weights(found, index.idf) if t in index.postings]
-    if not query:
-        return []
-    bound = np.zeros(index.blocks)
-    for _, (block, most), w in query:
-        bound[block] += w * most
-    best: list[tuple[float, int]] = []
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-            break
-        cosine = np.zeros(BLOCK)
-        for (at, weight, starts), (block, _), w in query:
-            j = np.searchsorted(block, b)
-            if j < len(block) and block[j] == b:
-                part = slice(starts[j], starts[j + 1])
-                cosine[at[part] - b * BLOCK] += w * weight[part]
+    at, w = query
+    counts = index.first[at + 1] - index.first[at]
+    entries, own = ranges(index.first[at], counts), np.repeat(w, counts)
+    where = index.block[entries]
+    bound = np.bincount(where, own * index.most[entries], index.blocks)
+    order = np.argsort(-bound, kind="stable")
+    best, done, look = [], 0, FIRST_BLOCKS
+    while done < len(order) and bound[order[done]] > 0 and (len(best) < k or bound[order[done]] >= best[-1][0] - 1e-11):
+        chosen = np.zeros(index.blocks, bool)
+        chosen[order[done : done + look]] = True
+        inside = chosen[where]
+        part = entries[inside]
+        n = index.start[part + 1] - index.start[part]
+        posts = ranges(index.start[part], n)
         # Rounded, so that equal cosines tie however their terms were added up.
-        some = [(float(c), int(i + b * BLOCK)) for i, c in zip(np.flatnonzero(cosine), np.round(cosine[cosine > 0], 12), strict=True)]
-        best = sorted([*best, *(x for x in some if x[1] != but)], key=lambda x: (-x[0], x[1]))[:k]
+        cosine = np.round(np.bincount(index.example[posts], np.repeat(own[inside], n) * index.weight[posts], len(index.labels)), 12)
+        if but >= 0:
+            cosine[but] = 0
+        some = np.flatnonzero(cosine)
+        if len(some) > k:
+            some = some[cosine[some] >= -np.partition(-cosine[some], k - 1)[k - 1]]
+        best = sorted([*best, *zip(cosine[some].tolist(), some.tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+        done, look = done + look, 2 * look
     return best
 
 
@@ -141,14 +145,15 @@ def vote(index: Index, best: list[tuple[float, int]]) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton steps; targets are smoothed, so that separable votes stay finite."""
+    """Slope and offset by Newton steps, both labels weighing the same; targets are smoothed, so that separable votes stay finite."""
     n1 = y.sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
-    a, b = 0.0, float(np.log(target.mean() / (1 - target.mean())))
+    weight = np.where(y == 1, 0.5 * len(y) / n1, 0.5 * len(y) / (len(y) - n1))
+    a, b = 0.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - target) * x).sum() + 1e-3 * a, (p - target).sum()])
-        v = p * (1 - p)
+        g = np.array([(weight * (p - target) * x).sum() + 1e-3 * a, (weight * (p - target)).sum()])
+        v = weight * p * (1 - p)
         h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -157,30 +162,50 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def probability(index: Index, found: set[str]) -> tuple[float, list[tuple[float, int]]]:
-    best = nearest(index, found)
-    if not index.idf:
+def probability(index: Index, found: Counter) -> tuple[float, list[tuple[float, int]]]:
+    best = nearest(index, vector(found, index.vocabulary, index.idf))
+    if not 0 < index.labels.sum() < len(index.labels):
         return index.prior, best
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, index.slope * vote(index, best) + index.offset)))), best
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = EXAMPLES) -> Index:
-    """The index of the sampled training rows; their terms are taken apart on the executors."""
-    known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.withColumn("order", F.xxhash64("doc_id", F.lit(7)))
-    picked = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(rows) for k in (0, 1)]
-    picked = F.broadcast(picked[0].union(picked[1]))  # 2 * rows rows at most
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+    """How many documents have each term, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        totals, n = np.zeros(len(number), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                own = {w[:STEM] for w in _WORD.findall((text or "").lower())}
+                totals[[number[t] for t in own if t in number]] += 1
+        some = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(totals[some], n), pa.int64())], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the examples
+    found = {r.term: r.n for r in rows}
+    return {t: found.get(i, 0) for i, t in enumerate(vocabulary)}, found.get(-1, 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = EXAMPLES, stop: float = STOP) -> Index:
+    """The index of the sampled training rows; texts are taken apart and documents counted on the executors."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(terms(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.string()))], names=["doc_id", "label", "order", "terms"])
+            found = [sorted(terms(t).items()) for t in batch.column(0).to_pylist()]
+            words, counts = [[t for t, _ in f] for f in found], [[n for _, n in f] for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "label", "order", "terms", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = chosen.select("text", "doc_id", "label", "order").mapInArrow(split, f"doc_id {id_type}, label int, order long, terms array<string>").limit(4 * rows).collect()
-    found.sort(key=lambda r: (r.order, r.terms))
-    return build([set(r.terms) for r in found], np.array([r.label for r in found], float), [r.doc_id for r in found])
+    sample = labelled_sample(docs, labels, target, rows, 7).select("text", "doc_id", "label", "order")
+    found = sample.mapInArrow(split, f"doc_id {id_type}, label int, order long, terms array<string>, counts array<long>").collect()  # 2 * rows examples
+    counters = {(r.order, r.doc_id, r.label): Counter(dict(zip(r.terms, r.counts, strict=True))) for r in found}
+    common = {k: max(c.items(), key=lambda x: (x[1], x[0]))[0] if c else "" for k, c in counters.items()}
+    order = sorted(counters, key=lambda k: (common[k], k[0], k[2]))
+    counts, n = document_counts(docs, sorted({t for c in counters.values() for t in c}))
+    return build([counters[k] for k in order], np.array([k[2] for k in order], float), [k[1] for k in order], counts, n, stop)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -189,18 +214,20 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         own = shared.value
-        known: dict[frozenset, tuple[float, list]] = {}
+        known: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1).to_pylist():
-                found = frozenset(terms(text or "") & own.idf.keys())
-                if found not in known:
-                    if len(known) > 50_000:
+                key = xxh3_128_digest((text or "").encode())
+                if key not in known:
+                    if len(known) >= MEMO:
                         known.clear()
-                    p, best = probability(own, found)
-                    known[found] = (p, [{"doc_id": own.ids[i], "cosine": c} for c, i in best])
-                p, best = known[found]
+                    p, best = probability(own, terms(text or ""))
+                    known[key] = (p, [{"doc_id": own.ids[i], "cosine": c} for c, i in best])
+                p, best = known[key]
                 scores.append(p)
                 evidence.append(best)
             kind = pa.list_(pa.struct([("doc_id", batch.schema.field(0).type), ("cosine", pa.float64())]))
