@@ -66,15 +66,54 @@ def test_anchors_need_no_context(spark):
     assert by[1] <= by[2]
 
 
-def test_likeness(spark):
+def brute_fingerprint(anchors, size=op.SIZE, share=op.SHARE):
+    first = {}
+    for at, h in sorted(anchors):
+        first.setdefault(h & op.TOP, at)
+    kept = sorted(first.items())
+    return [(h, at) for i, (h, at) in enumerate(kept) if i < size or h < op.TOP // share]
+
+
+def brute_likeness(a, b, size=op.SIZE, share=op.SHARE):
+    if not a and not b:
+        return 1.0
+    reach = min(op.TOP if len(x) < size else max(x[size - 1][0], op.TOP // share - 1) for x in (a, b))
+    a, b = ({h: at for h, at in x if h <= reach} for x in (a, b))
+    met = sorted((a[h], b[h] - a[h]) for h in a.keys() & b.keys())
+    line = [None, *(d for _, d in met), None]
+    good = 1 if len(met) == 1 else sum(line[i] in (line[i - 1], line[i + 1]) for i in range(1, len(line) - 1))
+    return good / max(min(len(a), len(b)), 1)
+
+
+def test_fingerprints_and_likeness_agree_with_brute_force(spark):
     from pyspark.sql import functions as F
 
-    cases = [("a b c d e f g h", "a b c d e f g h"), ("", ""), ("", "some words"), ("one two three", "four five six")]
     long = texts(40)
-    cases += [(" ".join(long), " ".join(long)), (" ".join(long), " ".join(long[:30])), (" ".join(long[:10]), " ".join(long[10:]))]
-    df = spark.createDataFrame(cases, "a string, b string")
-    got = [r[0] for r in df.select(op.likeness(op.sketch(F.col("a")), op.sketch(F.col("b")))).collect()]
-    assert got[:4] == [1, 1, 0, 0] and got[4] == 1 and got[5] > 0.8 and got[6] < 0.1
+    whole = " ".join(long)
+    cases = [("a b c d e f g h", "a b c d e f g h"), ("", ""), ("", "some words"), ("one two three", "four five six"), ("one", "one"), (whole, whole), (whole, " ".join(long[:30])), (" ".join(long[:10]), " ".join(long[10:])), (" ".join(long[:10]), " ".join(long[::-1])), (long[0] * 6, long[0] + long[1]), (long[3], "x " + long[3])]
+    cases += [(" ".join(long[i : i + 8]), " ".join(long[i + 1 : i + 3] + long[i + 5 : i + 9])) for i in range(0, 30, 3)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string")
+    for size, share in ((op.SIZE, op.SHARE), (6, 3)):
+        prints = df.select("i", op.anchor_hashes(F.col("a")).alias("a"), op.anchor_hashes(F.col("b")).alias("b"), op.fingerprint(F.col("a"), size, share).alias("p"), op.fingerprint(F.col("b"), size, share).alias("q"))
+        got = {r.i: r for r in prints.withColumn("likeness", op.likeness(F.col("p"), F.col("q"), size, share)).withColumn("text", op.as_text(F.col("p"))).collect()}
+        for i in range(len(cases)):
+            a, b = (brute_fingerprint([(x.at, x.hash) for x in side], size, share) for side in (got[i].a, got[i].b))
+            assert [(x >> 32, x & 0xFFFFFFFF) for x in got[i].p] == a and [(x >> 32, x & 0xFFFFFFFF) for x in got[i].q] == b
+            assert got[i].text == "".join(f"{h:08x}{at:08x}" for h, at in a)
+            assert abs(got[i].likeness - brute_likeness(a, b, size, share)) < 1e-12
+        assert [got[i].likeness for i in (0, 1, 2, 3, 4, 5)] == [1, 1, 0, 0, 1, 1] and got[6].likeness > 0.8 and got[7].likeness < 0.1
+
+
+def test_matches_off_any_diagonal_do_not_count(spark):
+    from pyspark.sql import functions as F
+
+    parts = [" ".join(f"w{i}x{j}" for j in range(6)) for i in range(60)]
+    shuffled = parts[:]
+    random.Random(4).shuffle(shuffled)
+    one = spark.createDataFrame([(" ".join(parts), " ".join(shuffled))], "a string, b string")
+    prints = one.select(op.fingerprint(F.col("a")).alias("a"), op.fingerprint(F.col("b")).alias("b"))
+    row = prints.select(op.likeness(F.col("a"), F.col("b")).alias("likeness"), F.size(F.array_intersect(F.transform("a", lambda x: F.shiftright(x, 32)), F.transform("b", lambda x: F.shiftright(x, 32)))).alias("shared"), F.size("a").alias("n")).first()
+    assert row.likeness < row.shared / row.n
 
 
 def test_query_and_equal_texts(spark, tmp_path):
@@ -88,6 +127,8 @@ def test_query_and_equal_texts(spark, tmp_path):
         assert got[i].n_chars == len(t)
         assert got[i].edited_sha256 == hashlib.sha256(want[i].encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1
+        own, edited = ([(int(p[k : k + 8], 16), int(p[k + 8 : k + 16], 16)) for k in range(0, len(p), 16)] for p in (got[i].fingerprint, got[i].edited_fingerprint))
+        assert abs(got[i].near_edited - brute_likeness(own, edited)) < 1e-12
 
 
 def test_empty_and_single(spark):
