@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,10 +97,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.octet_length(body).cast("long").alias("text_bytes")]
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def block_count(docs: DataFrame, name: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks that hold ``block_bytes`` of text each, from the exact total."""
     total = docs.agg(F.sum(F.octet_length(F.col(name)).cast("long"))).first()[0] or 0

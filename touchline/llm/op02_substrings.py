@@ -15,7 +15,11 @@ elsewhere spans its whole length is marked.
 A core with more than ``GROUP`` distinct cells around it is not indexed as it is: its cells are halved, which takes half of the sides into the core, and
 counted again, down to single windows if need be. So no task gets an unbounded group, and nothing is left out.
 
-Edge cases: a null or empty text has no bytes. Texts shorter than ``SPAN`` keep everything. Repeated rows are documents of their
+What a run of equal stretches has in common needs no index: one distinct stretch stands for all its copies, which is where most repeated bytes of an
+ordinary corpus are settled. The index decides about distinct stretches that share a core.
+
+Edge cases: a null or empty text has no bytes. Very long texts are cut into passes of ``PASS`` windows. Equal least hashes of a window tie to the
+leftmost. Texts shorter than ``SPAN`` keep everything. Repeated rows are documents of their
 own, so a repeated row of ``SPAN`` bytes or more loses everything. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import stored, table, text_bytes
+from touchline.llm.common import discard, stored, table, text_bytes
 
 SPAN, GRAM, CELL = 400, 64, 32
 #: Distinct cells around one core that are indexed together; and those that one index takes.
@@ -204,9 +208,7 @@ class RunLengthIndex:
         bwt = text[order - 1]
         cut = np.flatnonzero(bwt[1:] != bwt[:-1])
         self.text = text
-        self.heads = np.append(0, cut + 1)
-        self.symbols = bwt[self.heads]
-        first, last = order[self.heads], order[np.append(cut, len(text) - 1)]
+        first, last = order[np.append(0, cut + 1)], order[np.append(cut, len(text) - 1)]
         # A run's first suffix matches the last one of the run before it; a run's last suffix the first one of the run behind it.
         self.above = self._samples(first[1:], last[:-1], first[0])
         self.below = self._samples(last[:-1], first[1:], last[-1])
@@ -304,27 +306,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cell: int = CELL, group: int = GROUP) -> DataFrame:
     """k1, k2, from, to: byte ranges, which may overlap, that cover just the bytes of repeated windows of the documents (:func:`keyed`)."""
-    every = stored(find_stretches(docs, span, gram))
+    paths: list[str] = []
+    every = stored(find_stretches(docs, span, gram), paths)
     inside = every.where("copies = 0").select("k1", "k2", F.col("first").alias("from"), (F.col("last") + span).alias("to"))
     some = every.where("copies > 0")
     shared = some.groupBy("h").agg(F.sum("copies").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
-    kept = stored(some.join(shared, "h"))
+    kept = stored(some.join(shared, "h"), paths)
     columns = ["k1", "k2", "first", "last", "at"]
     classes = kept.groupBy("h", "f", "mixed").agg(F.sum("copies").alias("n"), *(F.first(c).alias(c) for c in columns))
     equal = kept.join(classes.where("n > 1").select("h", "f"), ["h", "f"])
     spans = [inside, equal.select("k1", "k2", F.col("first").alias("from"), (F.col("last") + span).alias("to"))]
     cells, size = cells_of_stretches(docs, classes.where("mixed").select(*columns, F.col("n").alias("copies")), span, cell), cell
     while True:
-        cells = stored(cells)
+        cells = stored(cells, paths)
         shared = cells.groupBy("c1", "c2").agg(F.sum("copies").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("n > 1").select("c1", "c2", (F.col("g0") != F.col("g1")).alias("mixed"))
-        kept = stored(cells.join(shared, ["c1", "c2"]))
+        kept = stored(cells.join(shared, ["c1", "c2"]), paths)
         others = [c for c in _NAMES if c not in ("c1", "c2", "g", "copies")]
         classes = kept.groupBy("c1", "c2", "g", "mixed").agg(F.sum("copies").alias("total"), *(F.first(c).alias(c) for c in others))
         equal = kept.where("copies = 1").join(classes.where("total > 1").select("c1", "c2", "g"), ["c1", "c2", "g"])
         spans.append(equal.select("k1", "k2", F.col("first").alias("from"), (F.col("first") + F.col("yb") - F.col("ya") + span).alias("to")))
         classes = classes.where("mixed").drop("mixed")
         groups = classes.groupBy("c1", "c2").agg(F.count("*").alias("m"), F.min("total").alias("least")).where("least = 1").drop("least")
-        classes = stored(classes.join(groups, ["c1", "c2"]))
+        classes = stored(classes.join(groups, ["c1", "c2"]), paths)
         spans.append(indexed_spans(classes.where(F.col("m") <= group), size, span))
         large = classes.where(F.col("m") > group)
         if size == 1 or large.isEmpty():
@@ -333,7 +336,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cell: in
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
-    return out
+    found = stored(out)
+    discard(docs.sparkSession, paths)
+    return found
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:

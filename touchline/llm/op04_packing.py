@@ -5,8 +5,8 @@ what is left, longest first. Every piece is a sequence of its own, so no sequenc
 documents and, as each has a power of two for its length, none is padded. Pieces of equal length
 form a bucket (``length``), which :func:`write_buckets` stores as one folder each.
 
-Edge cases: a null or empty text is the end token alone (one piece of length 1). Repeated rows are
-packed once each. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
+Edge cases: a null or empty text is the end token alone (one piece of length 1). A very long text
+is whole windows and the pieces of its rest. Pieces of equal length need no order, as each is a sequence. Repeated rows are packed once each. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations

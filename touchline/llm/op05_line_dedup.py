@@ -4,11 +4,12 @@ Lines are keyed by a 128-bit hash. First the lines of each (hash, salt) are laid
 largest document down: a line behind three larger documents is a repeat whatever other salts hold. What is left of a hash (the lines
 of three documents a salt at most) is streamed again, all salts together. So no task gets more than ``SALTS`` times three
 documents' lines of one hash, however common the line. Decisions travel as (document, position); texts do not. The result is
-one run-length compressed keep bitmap per document.
+one run-length compressed keep bitmap per document. The lines are hashed once, into a table that both layouts read.
 
 Edge cases: a null or empty text is one empty line. Keys shorter than ``min_chars`` are never dropped. Rows that repeat a doc_id
-count as one document. A null doc_id is a document of its own, smaller than any id. An empty table gives no rows. Columns besides ``doc_id`` and
-``text`` are ignored.
+count as one document. A null doc_id is a document of its own, smaller than any id. Of equal lines in one document all stay or all go. A very long text is one array of lines in its row. An empty
+table gives no rows. :func:`dedup_lines` keeps all other columns, whatever their names; where they have the names of its two counts, they get the counts'
+values.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import null_safe, row_key, table
+from touchline.llm.common import free_names, row_key, stored, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -48,7 +49,7 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
     """doc_id, text_hash, text_bytes, at: the positions of the lines that go (lines of three documents or more, but for the largest doc_id)."""
-    lines = _hashed_lines(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(salts)).cast("int"))
+    lines = stored(_hashed_lines(docs, min_chars)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(salts)).cast("int"))
     salted = Window.partitionBy("h1", "salt", "h2").orderBy(F.col("doc_id").desc_nulls_last())
     rank = F.dense_rank().over(salted)
     seen = lines.repartitionByRange("h1", "salt").withColumn("rank", rank)
@@ -76,18 +77,21 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS
     return held.select("doc_id", "text_hash", "text_bytes", F.size("gone").cast("long").alias("n_dropped"), runs.alias("keep_runs"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
-    """The documents with their kept lines in ``text``, n_lines and n_dropped; all other columns stay."""
-    maps = keep_bitmaps(docs, min_chars, salts).withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash", "text_bytes": "m_bytes", "n_dropped": "m_dropped", "keep_runs": "m_runs"})
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with their kept lines in ``text``, and the ``counts`` of all and of dropped lines; all other columns stay."""
+    maps = keep_bitmaps(docs, min_chars, salts)
+    names = free_names(docs, *(f"m_{c}" for c in maps.columns))
+    m_id, m_hash, m_bytes, m_dropped, m_runs = names
+    maps = maps.toDF(*names)
     key = row_key()
-    same = key[0].eqNullSafe(maps.m_id) & (key[1] == maps.m_hash) & (key[2] == maps.m_bytes)
+    same = key[0].eqNullSafe(F.col(m_id)) & (key[1] == F.col(m_hash)) & (key[2] == F.col(m_bytes))
     lines = split_lines(F.col("text"))
-    ends = F.transform("m_runs", lambda x, i: F.aggregate(F.slice("m_runs", 1, i + 1), F.lit(0), lambda a, b: a + b))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("m_runs"), F.lit(2)), lambda i: F.slice(lines, F.when(i == 0, 1).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))) + 1), F.when(i < F.size("m_runs"), F.element_at("m_runs", F.least(i + 1, F.size("m_runs")))).otherwise(F.size(lines))))
-    kept = F.when(F.col("m_runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    others = [c for c in docs.columns if c != "text"]
+    ends = F.transform(m_runs, lambda x, i: F.aggregate(F.slice(m_runs, 1, i + 1), F.lit(0), lambda a, b: a + b))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(m_runs), F.lit(2)), lambda i: F.slice(lines, F.when(i == 0, 1).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))) + 1), F.when(i < F.size(m_runs), F.element_at(m_runs, F.least(i + 1, F.size(m_runs)))).otherwise(F.size(lines))))
+    kept = F.when(F.col(m_runs).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    others = [c for c in docs.columns if c.lower() not in ("text", *counts)]
     joined = docs.join(maps, same, "left")
-    return joined.select(*others, kept.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("m_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*others, kept.alias("text"), F.size(lines).cast("long").alias(counts[0]), F.coalesce(m_dropped, F.lit(0)).cast("long").alias(counts[1]))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

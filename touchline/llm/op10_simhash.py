@@ -5,10 +5,11 @@ class. Two fingerprints within ``radius`` bits agree on two of five blocks of bi
 buckets keyed by each pair of blocks. Inside a bucket the fingerprints are stored as bit planes, 64
 lanes to a machine word; carry-save counters add up all lanes' differing bits at once and a block is
 abandoned as soon as all its lanes exceed the radius. A bucket sends on a spanning forest of its links, never all pairs, and
-a bucket beyond ``BUCKET`` rows is split into tiles compared pairwise in tasks of their own.
+a bucket beyond ``BUCKET`` rows is split into tiles compared pairwise in tasks of their own, so that n distinct fingerprints that share 26 bits take
+n squared / 2 comparisons of bits, spread over tasks of ``BUCKET`` rows a side (copies of one fingerprint are one row).
 
 Edge cases: a null or empty text (or white space alone) has fingerprint 0, which links like any other; fewer
-words than a shingle hash as the whole sequence. Repeated rows share a class. A null doc_id gets a fingerprint
+words than a shingle hash as the whole sequence. A very long text is hashed whole. A bit set in exactly half of the hashes is 0. Repeated rows share a class. A null doc_id gets a fingerprint
 and a component, and counts as the largest id. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from touchline.llm.common import checkpoint, row_key, table, text_bytes
+from touchline.llm.common import checkpoint, free_names, row_key, table, text_bytes
 from touchline.llm.components import connected_components
 
 SHINGLE = 3
@@ -234,10 +235,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, size:
     prints = checkpoint(fingerprints(docs, size, seed, carry=row_key()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "text_bytes"))
     of_class = prints.groupBy("fp").agg(first.alias("first")).join(class_roots(prints, radius, bucket), "fp")
-    chosen = of_class.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.text_bytes").alias("__bytes"))
+    names = free_names(docs, "c_id", "c_hash", "c_bytes")
+    chosen = of_class.groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "text_hash", "text_bytes"), names, strict=True)))
     key = row_key()
-    kept = docs.join(chosen, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__hash")) & (key[2] == F.col("__bytes")))
-    return kept.dropDuplicates(["__id", "__hash", "__bytes"]).select(*docs.columns)
+    kept = docs.join(chosen, key[0].eqNullSafe(F.col(names[0])) & (key[1] == F.col(names[1])) & (key[2] == F.col(names[2])))
+    return kept.dropDuplicates(names).select(*docs.columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:
