@@ -49,6 +49,13 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert {r.doc_id for r in docs.collect()} == {None, 1, 3, 4} or {r.doc_id for r in docs.collect()} == {1, 3, 4, None}
+    clash = spark.createDataFrame([(i, "the same long line in all three\nrow " + "xyz"[i], *range(8)) for i in range(3)], "doc_id long, text string, n_lines int, n_dropped int, m_doc_id int, M_hash int, fp int, score int, c_id int, __bytes int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, SF)
+        assert after.columns == clash.columns
+        assert all(tuple(r)[2:] == tuple(range(8)) for r in after.collect())
+    cut = corpus_pipeline.line_dedup(spark, clash, SF)
+    assert sorted(r.text for r in cut.collect()) == ["row x", "row y", "the same long line in all three\nrow z"]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, empty, SF)
