@@ -234,13 +234,36 @@ def test_boosting_learns_and_handles_missing_values(spark):
     x = rng.normal(0, 1, (900, 4))
     y = np.where(x[:, 0] + 0.3 * rng.normal(size=900) > 0.4, 0, np.where(x[:, 1] > 0, 1, 2))
     x[rng.random(x.shape) < 0.1] = np.nan
-    p = gbdt.Boosted(gbdt.BoostConfig(rounds=40, rate=0.1)).fit(x[:600], y[:600]).predict(x[600:])
-    assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == y[600:]).mean() > 0.75
     rows = [(i, 2000 + i // 300, int(t), *(None if np.isnan(v) else float(v) for v in f)) for i, (f, t) in enumerate(zip(x, y, strict=True))]
     df = spark.createDataFrame(rows, "fixture_id long, season int, target int, a double, b double, c double, d double")
-    folds = spark.createDataFrame([(0, 2001), (1, 2002)], "fold int, season int")
-    out = gbdt.fold_probabilities(df, folds, ["a", "b", "c", "d"], gbdt.BoostConfig(rounds=5)).collect()
+    folds = spark.createDataFrame([(0, 2000), (1, 2001), (2, 2002)], "fold int, season int")
+    out = gbdt.fold_probabilities(df, folds, ["a", "b", "c", "d"], gbdt.BoostConfig(rounds=40, rate=0.1)).collect()
     assert sorted(r.fixture_id for r in out) == list(range(300, 900))
+    last = {r.fixture_id: r.p for r in out if r.fold == 2}
+    assert all(math.isclose(sum(p), 1) for p in last.values())
+    assert np.mean([np.argmax(p) == y[i] for i, p in last.items()]) > 0.75
+    dealt = df.withColumns({"fold": F.lit(0), "trains": F.col("season") < 2002})
+    halves = gbdt.dealt_probabilities(dealt, ["a", "b", "c", "d"], gbdt.BoostConfig(rounds=40, rate=0.1), slice_rows=300).collect()
+    assert len(halves) == 300 and np.mean([np.argmax(r.p) == y[r.fixture_id] for r in halves]) > 0.7
+
+
+def test_trees_lower_the_loss_and_keep_leaves_large():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (500, 3))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
+    c = gbdt.BoostConfig(rounds=30, rate=0.1, least_rows=40, leaves=6)
+    bins = gbdt.binned(x, [np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1]) for j in range(3)])
+    base, trees = gbdt.boost(bins, y, c)
+    f, losses = np.tile(base, (500, 1)), []
+    for t, nodes in enumerate(trees):
+        assert (nodes[:, 0] < 0).sum() <= c.leaves
+        value = gbdt.leaf_values(nodes, bins)
+        f[:, t % 3] += c.rate * value
+        if t % 3 == 2:
+            losses.append(-np.log(gbdt.softmax(f)[np.arange(500), y]).mean())
+    assert losses[-1] < 0.7 * losses[0]
+    one = gbdt.grow(bins, np.arange(500), (y == 0) - 0.3, np.full(500, 0.2), np.arange(3), int(bins.max()) + 2, c)
+    assert min(np.unique(gbdt.leaf_values(one, bins), return_counts=True)[1]) >= c.least_rows
 
 
 def test_all_systems_cover_the_same_keys(spark):
@@ -260,19 +283,54 @@ def test_fold_plan_is_purged(spark):
     rows = [(i, 1_000_000 + (i // 3) * 50_000) for i in range(1500)]
     df = spark.createDataFrame(rows, "fixture_id long, kickoff long").select("fixture_id", "kickoff", (F.col("kickoff") - 86_400).alias("as_of"), (F.col("kickoff") + 86_400).alias("target_available"))
     stages = backtest.plan(df)
-    assert len(stages) == 3 and stages[-1].evaluation_end == 1500
-    for s, after in zip(stages, [*stages[1:], None], strict=True):
-        assert max(k + 86_400 for i, k in rows if i < s.raw_end) < rows[s.calibration_start][1] - 86_400
-        assert max(k + 86_400 for i, k in rows if i < s.calibration_end) < rows[s.evaluation_start][1] - 86_400
-        assert s.raw_end >= 525 and s.calibration_end - s.calibration_start >= 150
+    by = {(r.fold, r.role): r for r in stages}
+    assert len(stages) == 9 and by[2, "evaluate"].to_row == 1500 and backtest.is_forward(stages)
+    known = lambda n: max(k + 86_400 for i, k in rows if i < n)
+    for i in range(3):
+        train, calibrate, evaluate = (by[i, role] for role in ("train", "calibrate", "evaluate"))
+        assert train.from_row == 0 and known(train.to_row) < rows[calibrate.from_row][1] - 86_400
+        assert known(calibrate.to_row) < rows[evaluate.from_row][1] - 86_400
+        assert train.to_row >= 525 and 150 <= calibrate.to_row - calibrate.from_row < 153
+        assert calibrate.purged == calibrate.from_row - train.to_row and evaluate.purged == evaluate.from_row - calibrate.to_row
         # No later boundary would have been safe.
-        assert not max(k + 86_400 for i, k in rows if i < s.calibration_end + 3) < rows[s.evaluation_start][1] - 86_400
-        assert after is None or after.evaluation_start == s.evaluation_end
+        assert not known(calibrate.to_row + 3) < rows[evaluate.from_row][1] - 86_400
+        assert i == 2 or by[i + 1, "evaluate"].from_row == evaluate.to_row
     dealt = {(r.fold, r.role): r["count"] for r in backtest.deal(df, stages).groupBy("fold", "role").count().collect()}
-    for i, s in enumerate(stages):
-        assert dealt[i, "train"] == s.raw_end and dealt[i, "evaluate"] == s.evaluation_end - s.evaluation_start and dealt[i, "calibrate"] == s.calibration_end - s.calibration_start
+    assert dealt == {(r.fold, r.role): r.to_row - r.from_row for r in stages}
+    raw, start = backtest.final_fit(df, 525, 150)
+    assert start == 1350 and known(raw) < rows[start][1] - 86_400 <= known(raw + 3)
     with pytest.raises(ValueError):
         backtest.plan(df.limit(60))
+    with pytest.raises(ValueError):
+        backtest.final_fit(df, 1400, 150)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fold_plan_agrees_with_search(spark, seed):
+    """Every boundary by trying them all, on kickoffs of uneven size and uneven delays of the results."""
+    rng = random.Random(seed)
+    times = sorted(rng.choices(range(1_000_000, 60_000_000, 7_200), k=1200))
+    delay = {t: rng.choice([3_600, 86_400, 400_000]) for t in times}
+    rows = [(i, t, t - 86_400, t + delay[t]) for i, t in enumerate(times)]
+    bounds = [i for i in range(1200) if i == 0 or times[i] != times[i - 1]] + [1200]
+    safe = lambda row: max(b for b in bounds if b <= row and max([-1, *(r[3] for r in rows[:b])]) < rows[row][2])
+
+    def stage(start):
+        end = safe(start)
+        cut = max((b for b in bounds if b <= end - 120), default=None)
+        return None if cut is None or safe(cut) < 420 else (safe(cut), cut, end, start)
+
+    df = spark.createDataFrame(rows, "fixture_id long, kickoff long, as_of long, target_available long")
+    first = next(i for i in range(2, len(bounds) - 3) if stage(bounds[i]))
+    cuts = [first]
+    for k in (1, 2):
+        wanted = bounds[first] + (1200 - bounds[first]) * k / 3
+        cuts.append(min(range(cuts[-1] + 1, len(bounds) - 1 - (3 - k) + 1), key=lambda i: (abs(bounds[i] - wanted), i)))
+    want = []
+    for i, (at, stop) in enumerate(zip(cuts, [*(bounds[c] for c in cuts[1:]), 1200], strict=True)):
+        raw, cut, end, start = stage(bounds[at])
+        want += [(i, "train", 0, raw, 0), (i, "calibrate", cut, end, cut - raw), (i, "evaluate", start, stop, start - end)]
+    assert [tuple(r) for r in backtest.plan(df)] == want
 
 
 def test_gates():

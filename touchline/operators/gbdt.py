@@ -1,7 +1,8 @@
-"""Gradient-boosted trees for three outcomes: histogram bins, leaf-wise growth, nulls sent to the better side.
+"""Gradient-boosted trees for three outcomes, grown in Spark tasks over bounded slices of each fold's rows.
 
-One model is a few thousand rows by a score of features, so a fold is one task and folds run side by side
-(:func:`fold_probabilities`).
+Spark finds the quantile edges of every fold's features, deals the training rows of a fold into slices of some ``SLICE_ROWS`` by a hash of the fixture, grows one
+boosted model a slice, all folds and slices side by side, and scores every row of a fold by each of its models; a row's margins are averaged
+by an aggregation. A fold of few rows is one slice, and so one model. A task never holds more than a slice.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SLICE_ROWS = 40_000
+
 
 @dataclass(frozen=True)
 class BoostConfig:
@@ -28,136 +31,166 @@ class BoostConfig:
     seed: int = 20260710
 
 
-class Bins:
-    """Quantile bins of each feature; bin 0 is for missing values."""
-
-    def __init__(self, x: np.ndarray, bins: int):
-        self.edges = []
-        for column in x.T:
-            seen = np.unique(column[~np.isnan(column)])
-            middle = (seen[1:] + seen[:-1]) / 2
-            self.edges.append(middle if len(middle) < bins else np.unique(np.quantile(column[~np.isnan(column)], np.linspace(0, 1, bins + 1)[1:-1])))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape, np.int64)
-        for j, edges in enumerate(self.edges):
-            have = ~np.isnan(x[:, j])
-            out[have, j] = 1 + np.searchsorted(edges, x[have, j], side="right")
-        return out
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers by feature; 0 is for missing values."""
+    out = np.zeros(x.shape, np.int64)
+    for j, e in enumerate(edges):
+        have = ~np.isnan(x[:, j])
+        out[have, j] = 1 + np.searchsorted(e, x[have, j], side="right")
+    return out
 
 
 def _worth(g: np.ndarray, h: np.ndarray, c: BoostConfig) -> np.ndarray:
     return np.maximum(np.abs(g) - c.l1, 0) ** 2 / (h + c.l2)
 
 
-def _best_split(binned: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, width: int, c: BoostConfig):
-    """(gain, feature, last bin on the left, whether missing values go left)."""
-    flat = (binned[rows][:, columns] + np.arange(len(columns)) * width).ravel()
-    shape = (len(columns), width)
-    total = [np.bincount(flat, np.repeat(v[rows], len(columns)), len(columns) * width).reshape(shape) for v in (g, h, np.ones(len(g)))]
-    whole = [t.sum(axis=1, keepdims=True) for t in total]
+def _best_split(sums: np.ndarray, columns: np.ndarray, c: BoostConfig) -> tuple[float, int, int, bool]:
+    """(gain, feature, last bin on the left, whether missing values go left) from (3, features, bins) sums of g, h and rows."""
+    whole = sums.sum(axis=2, keepdims=True)
+    here = _worth(whole[0], whole[1], c)
+    known = np.cumsum(sums[:, :, 1:], axis=2)
     best = (1e-9, -1, -1, False)
     for missing_left in (False, True):
-        left = [np.cumsum(t[:, 1:], axis=1) + (t[:, :1] if missing_left else 0) for t in total]
-        right = [w - x for w, x in zip(whole, left, strict=True)]
-        gain = _worth(left[0], left[1], c) + _worth(right[0], right[1], c) - _worth(whole[0], whole[1], c)
-        gain[(left[2] < c.least_rows) | (right[2] < c.least_rows)] = -np.inf
+        left = known + sums[:, :, :1] if missing_left else known
+        right = whole - left
+        gain = _worth(left[0], left[1], c) + _worth(right[0], right[1], c) - here
+        gain[np.minimum(left[2], right[2]) < c.least_rows] = -np.inf
         at = int(gain.argmax())
         if gain.flat[at] > best[0]:
             best = (float(gain.flat[at]), int(columns[at // gain.shape[1]]), at % gain.shape[1] + 1, missing_left)
     return best
 
 
-def _goes_left(binned: np.ndarray, feature: int, last: int, missing_left: bool) -> np.ndarray:
-    column = binned[:, feature]
-    return np.where(column == 0, missing_left, column <= last)
+def grow(bins: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, width: int, c: BoostConfig) -> np.ndarray:
+    """(nodes, 6): feature (-1 in a leaf), last bin on the left, whether missing values go left, both children, value. The leaf of largest gain is split next."""
+    cells = bins[:, columns] + np.arange(len(columns)) * width
+    size = len(columns) * width
 
+    def sums(own: np.ndarray) -> np.ndarray:
+        flat = cells[own].ravel()
+        by = lambda v: np.bincount(flat, np.repeat(v[own], len(columns)), size)
+        return np.stack([by(g), by(h), np.bincount(flat, minlength=size)]).reshape(3, len(columns), width)
 
-def grow(binned: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, width: int, c: BoostConfig) -> list:
-    """Nodes (feature, last, missing_left, left, right) or values; the leaf of the largest gain is split next."""
-    nodes: list = [None]
-    open_leaves = [(*_best_split(binned, rows, g, h, columns, width, c), 0, rows)]
-    for _ in range(c.leaves - 1):
-        at = max(range(len(open_leaves)), key=lambda i: open_leaves[i][0])
-        gain, feature, last, missing_left, node, own = open_leaves[at]
+    first = sums(rows)
+    nodes, leaves = [[-1, 0, 0, 0, 0, 0.0]], [(_best_split(first, columns, c), 0, rows, first)]
+    while len(leaves) < c.leaves:
+        at = max(range(len(leaves)), key=lambda i: leaves[i][0][0])
+        (_, feature, last, missing_left), node, own, held = leaves[at]
         if feature < 0:
             break
-        del open_leaves[at]
-        left = _goes_left(binned[own], feature, last, missing_left)
-        nodes[node] = (feature, last, missing_left, len(nodes), len(nodes) + 1)
-        for part in (own[left], own[~left]):
-            open_leaves.append((*_best_split(binned, part, g, h, columns, width, c), len(nodes), part))
-            nodes.append(None)
-    for *_, node, own in open_leaves:
+        del leaves[at]
+        column = bins[own, feature]
+        left = np.where(column == 0, missing_left, column <= last)
+        nodes[node][:5] = [feature, last, missing_left, len(nodes), len(nodes) + 1]
+        parts = [own[left], own[~left]]
+        less = int(len(parts[1]) < len(parts[0]))
+        few = sums(parts[less])  # the other child has the rest of the node's sums
+        for k in (0, 1):
+            leaves.append((_best_split(s := few if k == less else held - few, columns, c), len(nodes), parts[k], s))
+            nodes.append([-1, 0, 0, 0, 0, 0.0])
+    for _, node, own, _ in leaves:
         total = g[own].sum()
-        nodes[node] = float(-np.sign(total) * max(abs(total) - c.l1, 0) / (h[own].sum() + c.l2))
-    return nodes
-
-
-def walk(nodes: list, binned: np.ndarray) -> np.ndarray:
-    out = np.empty(len(binned))
-    stack = [(0, np.arange(len(binned)))]
-    while stack:
-        node, rows = stack.pop()
-        if isinstance(nodes[node], float):
-            out[rows] = nodes[node]
-            continue
-        feature, last, missing_left, left, right = nodes[node]
-        goes = _goes_left(binned[rows], feature, last, missing_left)
-        stack += [(left, rows[goes]), (right, rows[~goes])]
-    return out
+        nodes[node][5] = -np.sign(total) * max(abs(total) - c.l1, 0) / (h[own].sum() + c.l2)
+    return np.array(nodes, np.float32)
+
+
+def leaf_values(nodes: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Each row's value, all rows going down a level at a time."""
+    at, inner = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    part = nodes[:, :5].astype(np.int64)
+    while True:
+        inner = inner[part[at[inner], 0] >= 0]
+        if not len(inner):
+            return nodes[at, 5]
+        node = part[at[inner]]
+        column = bins[inner, node[:, 0]]
+        at[inner] = np.where(np.where(column == 0, node[:, 2] == 1, column <= node[:, 1]), node[:, 3], node[:, 4])
 
 
-def _softmax(f: np.ndarray) -> np.ndarray:
+def softmax(f: np.ndarray) -> np.ndarray:
     e = np.exp(f - f.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-class Boosted:
-    def __init__(self, config: BoostConfig = BoostConfig()):
-        self.config = config
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        c, rng = self.config, np.random.default_rng(self.config.seed)
-        self.bins = Bins(x, c.bins)
-        binned = self.bins(x)
-        width = int(binned.max()) + 2
-        hot = np.eye(3)[y]
-        self.base = np.log(np.maximum(hot.mean(axis=0), 1e-12))
-        f = np.tile(self.base, (len(x), 1))
-        self.trees = []
-        for _ in range(c.rounds):
-            rows = np.sort(rng.choice(len(x), max(1, int(len(x) * c.row_share)), replace=False))
-            columns = np.sort(rng.choice(x.shape[1], max(1, int(x.shape[1] * c.column_share)), replace=False))
-            p = _softmax(f)
-            three = [grow(binned, rows, p[:, k] - hot[:, k], 1.5 * p[:, k] * (1 - p[:, k]), columns, width, c) for k in range(3)]
-            for k, nodes in enumerate(three):
-                f[:, k] += c.rate * walk(nodes, binned)
-            self.trees.append(three)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        binned = self.bins(x)
-        f = np.tile(self.base, (len(x), 1))
-        for three in self.trees:
-            for k, nodes in enumerate(three):
-                f[:, k] += self.config.rate * walk(nodes, binned)
-        return _softmax(f)
+def boost(bins: np.ndarray, y: np.ndarray, c: BoostConfig) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starting margins and trees, three a round."""
+    rng, width, hot = np.random.default_rng(c.seed), int(bins.max()) + 2, np.eye(3)[y]
+    base = np.log(np.maximum(hot.mean(axis=0), 1e-12))
+    f, trees = np.tile(base, (len(y), 1)), []
+    for _ in range(c.rounds):
+        rows = np.sort(rng.choice(len(y), max(1, int(len(y) * c.row_share)), replace=False))
+        columns = np.sort(rng.choice(bins.shape[1], max(1, int(bins.shape[1] * c.column_share)), replace=False))
+        p = softmax(f)
+        three = [grow(bins, rows, p[:, k] - hot[:, k], 1.5 * p[:, k] * (1 - p[:, k]), columns, width, c) for k in range(3)]
+        for k, nodes in enumerate(three):
+            f[:, k] += c.rate * leaf_values(nodes, bins)
+        trees += three
+    return base, trees
+
+
+def _packed(trees: list[np.ndarray]) -> tuple[bytes, list[int]]:
+    return np.concatenate(trees).astype(np.float32).tobytes(), [len(t) for t in trees]
+
+
+def fold_edges(train: DataFrame, features: list[str], bins: int) -> dict[int, list[np.ndarray]]:
+    """Quantile edges by fold and feature: ``bins - 1`` numbers at most for each, found by Spark."""
+    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    found = train.groupBy("fold").agg(*(F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in features)).collect()  # a row a fold
+    return {r.fold: [np.unique(np.array(r[c] or [], float)) for c in features] for r in found}
+
+
+def _matrix(table: pa.Table, features: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features], 1)
+
+
+def dealt_probabilities(dealt: DataFrame, features: list[str], config: BoostConfig = BoostConfig(), slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """fixture_id, fold, p for the rows of ``dealt`` (fold, trains, fixture_id, target, features) that do not train; none for a fold whose training rows lack an outcome."""
+    dealt = dealt.select("fold", "trains", "fixture_id", "target", *features).persist()
+    train = dealt.where("trains and target is not null")
+    edges = fold_edges(train, features, config.bins)
+    sizes = train.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("target").alias("outcomes")).where("outcomes = 3")
+    slices = F.broadcast(sizes.select("fold", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")))  # a row a fold
+    part = F.pmod(F.xxhash64("fixture_id"), F.col("slices")).cast("int").alias("slice")
+    many = max(1, sum(r.slices for r in slices.select("slices").collect()))
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("fixture_id")
+        y = rows.column("target").to_numpy().astype(np.int64)
+        base, trees = boost(binned(_matrix(rows, features), edges[key[0].as_py()]), y, config)
+        nodes, lengths = _packed(trees)
+        return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "base": pa.array([base.tolist()], pa.list_(pa.float64())), "nodes": pa.array([nodes], pa.binary()), "lengths": pa.array([lengths], pa.list_(pa.int32()))})
+
+    # So many partitions are asked for that slices seldom meet in one, and adaptive execution does not join them.
+    laid = train.join(slices, "fold").select("*", part).repartition(4 * many, "fold", "slice")
+    models = laid.groupBy("fold", "slice").applyInArrow(fit, "fold int, slice int, base array<double>, nodes binary, lengths array<int>")
+
+    def score(key: tuple, rows: pa.Table, model: pa.Table) -> pa.Table:
+        ids = rows.column("fixture_id")
+        if not rows.num_rows or not model.num_rows:
+            return pa.table({"fixture_id": pa.array([], pa.int64()), "fold": pa.array([], pa.int32()), "f": pa.array([], pa.list_(pa.float64()))})
+        bins = binned(_matrix(rows, features), edges[key[0].as_py()])
+        f = np.tile(np.array(model.column("base")[0].as_py()), (rows.num_rows, 1))
+        nodes, at = np.frombuffer(model.column("nodes")[0].as_py(), np.float32).reshape(-1, 6), 0
+        for t, n in enumerate(model.column("lengths")[0].as_py()):
+            f[:, t % 3] += config.rate * leaf_values(nodes[at : at + n], bins)
+            at += n
+        return pa.table({"fixture_id": ids, "fold": pa.array(np.full(rows.num_rows, key[0].as_py()), pa.int32()), "f": pa.array(list(f), pa.list_(pa.float64()))})
+
+    # Rows to score are dealt into parts as well, so that neither a fold's rows nor its models meet in one task.
+    asked = dealt.where("not trains").join(slices, "fold")
+    counts = asked.groupBy("fold").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"))
+    asked = asked.join(F.broadcast(counts), "fold").withColumn("part", F.pmod(F.xxhash64("fixture_id", F.lit(1)), F.col("parts")).cast("int"))
+    asked = asked.select("fold", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "part", "fixture_id", *features)
+    models = models.join(F.broadcast(counts), "fold").select("fold", "slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "base", "nodes", "lengths")
+    margins = asked.groupBy("fold", "slice", "part").cogroup(models.groupBy("fold", "slice", "part")).applyInArrow(score, "fixture_id long, fold int, f array<double>")
+    mean = margins.groupBy("fixture_id", "fold").agg(*(F.avg(F.get("f", F.lit(k))).alias(f"f{k}") for k in range(3)))
+    top = F.greatest("f0", "f1", "f2")
+    shares = [F.exp(F.col(f"f{k}") - top) for k in range(3)]
+    return mean.select("fixture_id", "fold", F.array(*(x / (shares[0] + shares[1] + shares[2]) for x in shares)).alias("p"))
 
 
 def fold_probabilities(rows: DataFrame, folds: DataFrame, features: list[str], config: BoostConfig = BoostConfig()) -> DataFrame:
     """fixture_id, fold, p: for each fold (fold, season) a model of all earlier seasons' rows (season, target, features) predicts that season."""
     folds = F.broadcast(folds.select("fold", F.col("season").alias("fold_season")))  # one row per season
-    columns = ["fixture_id", "target", *features]
-    dealt = rows.join(folds, F.col("season") <= F.col("fold_season")).select("fold", (F.col("season") < F.col("fold_season")).alias("trains"), *columns)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("fixture_id")
-        x = frame[features].to_numpy(np.float64)
-        train, test = frame.trains.to_numpy() & frame.target.notna().to_numpy(), ~frame.trains.to_numpy()
-        if len(set(frame.target[train])) != 3 or not test.any():
-            return pd.DataFrame({"fixture_id": [], "fold": [], "p": []})
-        p = Boosted(config).fit(x[train], frame.target[train].to_numpy(np.int64)).predict(x[test])
-        return pd.DataFrame({"fixture_id": frame.fixture_id[test], "fold": frame.fold[test], "p": list(p)})
-
-    return dealt.groupBy("fold").applyInPandas(run, "fixture_id long, fold int, p array<double>")
+    dealt = rows.join(folds, F.col("season") <= F.col("fold_season"))
+    return dealt_probabilities(dealt.withColumn("trains", F.col("season") < F.col("fold_season")), features, config)

@@ -358,7 +358,7 @@ def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = backtest.deal(examples, stages).where("role = 'evaluate'").select(F.col("fixture_id").alias("key"), "kickoff", "fold")
     s = scored(spark, sf_dir).where("model_id = 'proportional'").join(dealt, "key")
     r = s.agg(F.avg("argmax_hit").alias("hit"), F.avg("brier").alias("brier"), F.count("*").alias("n"), F.countDistinct("fold").alias("folds"), F.min("kickoff").alias("first"), F.max("kickoff").alias("last")).first()
-    forward = all(a.raw_end <= a.calibration_start < a.calibration_end <= a.evaluation_start for a in stages) and all(a.evaluation_end <= b.evaluation_start for a, b in zip(stages, stages[1:], strict=False))
+    forward = backtest.is_forward(stages)
     report = {"hitRate": r.hit, "brier": r.brier, "sampleCount": r.n, "foldCount": r.folds, "evaluationStartUtc": r["first"], "evaluationEndUtc": r["last"], "protocol": "walk-forward" if forward else "other"}
     return spark.createDataFrame([(m,) for m in backtest.apply_gate(report, "1", "append-only")], "failure string")
 
