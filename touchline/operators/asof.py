@@ -40,7 +40,7 @@ class AsOfConfig:
         return self.lead + self.lag + 1
 
 
-#: Names and order of the features.
+#: Names and order of the features.
 FEATURES = [
     "home_points_sum_5",
     "away_points_sum_5",
@@ -68,27 +68,32 @@ def appearances(fixtures: DataFrame) -> DataFrame:
     return rows.withColumns({"scored": final("scored"), "conceded": final("conceded"), "points": F.when(F.col("is_final"), points(F.col("scored"), F.col("conceded")))})
 
 
-def rolling_as_of(rows: DataFrame, keys: list[str], sums: dict[str, Column], config: AsOfConfig, as_of: Column | None = None) -> DataFrame:
-    """Adds a struct ``seen``: for each name the sum over the last ``window`` counted rows of the same keys, and last_kickoff."""
-    rows = rows.repartition(*keys)
+def rolling_as_of(rows: DataFrame, keys: list[str], sums: dict[str, Column], config: AsOfConfig, name: str = "seen") -> DataFrame:
+    """Adds a struct ``name``: for each of ``sums`` the sum over the last ``window`` counted rows of the same keys, and last_kickoff.
+
+    ``rows`` should be dealt by some of the keys: then these windows need no exchange of their own.
+    """
     counted = Window.partitionBy(*keys, "is_final").orderBy("kickoff", "fixture_id")
     last = counted.rowsBetween(1 - config.window, Window.currentRow)
     state = F.struct(F.row_number().over(counted).alias("seq"), *(F.sum(c).over(last).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
     rows = rows.withColumn("state", state).withColumn("state", F.when(F.col("is_final"), F.col("state")))
     known = Window.partitionBy(*keys).orderBy("kickoff").rangeBetween(Window.unboundedPreceding, -config.gap)
-    return rows.withColumn("seen", F.max("state").over(known)).drop("state")
+    return rows.withColumn(name, F.max("state").over(known)).drop("state")
 
 
 def team_form(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), venue: bool = False) -> DataFrame:
     """fixture_id, is_home, seen: each team's form, over all its fixtures or those at the same venue."""
     keys = ["league_id", "team", *(["is_home"] if venue else [])]
-    sums = {"points": F.col("points"), "scored": F.col("scored"), "conceded": F.col("conceded")}
-    return rolling_as_of(appearances(fixtures), keys, sums, config).select("fixture_id", "is_home", "kickoff", "seen")
+    return rolling_as_of(appearances(fixtures).repartition(*keys), keys, form_sums(), config).select("fixture_id", "is_home", "kickoff", "seen")
+
 
+def form_sums() -> dict[str, Column]:
+    return {c: F.col(c) for c in ("points", "scored", "conceded")}
 
-def by_side(form: DataFrame, columns: dict[str, tuple[bool, Column]]) -> DataFrame:
-    """One row per fixture from the two of its teams."""
-    return form.groupBy("fixture_id").agg(*(F.max(F.when(F.col("is_home") == home, c)).alias(n) for n, (home, c) in columns.items()))
+
+def by_side(form: DataFrame, columns: dict[str, tuple[bool, Column]], more: list[Column] | None = None) -> DataFrame:
+    """One row per fixture from the two of its teams, with further aggregates over both."""
+    return form.groupBy("fixture_id").agg(*(F.max(F.when(F.col("is_home") == home, c)).alias(n) for n, (home, c) in columns.items()), *(more or []))
 
 
 def form_columns() -> dict[str, tuple[bool, Column]]:
@@ -103,8 +108,8 @@ def form_columns() -> dict[str, tuple[bool, Column]]:
     }
 
 
-def venue_columns() -> dict[str, tuple[bool, Column]]:
-    won, diff = F.col("seen.points").cast("double"), (F.col("seen.scored") - F.col("seen.conceded")).cast("double")
+def venue_columns(seen: str = "seen") -> dict[str, tuple[bool, Column]]:
+    won, diff = F.col(f"{seen}.points").cast("double"), (F.col(f"{seen}.scored") - F.col(f"{seen}.conceded")).cast("double")
     return {"home_home_points_sum_5": (True, won), "home_home_goal_diff_sum_5": (True, diff), "away_away_points_sum_5": (False, won), "away_away_goal_diff_sum_5": (False, diff)}
 
 
@@ -114,15 +119,16 @@ def rest_columns(config: AsOfConfig = AsOfConfig()) -> dict[str, tuple[bool, Col
     return {"home_rest_days": (True, days), "away_rest_days": (False, days)}
 
 
-def head_to_head(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
-    """fixture_id, h2h_home_points_sum_5 (of today's home team over the last meetings, wherever played), last_meeting."""
+def head_to_head(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """fixture_id, h2h_home_points_sum_5 (of today's home team over the last meetings, wherever played), last_meeting, and columns to ``carry`` along."""
     first = F.col("home") <= F.col("away")
     won = F.when(F.col("is_final"), points(F.col("home_goals"), F.col("away_goals")))
     lost = F.when(F.col("is_final"), points(F.col("away_goals"), F.col("home_goals")))
     rows = fixtures.withColumns({"low": F.least("home", "away"), "high": F.greatest("home", "away"), "of_low": F.when(first, won).otherwise(lost), "of_high": F.when(first, lost).otherwise(won)})
-    rows = rolling_as_of(rows, ["league_id", "low", "high"], {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
+    keys = ["league_id", "low", "high"]
+    rows = rolling_as_of(rows.repartition(*keys), keys, {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
     mine = F.when(first, F.col("seen.of_low")).otherwise(F.col("seen.of_high"))
-    return rows.select("fixture_id", mine.cast("double").alias("h2h_home_points_sum_5"), F.col("seen.last_kickoff").alias("last_meeting"))
+    return rows.select("fixture_id", *carry, mine.cast("double").alias("h2h_home_points_sum_5"), F.col("seen.last_kickoff").alias("last_meeting"))
 
 
 def outcome_prior(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
@@ -137,14 +143,18 @@ def outcome_prior(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> Dat
     return fixtures.select("fixture_id", "league_id", "kickoff").join(times, ["league_id", "kickoff"]).select("fixture_id", shares.alias("p"))
 
 
-def source_max(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
-    """fixture_id, as_of, source_max: when the latest counted result became known (as_of - 1 if none), which must lie before as_of."""
-    form = team_form(fixtures, config).groupBy("fixture_id", "kickoff").agg(F.max("seen.last_kickoff").alias("last_kickoff"))
-    latest = form.join(head_to_head(fixtures, config), "fixture_id").withColumn("latest", F.greatest("last_kickoff", "last_meeting"))
+def source_columns(config: AsOfConfig) -> list[Column]:
+    """as_of, and source_max from kickoff, last_kickoff and last_meeting: when the latest counted result became known (as_of - 1 if none), which must lie before as_of."""
     as_of = F.col("kickoff") - config.lead
-    known = F.coalesce(F.col("latest") + config.lag, as_of - 1)
+    known = F.coalesce(F.greatest("last_kickoff", "last_meeting") + config.lag, as_of - 1)
     checked = F.when(known >= as_of, F.raise_error(F.lit("a result was used before it was known"))).otherwise(known)
-    return latest.select("fixture_id", as_of.alias("as_of"), checked.alias("source_max"))
+    return [as_of.alias("as_of"), checked.alias("source_max")]
+
+
+def source_max(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
+    """fixture_id, as_of, source_max."""
+    form = by_side(team_form(fixtures, config), {}, [F.max("seen.last_kickoff").alias("last_kickoff")])
+    return head_to_head(fixtures, config, ("kickoff",)).join(form, "fixture_id").select("fixture_id", *source_columns(config))
 
 
 def form_at(fixtures: DataFrame, at: int, config: AsOfConfig = AsOfConfig()) -> DataFrame:
@@ -166,11 +176,16 @@ def form_at(fixtures: DataFrame, at: int, config: AsOfConfig = AsOfConfig()) ->
 
 
 def snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
-    """fixture_id, kickoff, as_of, source_max, target, target_available and the features by name; target is null unless final."""
+    """fixture_id, kickoff, as_of, source_max, target, target_available and the features by name; target is null unless final.
+
+    Form over all fixtures and by venue share one exchange by team and one grouping by fixture; the meetings carry the fixture along.
+    """
     from touchline.operators.elo import elo_snapshots
 
-    form = by_side(team_form(fixtures, config), form_columns() | rest_columns(config))
-    venue = by_side(team_form(fixtures, config, venue=True), venue_columns())
-    wide = fixtures.join(form, "fixture_id").join(venue, "fixture_id").join(head_to_head(fixtures, config), "fixture_id").join(elo_snapshots(fixtures, config), "fixture_id").join(source_max(fixtures, config), "fixture_id")
+    teams = appearances(fixtures).repartition("league_id", "team")
+    both = rolling_as_of(rolling_as_of(teams, ["league_id", "team"], form_sums(), config), ["league_id", "team", "is_home"], form_sums(), config, "at_venue")
+    form = by_side(both, form_columns() | rest_columns(config) | venue_columns("at_venue"), [F.max("seen.last_kickoff").alias("last_kickoff")])
+    meetings = head_to_head(fixtures, config, ("league_id", "season", "kickoff", "is_final", "home_goals", "away_goals"))
+    wide = meetings.join(form, "fixture_id").join(elo_snapshots(fixtures, config), "fixture_id")
     target = F.when(F.col("is_final"), outcome(F.col("home_goals"), F.col("away_goals")))
-    return wide.select("fixture_id", "league_id", "season", "kickoff", "as_of", "source_max", target.alias("target"), (F.col("kickoff") + config.lag).alias("target_available"), *FEATURES)
+    return wide.select("fixture_id", "league_id", "season", "kickoff", *source_columns(config), target.alias("target"), (F.col("kickoff") + config.lag).alias("target_available"), *FEATURES)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,29 +38,30 @@ def elo_snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> Dat
     last = (F.col("kind") == APPLY).cast("int")
     order = [F.col("league_id"), F.col("time"), last, F.col("kickoff"), F.col("kind"), F.col("fixture_id")]
     events = timeline(fixtures, config).repartition("league_id").sortWithinPartitions(*order)
+    actual = F.when(F.col("home_goals") > F.col("away_goals"), 1.0).when(F.col("home_goals") == F.col("away_goals"), 0.5).otherwise(0.0)
+    events = events.select("kind", "league_id", "season", "fixture_id", "home", "away", actual.alias("actual"))
+    base, advantage, k = config.elo_base, config.home_advantage, config.elo_k
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, season, ratings = None, None, {}
-        for frame in frames:
+        for batch in batches:
             ids, values = [], []
-            for e in frame.itertuples(index=False):
-                if e.league_id != league:
-                    league, season, ratings = e.league_id, None, {}
-                if e.kind == CARRY:
-                    if season is not None and e.season < season:
-                        raise ValueError(f"season {e.season} after {season} in league {league}")
-                    if season is not None and e.season > season:
-                        ratings = {t: config.elo_base + config.season_carry * (r - config.elo_base) for t, r in ratings.items()}
-                    season = e.season
-                    continue
-                home, away = ratings.get(e.home, config.elo_base), ratings.get(e.away, config.elo_base)
-                if e.kind == ASK:
-                    ids.append(e.fixture_id)
-                    values.append(round(home + config.home_advantage - away, 8))
-                    continue
-                actual = 1.0 if e.home_goals > e.away_goals else 0.5 if e.home_goals == e.away_goals else 0.0
-                change = config.elo_k * (actual - expected(home, away, config.home_advantage))
-                ratings[e.home], ratings[e.away] = home + change, away - change
-            yield pd.DataFrame({"fixture_id": pd.Series(ids, dtype="int64"), "elo_diff_home_adv": pd.Series(values, dtype="float64")})
+            for kind, of, year, fixture, h, a, actual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != league:
+                    league, season, ratings = of, None, {}
+                if kind == ASK:
+                    ids.append(fixture)
+                    values.append(round(ratings.get(h, base) + advantage - ratings.get(a, base), 8))
+                elif kind == APPLY:
+                    home, away = ratings.get(h, base), ratings.get(a, base)
+                    change = k * (actual - expected(home, away, advantage))
+                    ratings[h], ratings[a] = home + change, away - change
+                else:
+                    if season is not None and year < season:
+                        raise ValueError(f"season {year} after {season} in league {league}")
+                    if season is not None and year > season:
+                        ratings = {t: base + config.season_carry * (r - base) for t, r in ratings.items()}
+                    season = year
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.float64())], names=["fixture_id", "elo_diff_home_adv"])
 
-    return events.mapInPandas(fold, "fixture_id long, elo_diff_home_adv double")
+    return events.mapInArrow(fold, "fixture_id long, elo_diff_home_adv double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.probability import let, normalise, poisson_outcomes
+from touchline.functions.probability import normalise, poisson_outcomes
 
 # ---- logit
 
@@ -185,18 +186,14 @@ def fit_isotonic(rows: DataFrame, raw: str = "p", target: str = "target") -> lis
 
 
 def along(curve: list[tuple[float, float]], x: Column) -> Column:
-    """Linear between the knots, constant beyond them; the knots are few, one or two for each level of the fit."""
-    if len(curve) == 1:
-        return F.lit(float(curve[0][1]))
-    knots = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in curve])
-
-    def between(held: Column) -> Column:
-        below, above = F.filter(held, lambda k: k["x"] <= x), F.filter(held, lambda k: k["x"] > x)
-        left, right = F.element_at(below, -1), F.get(above, F.lit(0))
-        inside = left["y"] + (right["y"] - left["y"]) * (x - left["x"]) / (right["x"] - left["x"])
-        return F.when(F.size(below) == 0, right["y"]).when(F.size(above) == 0, left["y"]).otherwise(inside)
-
-    return let(knots, between)
+    """Linear between the knots, constant beyond them, by binary search; null stays null. A curve has a knot or two for each level of the fit."""
+    at, value = (np.array([k[i] for k in curve], float) for i in (0, 1))
+
+    @F.pandas_udf("double")
+    def value_of(column: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(column.to_numpy(float), at, value), index=column.index).where(column.notna())
+
+    return value_of(x)
 
 
 def calibrate(p: Column, curves: list[list[tuple[float, float]]]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems, walkforward
 from touchline.plans import oracles
 from touchline.sources import fixtures as source
 from touchline.sources import ingest
@@ -363,6 +363,14 @@ def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m,) for m in backtest.apply_gate(report, "1", "append-only")], "failure string")
 
 
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the whole backtest by fold and pooled (fold null), raw and calibrated, with the gate's verdict."""
+    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
+    done = walkforward.run(asof.snapshots(fx).where("target is not null"), asof.FEATURES)
+    verdict = F.lit("; ".join(done.report["gate"]["failures"]))
+    return done.folds.select("model_id", "fold", "n", "first_kickoff", "last_kickoff", *(_r(c).alias(c) for c in ("brier", "log_loss", "argmax_hit")), verdict.alias("gate_failures"))
+
+
 def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     parts = {"model": scoring.leaderboard(s), "season": scoring.season_leaderboard(s).where("overall = 0"), "reliability": scoring.reliability(s), "difference": scoring.paired_blocks(s, "proportional", "brier").groupBy("model_id").agg((F.sum("diff") / F.sum("n")).alias("point"))}
@@ -456,6 +464,7 @@ QUERIES = {
         purge_counts,
         gate_report,
         candidate_gate,
+        walk_forward,
         record_union,
         weekly_results,
         season_training_rows,
