@@ -1,13 +1,14 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the text before it, times that of the token within its class. Classes:
-the end of a text, the ``HEADS`` most frequent words, and buckets of the other words by their first letters. The class softmax
-sums one weight row for each feature of the context: class n-grams, the same with the nearest words skipped, and hashed rows for
-the last word and the last two words. Within a class, tokens have their training frequencies less ``DISCOUNT``, and what that
-frees goes to the one unknown word of the class.
-
-Weights start at the smoothed log-odds of each feature's class counts over all training documents. Then each of ``ROUNDS`` takes the next
-``1 / SHARES`` of the training documents, and ``ROUNDS`` is a multiple of ``SHARES``, so that all of them are learnt from alike: tasks sum the gradient (observed less expected class counts of each row) over their
+A token's probability is that of its class given the text before it, times that of its part of the class given the class and the text before it, times
+that of the token within its part. Classes: the end of a text, the ``HEADS`` most frequent words, and buckets of the other words by their first
+letters; a hash of the word deals a class into ``PARTS``. The class softmax sums one weight row for each feature of the context: class n-grams, the
+same with the nearest words skipped, and hashed rows for the last word and the last two words. The softmax over the parts of a class sums rows for the class
+with the last class, the last word and the word before it. Within a part, tokens have their training frequencies less ``DISCOUNT``, and what that
+frees goes to the one unknown word of the part.
+
+Weights start at the smoothed log-odds of each feature's counts over all training documents. Then each of ``ROUNDS`` takes the next
+``1 / SHARES`` of the training documents, and ``ROUNDS`` is a multiple of ``SHARES``, so that all of them are learnt from alike: tasks sum the gradient (observed less expected counts of each row) over their
 documents, a tree of groupings sums these, and the driver, which holds only the table, steps along the gradient
 scaled by the expected counts. The hashed rows of a feature grow with the square root of the training tokens (``hashed_rows``), so the table
 stays a small part of the corpus; contexts of two words outnumber them on a large corpus and share rows.
@@ -15,7 +16,8 @@ stays a small part of the corpus; contexts of two words outnumber them on a larg
 Word counts never meet in one place. Texts are dealt into blocks by hash; each block sends its distinct words' counts to
 the words' hashes, and gets back the totals of those that other blocks have too. Words are told apart by 64-bit hashes.
 
-Edge cases: a null or empty text is its end alone. Repeated rows count once each. A null doc_id is a training row. With no training
+Edge cases: a null or empty text is its end alone. A very long text is scored in runs of tokens, as part of its block. Among equally frequent words
+those of the least hash are the most frequent. Repeated rows count once each. A null doc_id is a training row. With no training
 rows all words are unknown. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -34,13 +36,13 @@ from xxhash import xxh3_64_intdigest, xxh32_intdigest
 
 from touchline.llm.common import block_count, block_of, held_out, stored, table, text_bytes
 
-CLASSES, HEADS = 32, 7
+CLASSES, HEADS, PARTS = 32, 7, 32
 #: The least rows of each hashed feature.
 HASHED = 2048
 PAIRS = CLASSES * CLASSES
 #: Rows of the smallest table: class pairs at distances (1, 2), (2, 3) and (3, 4); the last word; the last two words.
 ROWS = 3 * PAIRS + 2 * HASHED
-FEATURES = 5
+FEATURES, PART_FEATURES = 5, 3
 DISCOUNT, PRIOR = 0.5, 20.0
 ROUNDS, SHARES, STEP = 4, 4, 0.35
 BLOCK_BYTES = 10 << 20
@@ -94,13 +96,22 @@ def tokens_of(texts: list[bytes | None], words: Words) -> tuple[np.ndarray, np.n
     return np.array(flat, np.int64), np.array(starts, np.int64)
 
 
+def part_of(word_hashes: np.ndarray) -> np.ndarray:
+    """The part of its class that a word belongs to."""
+    return (word_hashes.view(np.uint64) >> np.uint64(7)).astype(np.int64) % PARTS
+
+
 @dataclass
 class Traits:
-    """Hash and class by word number."""
+    """Hash, class and leaf (class and part) by word number; the end and the most frequent words are alone in their classes."""
 
     hashes: np.ndarray
     classes: np.ndarray
 
+    @property
+    def leaves(self) -> np.ndarray:
+        return self.classes * PARTS + np.where(self.classes > HEADS, part_of(self.hashes), 0)
+
 
 def traits(words: Words, heads: dict[int, int]) -> Traits:
     # The same as word_hash of each: taking 2 ** 63 away is flipping the highest bit.
@@ -120,8 +131,13 @@ def table_rows(hashed: int) -> int:
     return 3 * PAIRS + 2 * hashed
 
 
-def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int, hashed: int = HASHED) -> np.ndarray:
-    """(FEATURES, tokens): the table rows of each token's context; before a text stand ends."""
+def part_rows(hashed: int) -> int:
+    """Rows of the second softmax; its first ones are one for each class as a whole."""
+    return CLASSES + PAIRS + 2 * hashed
+
+
+def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int, hashed: int = HASHED) -> tuple[np.ndarray, np.ndarray]:
+    """(FEATURES, tokens) and (PART_FEATURES, tokens): the table rows of each token's context for either softmax; before a text stand ends."""
     n = len(tokens)
     place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     back = [tokens]
@@ -134,7 +150,11 @@ def feature_rows(tokens: np.ndarray, starts: np.ndarray, own: Traits, end: int,
     h1, h2 = (own.hashes[back[k]].view(np.uint64) for k in (1, 2))
     last = (h1 >> np.uint64(20)) % np.uint64(hashed)
     both = ((h1 * np.uint64(0x9E3779B97F4A7C15) + h2 * np.uint64(0xD1342543DE82EF95)) >> np.uint64(24)) % np.uint64(hashed)
-    return np.stack([c[1] * CLASSES + c[2], PAIRS + c[2] * CLASSES + c[3], 2 * PAIRS + c[3] * CLASSES + c[4], 3 * PAIRS + last.astype(np.int64), 3 * PAIRS + hashed + both.astype(np.int64)])
+    rows = np.stack([c[1] * CLASSES + c[2], PAIRS + c[2] * CLASSES + c[3], 2 * PAIRS + c[3] * CLASSES + c[4], 3 * PAIRS + last.astype(np.int64), 3 * PAIRS + hashed + both.astype(np.int64)])
+    mine = c[0].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    near, far = (((h ^ mine) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(hashed) for h in (h1, h2))
+    first = CLASSES + PAIRS
+    return rows, np.stack([CLASSES + c[0] * CLASSES + c[1], first + near.astype(np.int64), first + hashed + far.astype(np.int64)])
 
 
 @dataclass
@@ -142,8 +162,9 @@ class Model:
     heads: dict[int, int]
     bias: np.ndarray
     table: np.ndarray
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    parts: np.ndarray
+    leaf_tokens: np.ndarray
+    leaf_words: np.ndarray
     tokens: int
     words: int
 
@@ -166,18 +187,39 @@ class Model:
         weights /= weights.sum(axis=1, keepdims=True)
         return weights
 
-    def within_class(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of known words their discounted share of the class; of unknown ones the share of the class's unknown word."""
-        total = self.class_tokens[classes]
-        mass = np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.class_words[classes])
+    def part_weights(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Probabilities of the parts of the given classes before they are made to sum to one."""
+        logits = np.take(self.parts, classes, axis=0)
+        more = np.empty_like(logits)
+        for r in rows:
+            logits += np.take(self.parts, r, axis=0, out=more, mode="clip")
+        logits -= logits.max(axis=1, keepdims=True)
+        return np.exp(logits, out=logits)
+
+    def part_probabilities(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        weights = self.part_weights(rows, classes)
+        weights /= weights.sum(axis=1, keepdims=True)
+        return weights
+
+    def within_leaf(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of known words their discounted share of the leaf; of unknown ones the share of the leaf's unknown word."""
+        total = self.leaf_tokens[leaves]
+        mass = np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.leaf_words[leaves])
         return np.where(total > 0, mass / np.maximum(total, 1), 1.0)
 
-    def log10(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(classes))
-        for at in range(0, len(classes), NEAR):
+    def log10(self, rows: np.ndarray, part_rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        out = np.empty(len(leaves))
+        for at in range(0, len(leaves), NEAR):
             part = slice(at, at + NEAR)
+            classes, place = np.divmod(leaves[part], PARTS)
             p = self.class_weights(rows[:, part])
-            out[part] = np.log10(np.maximum(p[np.arange(len(p)), classes[part]] / p.sum(axis=1), 1e-30))
+            each = np.arange(len(p))
+            found = p[each, classes] / p.sum(axis=1)
+            # The end and the most frequent words have a class of one part.
+            more = np.flatnonzero(classes > HEADS)
+            q = self.part_weights(part_rows[:, part][:, more], classes[more])
+            found[more] *= q[each[: len(more)], place[more]] / q.sum(axis=1)
+            out[part] = np.log10(np.maximum(found, 1e-30))
         return out
 
 
@@ -195,16 +237,16 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def word_totals(blocked: DataFrame) -> DataFrame:
-    """block, w, class, n, total, is_first: each block's distinct words with their training tokens here and everywhere; is_first once for each word."""
+    """block, w, leaf, n, total, is_first: each block's distinct words with their training tokens here and everywhere; is_first once for each word."""
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         words = Words()
         tokens, starts = tokens_of(group.column("text").to_pylist(), words)
         trains = np.repeat(group.column("trains").to_numpy(), np.diff(np.append(starts, len(tokens))))
         own = traits(words, {})
-        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "w": own.hashes, "class": own.classes.astype(np.int32), "n": np.bincount(tokens, trains, len(words)).astype(np.int64)})
+        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "w": own.hashes, "leaf": own.leaves.astype(np.int32), "n": np.bincount(tokens, trains, len(words)).astype(np.int64)})
 
-    each = blocked.groupBy("block").applyInArrow(count, "block int, w long, class int, n long")
+    each = blocked.groupBy("block").applyInArrow(count, "block int, w long, leaf int, n long")
     # One row for each block that has the word, so even the commonest word is a short group.
     same = Window.partitionBy("w")
     return each.withColumn("total", F.sum("n").over(same)).withColumn("is_first", F.min("block").over(same) == F.col("block"))
@@ -227,14 +269,27 @@ def sum_tables(parts: DataFrame, tasks: int, cells: int) -> np.ndarray:
     return total[:cells]
 
 
-def class_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = None, hashed: int = HASHED) -> np.ndarray:
-    """(2, rows + 1, CLASSES): observed class counts of every table row (the last row: of all tokens), and with a model the expected ones."""
+def feature_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = None, hashed: int = HASHED) -> np.ndarray:
+    """(2, rows, CLASSES): observed counts of every row, and with a model the expected ones.
+
+    The rows are those of the class softmax, one for all tokens, and those of the softmax over parts.
+    """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((heads, model))
     total = table_rows(hashed)
-    shape = (2, total + 1, CLASSES)
+    shape = (2, total + 1 + part_rows(hashed), CLASSES)
     chunks = -(-math.prod(shape) // CHUNK_CELLS)
     edges = [0, PAIRS, 2 * PAIRS, 3 * PAIRS, 3 * PAIRS + hashed, total]
+    part_edges = [0, CLASSES, CLASSES + PAIRS, CLASSES + PAIRS + hashed, CLASSES + PAIRS + 2 * hashed]
+
+    def add(sums: np.ndarray, rows: np.ndarray, edges: list[int], got: np.ndarray, p: np.ndarray | None) -> None:
+        # Each feature has rows of its own, from one edge to the next.
+        for r, low, high in zip(rows, edges, edges[1:], strict=False):
+            size = (high - low) * CLASSES
+            cells = (r - low) * CLASSES
+            sums[0, low:high] += np.bincount(cells + got, minlength=size).reshape(-1, CLASSES)
+            if p is not None:
+                sums[1, low:high] += np.bincount((cells[:, None] + np.arange(CLASSES)).ravel(), p.ravel(), size).reshape(-1, CLASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,21 +302,20 @@ def class_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = N
                 words = Words()
                 tokens, starts = tokens_of(batch.column(0).slice(at, 256).to_pylist(), words)
                 own = traits(words, heads)
-                rows, classes = feature_rows(tokens, starts, own, words[END], hashed), own.classes[tokens]
+                all_rows, all_parts = feature_rows(tokens, starts, own, words[END], hashed)
+                leaves = own.leaves[tokens]
                 some = True
                 for first in range(0, len(tokens), PASS):
-                    part = slice(first, first + PASS)
-                    p = model.class_probabilities(rows[:, part]).astype(float) if model else None
-                    # Each feature has rows of its own, from one edge to the next.
-                    for r, low, high in zip(rows[:, part], edges, edges[1:], strict=False):
-                        size = (high - low) * CLASSES
-                        cells = (r - low) * CLASSES
-                        sums[0, low:high] += np.bincount(cells + classes[part], minlength=size).reshape(-1, CLASSES)
-                        if model:
-                            sums[1, low:high] += np.bincount((cells[:, None] + np.arange(CLASSES)).ravel(), p.ravel(), size).reshape(-1, CLASSES)
-                    sums[0, total] += np.bincount(classes[part], minlength=CLASSES)
+                    rows, (classes, place) = all_rows[:, first : first + PASS], np.divmod(leaves[first : first + PASS], PARTS)
+                    p = model.class_probabilities(rows).astype(float) if model else None
+                    add(sums, rows, edges, classes, p)
+                    sums[0, total] += np.bincount(classes, minlength=CLASSES)
                     if model:
                         sums[1, total] += p.sum(axis=0)
+                    more = np.flatnonzero(classes > HEADS)
+                    own_rows = np.concatenate([classes[None, more], all_parts[:, first : first + PASS][:, more]])
+                    q = model.part_probabilities(own_rows[1:], classes[more]).astype(float) if model else None
+                    add(sums[:, total + 1 :], own_rows, part_edges, place[more], q)
         if some:
             source = TaskContext.get().partitionId()
             flat = sums.ravel()
@@ -277,12 +331,23 @@ def class_counts(docs: DataFrame, heads: dict[int, int], model: Model | None = N
     return sum_tables(parts, docs.rdd.getNumPartitions(), math.prod(shape)).reshape(shape)
 
 
-def first_weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bias and table from observed counts: each row's log-odds against the whole, shared out among the features."""
-    share = (counts[-1] + 0.5) / (counts[-1] + 0.5).sum()
-    rows = counts[:-1]
+def log_odds(rows: np.ndarray, share: np.ndarray, features: int) -> np.ndarray:
+    """Smoothed log-odds of rows of counts against the share of the whole, a share of them for each feature."""
     odds = (rows + PRIOR * share) / (rows.sum(axis=1, keepdims=True) + PRIOR) / share
-    return np.log(share).astype(np.float32), (np.log(odds) / FEATURES).astype(np.float32)
+    return (np.log(odds) / features).astype(np.float32)
+
+
+def first_weights(counts: np.ndarray, hashed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bias, table and the table of parts from observed counts."""
+    total = table_rows(hashed)
+    share = (counts[total] + 0.5) / (counts[total] + 0.5).sum()
+    parts = counts[total + 1 :]
+    whole = (parts[:CLASSES] + 0.5) / (parts[:CLASSES] + 0.5).sum(axis=1, keepdims=True)
+    every = (parts[:CLASSES].sum(axis=0) + 0.5) / (parts[:CLASSES] + 0.5).sum()
+    # A row for a class and its last class is held against that class, a hashed row, which several classes may share, against all.
+    near = np.concatenate([log_odds(parts[CLASSES + k * CLASSES : CLASSES + (k + 1) * CLASSES], whole[k], PART_FEATURES) for k in range(CLASSES)])
+    rest = log_odds(parts[CLASSES + PAIRS :], every, PART_FEATURES)
+    return np.log(share).astype(np.float32), log_odds(counts[:total], share, FEATURES), np.concatenate([np.log(whole).astype(np.float32), near, rest])
 
 
 def fit(docs: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -291,23 +356,23 @@ def fit(docs: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Model:
     end = word_hash(END)
     top = firsts.where(F.col("w") != end).orderBy(F.col("total").desc(), "w").limit(HEADS).collect()
     heads = {r.w: 1 + i for i, r in enumerate(top)}
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    own = F.col("class")
+    tokens, words = np.zeros(CLASSES * PARTS), np.zeros(CLASSES * PARTS)
+    own = F.col("leaf")
     for h, k in heads.items():
-        own = F.when(F.col("w") == h, F.lit(k)).otherwise(own)
-    for r in firsts.groupBy(own.alias("k")).agg(F.sum("total").alias("t"), F.count("*").alias("v")).collect():  # CLASSES rows
+        own = F.when(F.col("w") == h, F.lit(k * PARTS)).otherwise(own)
+    for r in firsts.groupBy(own.alias("k")).agg(F.sum("total").alias("t"), F.count("*").alias("v")).collect():  # a row a leaf
         tokens[r.k], words[r.k] = r.t, r.v
     train = training_rows(docs.select("doc_id", "text"))
     hashed = hashed_rows(int(tokens.sum()))
-    bias, weights = first_weights(class_counts(train, heads, hashed=hashed)[0])
-    model = Model(heads, bias, weights, tokens, words, int(tokens.sum()), int(words.sum()))
+    bias, table, parts = first_weights(feature_counts(train, heads, hashed=hashed)[0], hashed)
+    model = Model(heads, bias, table, parts, tokens, words, int(tokens.sum()), int(words.sum()))
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARES))
     tasks = max(1, train.rdd.getNumPartitions() // SHARES)  # a round has a share of the rows
+    total = table_rows(hashed)
     for k in range(rounds):
-        observed, expected = class_counts(train.where(share == k % SHARES).coalesce(tasks), heads, model, hashed)
-        step = STEP * (observed - expected) / (expected + PRIOR)
-        model.table = model.table + step[:-1].astype(np.float32)
-        model.bias = model.bias + step[-1].astype(np.float32)
+        observed, expected = feature_counts(train.where(share == k % SHARES).coalesce(tasks), heads, model, hashed)
+        step = (STEP * (observed - expected) / (expected + PRIOR)).astype(np.float32)
+        model.table, model.bias, model.parts = model.table + step[:total], model.bias + step[total], model.parts + step[total + 1 :]
     return model
 
 
@@ -335,12 +400,13 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS
             at = np.minimum(np.searchsorted(w, own.hashes), len(w) - 1)
             counts = np.where(w[at] == own.hashes, total[at], counts)
         base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-        inside = np.log10(model.within_class(own.classes, counts))
+        leaves = own.leaves
+        inside = np.log10(model.within_leaf(leaves, counts))
         log10 = np.empty(len(tokens))
         for first, last in runs(starts):
             part = slice(starts[first], starts[last] if last < len(starts) else len(tokens))
-            rows = feature_rows(tokens[part], starts[first:last] - part.start, own, words[END], model.hashed)
-            log10[part] = model.log10(rows, own.classes[tokens[part]]) + inside[tokens[part]]
+            rows, part_rows = feature_rows(tokens[part], starts[first:last] - part.start, own, words[END], model.hashed)
+            log10[part] = model.log10(rows, part_rows, leaves[tokens[part]]) + inside[tokens[part]]
         lengths = np.diff(np.append(starts, len(tokens)))
         return pa.table(
             {
