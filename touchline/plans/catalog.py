@@ -63,11 +63,11 @@ def asof_fixed_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elo.elo_snapshots(source.from_orders(spark, sf_dir))
+    return elo.elo_snapshots(source.from_orders(spark, sf_dir)).select("fixture_id", _r("elo_diff_home_adv").alias("elo_diff_home_adv"))
 
 
 def feature_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.snapshots(source.from_orders(spark, sf_dir))
+    return asof.snapshots(source.from_orders(spark, sf_dir)).withColumn("elo_diff_home_adv", _r("elo_diff_home_adv"))
 
 
 def fixture_keys_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
