@@ -123,24 +123,32 @@ def brute_scores(rows, rounds):
             model[k] = odds(n, whole[k[1]], op.PART_FEATURES)
         elif k[0] in "gh":
             model[k] = odds(n, every, op.PART_FEATURES)
+    leaves = {}
+    for w, n in count.items():
+        leaves.setdefault(leaf(w), []).append(n)
+    for c in range(k_classes):
+        for x in range(parts):
+            if (c, x) not in leaves:
+                model["class", c][x] = op.EMPTY
     for docs in rounds:
         seen, hoped = gather([x for x in train if x[0] in docs], model)
         for k in seen:
             model[k] = [m + op.STEP * (a - b) / (b + op.PRIOR) for m, a, b in zip(model.get(k, [0.0] * len(seen[k])), seen[k], hoped[k], strict=True)]
-    leaves = {}
-    for w, n in count.items():
-        leaves.setdefault(leaf(w), []).append(n)
     out = []
     for i, t in texts:
         total = 0.0
         for at, w in enumerate(t):
             c, s = leaf(w)
             first, second = rows_of(t, at)
+            own, same = leaves.get((c, s), []), [n for (k, _), v in leaves.items() if k == c for n in v]
+            unknown = op.DISCOUNT * len(same) / sum(same) if same else 1.0
             total += math.log10(softmax(model["all"], model, first)[c])
+            if not count[w]:
+                total += math.log10(unknown)
+                continue
             if c > heads_n:
                 total += math.log10(softmax(model["class", c], model, second)[s])
-            own = leaves.get((c, s), [])
-            total += math.log10((count[w] - op.DISCOUNT if count[w] else op.DISCOUNT * len(own)) / sum(own)) if own else 0.0
+            total += math.log10((1 - unknown) * (count[w] - op.DISCOUNT) / (sum(own) - op.DISCOUNT * len(own)))
         out.append((str(i), round(total, 2)))
     return sorted(out)
 
@@ -171,8 +179,10 @@ def test_probabilities_sum_to_one():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
     q = model.part_probabilities(rng.integers(0, op.part_rows(op.HASHED), (op.PART_FEATURES, 50)), rng.integers(0, op.CLASSES, 50))
     assert np.allclose(q.sum(axis=1), 1, atol=1e-5)
-    counts = np.array([10, 10, 5, 5, 0])  # a leaf of four words, and its unknown word
-    assert math.isclose(model.within_leaf(np.zeros(5, int), counts).sum(), 1)
+    # A class whose every leaf has four words, and its unknown word.
+    leaves, counts = np.repeat(np.arange(op.PARTS), 4), np.tile([10, 10, 5, 5], op.PARTS)
+    known = model.within(leaves, counts).reshape(op.PARTS, 4).sum(axis=1)
+    assert math.isclose(known.mean() + model.within(np.zeros(1, int), np.zeros(1, int))[0], 1)
 
 
 def test_feature_rows_stay_within_texts():

@@ -1,11 +1,11 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the text before it, times that of its part of the class given the class and the text before it, times
-that of the token within its part. Classes: the end of a text, the ``HEADS`` most frequent words, and buckets of the other words by their first
+A word's probability is that of its class given the text before it, times that of its part of the class given the class and the text before it, times
+that of the word within its part. Classes: the end of a text, the ``HEADS`` most frequent words, and buckets of the other words by their first
 letters; a hash of the word deals a class into ``PARTS``. The class softmax sums one weight row for each feature of the context: class n-grams, the
 same with the nearest words skipped, and hashed rows for the last word and the last two words. The softmax over the parts of a class sums rows for the class
-with the last class, the last word and the word before it. Within a part, tokens have their training frequencies less ``DISCOUNT``, and what that
-frees goes to the one unknown word of the part.
+with the last class, the last word and the word before it. Within a part, words have their training frequencies less ``DISCOUNT``, and what that
+frees in a class goes to its one unknown word, which belongs to no part.
 
 Weights start at the smoothed log-odds of each feature's counts over all training documents. Then each of ``ROUNDS`` takes the next
 ``1 / SHARES`` of the training documents, and ``ROUNDS`` is a multiple of ``SHARES``, so that all of them are learnt from alike: tasks sum the gradient (observed less expected counts of each row) over their
@@ -44,6 +44,8 @@ PAIRS = CLASSES * CLASSES
 ROWS = 3 * PAIRS + 2 * HASHED
 FEATURES, PART_FEATURES = 5, 3
 DISCOUNT, PRIOR = 0.5, 20.0
+#: Weight of a part that no training word is in.
+EMPTY = -30.0
 ROUNDS, SHARES, STEP = 4, 4, 0.35
 BLOCK_BYTES = 10 << 20
 PASS = 1 << 16
@@ -201,13 +203,15 @@ class Model:
         weights /= weights.sum(axis=1, keepdims=True)
         return weights
 
-    def within_leaf(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of known words their discounted share of the leaf; of unknown ones the share of the leaf's unknown word."""
-        total = self.leaf_tokens[leaves]
-        mass = np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.leaf_words[leaves])
-        return np.where(total > 0, mass / np.maximum(total, 1), 1.0)
+    def within(self, leaves: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of known words the known mass of their class times their discounted share of the leaf; of unknown ones the unknown mass of the class."""
+        tokens, words = (x.reshape(CLASSES, PARTS).sum(axis=1)[leaves // PARTS] for x in (self.leaf_tokens, self.leaf_words))
+        unknown = np.where(tokens > 0, DISCOUNT * words / np.maximum(tokens, 1), 1.0)
+        left = self.leaf_tokens[leaves] - DISCOUNT * self.leaf_words[leaves]
+        return np.where(counts > 0, (1 - unknown) * (counts - DISCOUNT) / np.where(left > 0, left, 1), unknown)
 
-    def log10(self, rows: np.ndarray, part_rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    def log10(self, rows: np.ndarray, part_rows: np.ndarray, leaves: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of the class, and for known words of the part."""
         out = np.empty(len(leaves))
         for at in range(0, len(leaves), NEAR):
             part = slice(at, at + NEAR)
@@ -216,7 +220,7 @@ class Model:
             each = np.arange(len(p))
             found = p[each, classes] / p.sum(axis=1)
             # The end and the most frequent words have a class of one part.
-            more = np.flatnonzero(classes > HEADS)
+            more = np.flatnonzero((classes > HEADS) & known[part])
             q = self.part_weights(part_rows[:, part][:, more], classes[more])
             found[more] *= q[each[: len(more)], place[more]] / q.sum(axis=1)
             out[part] = np.log10(np.maximum(found, 1e-30))
@@ -365,6 +369,7 @@ def fit(docs: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Model:
     train = training_rows(docs.select("doc_id", "text"))
     hashed = hashed_rows(int(tokens.sum()))
     bias, table, parts = first_weights(feature_counts(train, heads, hashed=hashed)[0], hashed)
+    parts[:CLASSES][(tokens == 0).reshape(CLASSES, PARTS)] = EMPTY
     model = Model(heads, bias, table, parts, tokens, words, int(tokens.sum()), int(words.sum()))
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARES))
     tasks = max(1, train.rdd.getNumPartitions() // SHARES)  # a round has a share of the rows
@@ -401,12 +406,12 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS
             counts = np.where(w[at] == own.hashes, total[at], counts)
         base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
         leaves = own.leaves
-        inside = np.log10(model.within_leaf(leaves, counts))
+        inside = np.log10(model.within(leaves, counts))
         log10 = np.empty(len(tokens))
         for first, last in runs(starts):
             part = slice(starts[first], starts[last] if last < len(starts) else len(tokens))
             rows, part_rows = feature_rows(tokens[part], starts[first:last] - part.start, own, words[END], model.hashed)
-            log10[part] = model.log10(rows, part_rows, leaves[tokens[part]]) + inside[tokens[part]]
+            log10[part] = model.log10(rows, part_rows, leaves[tokens[part]], (counts > 0)[tokens[part]]) + inside[tokens[part]]
         lengths = np.diff(np.append(starts, len(tokens)))
         return pa.table(
             {
