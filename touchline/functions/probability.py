@@ -48,7 +48,7 @@ def shin_shares(implied: Column, z: Column) -> Column:
 
 
 def shin_z(odds: Column, steps: int = 60) -> Column:
-    """The insider share at which Shin's shares sum to 1, by bisection; 0 for a fair book, null for an underround one."""
+    """The insider share at which Shin's shares sum to 1, by bisection; 0 for a fair book, null for null prices; an underround book is an error."""
     implied = F.transform(odds, lambda o: 1 / o)
 
     def solve(q: Column) -> Column:
@@ -60,7 +60,7 @@ def shin_z(odds: Column, steps: int = 60) -> Column:
         start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
         root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
         book = add_up(parts(q))
-        return F.when(F.abs(book - 1) <= 1e-12, F.lit(0.0)).when(book > 1, root)
+        return F.when(F.abs(book - 1) <= 1e-12, F.lit(0.0)).when(book > 1, root).when(book.isNotNull(), F.raise_error(F.lit("an underround book has no insider share")).cast("double"))
 
     return let(implied, solve)
 

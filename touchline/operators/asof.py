@@ -9,7 +9,9 @@ Fixtures: fixture_id, league_id, season, kickoff (epoch seconds), home, away, ho
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,14 +121,14 @@ def rest_columns(config: AsOfConfig = AsOfConfig()) -> dict[str, tuple[bool, Col
     return {"home_rest_days": (True, days), "away_rest_days": (False, days)}
 
 
-def head_to_head(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+def head_to_head(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), carry: tuple[str, ...] = (), roll: Callable[..., DataFrame] = rolling_as_of) -> DataFrame:
     """fixture_id, h2h_home_points_sum_5 (of today's home team over the last meetings, wherever played), last_meeting, and columns to ``carry`` along."""
     first = F.col("home") <= F.col("away")
     won = F.when(F.col("is_final"), points(F.col("home_goals"), F.col("away_goals")))
     lost = F.when(F.col("is_final"), points(F.col("away_goals"), F.col("home_goals")))
     rows = fixtures.withColumns({"low": F.least("home", "away"), "high": F.greatest("home", "away"), "of_low": F.when(first, won).otherwise(lost), "of_high": F.when(first, lost).otherwise(won)})
     keys = ["league_id", "low", "high"]
-    rows = rolling_as_of(rows.repartition(*keys), keys, {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
+    rows = roll(rows.repartition(*keys), keys, {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
     mine = F.when(first, F.col("seen.of_low")).otherwise(F.col("seen.of_high"))
     return rows.select("fixture_id", *carry, mine.cast("double").alias("h2h_home_points_sum_5"), F.col("seen.last_kickoff").alias("last_meeting"))
 
@@ -143,9 +145,9 @@ def outcome_prior(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> Dat
     return fixtures.select("fixture_id", "league_id", "kickoff").join(times, ["league_id", "kickoff"]).select("fixture_id", shares.alias("p"))
 
 
-def source_columns(config: AsOfConfig) -> list[Column]:
+def source_columns(config: AsOfConfig, at: int | None = None) -> list[Column]:
     """as_of, and source_max from kickoff, last_kickoff and last_meeting: when the latest counted result became known (as_of - 1 if none), which must lie before as_of."""
-    as_of = F.col("kickoff") - config.lead
+    as_of = as_of_time(config, at)
     known = F.coalesce(F.greatest("last_kickoff", "last_meeting") + config.lag, as_of - 1)
     checked = F.when(known >= as_of, F.raise_error(F.lit("a result was used before it was known"))).otherwise(known)
     return [as_of.alias("as_of"), checked.alias("source_max")]
@@ -157,35 +159,45 @@ def source_max(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFr
     return head_to_head(fixtures, config, ("kickoff",)).join(form, "fixture_id").select("fixture_id", *source_columns(config))
 
 
-def form_at(fixtures: DataFrame, at: int, config: AsOfConfig = AsOfConfig()) -> DataFrame:
-    """As :func:`team_form` with one prediction time for all fixtures whose kickoff lies behind it.
+def as_of_time(config: AsOfConfig, at: int | None = None) -> Column:
+    """A lead before kickoff; with one prediction time ``at`` for all fixtures whose kickoff lies behind it, that time for them."""
+    usual = F.col("kickoff") - config.lead
+    return usual if at is None else F.when(F.col("kickoff") > at, F.lit(at).cast("long")).otherwise(usual)
+
+
+def rolling_at(rows: DataFrame, keys: list[str], sums: dict[str, Column], config: AsOfConfig, name: str = "seen", at: int = 0) -> DataFrame:
+    """As :func:`rolling_as_of`, as known at the prediction time ``at``.
 
     The distance to the kickoff then varies, so results and questions share a timeline: results at the time they are known,
     questions at their as-of time, questions first.
     """
-    rows = appearances(fixtures)
-    keys = ["league_id", "team"]
-    as_of = F.when(F.col("kickoff") > at, F.lit(at)).otherwise(F.col("kickoff") - config.lead)
-    events = rows.withColumn("event", F.explode(F.array(F.struct(F.lit(False).alias("ask"), (F.col("kickoff") + config.lag).alias("time")), F.struct(F.lit(True).alias("ask"), as_of.alias("time")))))
-    events = events.select(*rows.columns, "event.ask", "event.time").where("ask or is_final").repartition(*keys)
+    events = rows.withColumn("event", F.explode(F.array(F.struct(F.lit(False).alias("ask"), (F.col("kickoff") + config.lag).alias("time")), F.struct(F.lit(True).alias("ask"), as_of_time(config, at).alias("time")))))
+    events = events.select(*rows.columns, "event.ask", "event.time").where("ask or is_final")
     told = Window.partitionBy(*keys, "ask").orderBy("kickoff", "fixture_id").rowsBetween(1 - config.window, Window.currentRow)
-    state = F.struct(*(F.sum(c).over(told).alias(c) for c in ("points", "scored", "conceded")), F.col("kickoff").alias("last_kickoff"))
+    state = F.struct(*(F.sum(c).over(told).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
     events = events.withColumn("state", state).withColumn("state", F.when(~F.col("ask"), F.col("state")))
     line = Window.partitionBy(*keys).orderBy("time", F.col("ask").desc(), "kickoff", "fixture_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("seen", F.last("state", ignorenulls=True).over(line)).where("ask").select("fixture_id", "is_home", "kickoff", "seen")
+    return events.withColumn(name, F.last("state", ignorenulls=True).over(line)).where("ask").drop("ask", "time", "state")
+
+
+def form_at(fixtures: DataFrame, at: int, config: AsOfConfig = AsOfConfig()) -> DataFrame:
+    """As :func:`team_form` at one prediction time."""
+    keys = ["league_id", "team"]
+    return rolling_at(appearances(fixtures).repartition(*keys), keys, form_sums(), config, at=at).select("fixture_id", "is_home", "kickoff", "seen")
 
 
-def snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
+def snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), at: int | None = None) -> DataFrame:
     """fixture_id, kickoff, as_of, source_max, target, target_available and the features by name; target is null unless final.
 
-    Form over all fixtures and by venue share one exchange by team and one grouping by fixture; the meetings carry the fixture along.
+    ``at`` is one prediction time for all fixtures whose kickoff lies behind it. Form over all fixtures and by venue share one exchange by team and one grouping by fixture; the meetings carry the fixture along.
     """
     from touchline.operators.elo import elo_snapshots
 
     teams = appearances(fixtures).repartition("league_id", "team")
-    both = rolling_as_of(rolling_as_of(teams, ["league_id", "team"], form_sums(), config), ["league_id", "team", "is_home"], form_sums(), config, "at_venue")
+    roll = rolling_as_of if at is None else partial(rolling_at, at=at)
+    both = roll(roll(teams, ["league_id", "team"], form_sums(), config), ["league_id", "team", "is_home"], form_sums(), config, "at_venue")
     form = by_side(both, form_columns() | rest_columns(config) | venue_columns("at_venue"), [F.max("seen.last_kickoff").alias("last_kickoff")])
-    meetings = head_to_head(fixtures, config, ("league_id", "season", "kickoff", "is_final", "home_goals", "away_goals"))
-    wide = meetings.join(form, "fixture_id").join(elo_snapshots(fixtures, config), "fixture_id")
+    meetings = head_to_head(fixtures, config, ("league_id", "season", "kickoff", "is_final", "home_goals", "away_goals"), roll)
+    wide = meetings.join(form, "fixture_id").join(elo_snapshots(fixtures, config, at), "fixture_id")
     target = F.when(F.col("is_final"), outcome(F.col("home_goals"), F.col("away_goals")))
-    return wide.select("fixture_id", "league_id", "season", "kickoff", *source_columns(config), target.alias("target"), (F.col("kickoff") + config.lag).alias("target_available"), *FEATURES)
+    return wide.select("fixture_id", "league_id", "season", "kickoff", *source_columns(config, at), target.alias("target"), (F.col("kickoff") + config.lag).alias("target_available"), *FEATURES)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Metrics whose paired differences get intervals.
+METRICS = ("brier", "log_loss", "rps")
 REPLICATES, LOW, HIGH, LEAST_BLOCKS = 5000, 0.025, 0.975, 20
 
 

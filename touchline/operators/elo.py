@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.asof import AsOfConfig
+from touchline.operators.asof import AsOfConfig, as_of_time
 
 CARRY, ASK, APPLY = 0, 1, 2
 
 
-def timeline(fixtures: DataFrame, config: AsOfConfig) -> DataFrame:
+def timeline(fixtures: DataFrame, config: AsOfConfig, at: int | None = None) -> DataFrame:
     """Season carries and questions at as-of times, results when they are known; at one time results come last."""
-    as_of = F.col("kickoff") - config.lead
+    as_of = as_of_time(config, at)
     base = ["league_id", "season", "fixture_id", "kickoff", "home", "away", "home_goals", "away_goals"]
     asks = fixtures.select(*base, F.lit(ASK).alias("kind"), as_of.alias("time"))
     applies = fixtures.where("is_final").select(*base, F.lit(APPLY).alias("kind"), (F.col("kickoff") + config.lag).alias("time"))
@@ -33,11 +33,11 @@ def expected(home: float, away: float, advantage: float) -> float:
     return 1 / (1 + 10 ** (-((home + advantage) - away) / 400))
 
 
-def elo_snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig()) -> DataFrame:
+def elo_snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), at: int | None = None) -> DataFrame:
     """fixture_id, elo_diff_home_adv: home rating and advantage less away rating, as known at the as-of time."""
     last = (F.col("kind") == APPLY).cast("int")
     order = [F.col("league_id"), F.col("time"), last, F.col("kickoff"), F.col("kind"), F.col("fixture_id")]
-    events = timeline(fixtures, config).repartition("league_id").sortWithinPartitions(*order)
+    events = timeline(fixtures, config, at).repartition("league_id").sortWithinPartitions(*order)
     actual = F.when(F.col("home_goals") > F.col("away_goals"), 1.0).when(F.col("home_goals") == F.col("away_goals"), 0.5).otherwise(0.0)
     events = events.select("kind", "league_id", "season", "fixture_id", "home", "away", actual.alias("actual"))
     base, advantage, k = config.elo_base, config.home_advantage, config.elo_k

@@ -63,11 +63,16 @@ def asof_fixed_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elo.elo_snapshots(source.from_orders(spark, sf_dir)).select("fixture_id", _r("elo_diff_home_adv").alias("elo_diff_home_adv"))
+    return elo.elo_snapshots(source.from_orders(spark, sf_dir))
 
 
 def feature_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.snapshots(source.from_orders(spark, sf_dir)).withColumn("elo_diff_home_adv", _r("elo_diff_home_adv"))
+    return asof.snapshots(source.from_orders(spark, sf_dir))
+
+
+def snapshots_fixed_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features as known at one prediction time."""
+    return asof.snapshots(source.from_orders(spark, sf_dir), at=FIXED_TIME)
 
 
 def fixture_keys_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +233,9 @@ def paired_block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = scoring.paired_blocks(scored(spark, sf_dir), "proportional", "brier")
-    return bootstrap.block_bootstrap(blocks, VERSION, "brier", "proportional")
+    rows = scored(spark, sf_dir).persist()
+    parts = [bootstrap.block_bootstrap(scoring.paired_blocks(rows, "proportional", m), VERSION, m, "proportional").withColumn("metric", F.lit(m)) for m in bootstrap.METRICS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ablation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,6 +427,7 @@ QUERIES = {
         asof_fixed_timestamp,
         elo_ratings,
         feature_snapshots,
+        snapshots_fixed_time,
         fixture_keys_digest,
         duplicate_keys,
         iso_week_blocks,

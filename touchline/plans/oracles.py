@@ -64,18 +64,23 @@ s as (select h, a, sum(case when x > y then p else 0 end) as w, sum(case when x
 select h as home, a as away, round(w / (w + e + l), 6) as p_home, round(e / (w + e + l), 6) as p_draw, round(l / (w + e + l), 6) as p_away from s"""
 
 
-def _form(name: str, on: str = "") -> str:
+#: As-of times: a day before kickoff, or one prediction time for what lies behind it.
+_USUAL, _FIXED = "{0} - 86400", "(case when {0} > 883612800 then 883612800 else {0} - 86400 end)"
+
+
+def _form(name: str, on: str = "", as_of: str = _USUAL) -> str:
     """The last five of each appearance as {name}(fid, ish, pts, gf, ga, sko)."""
     return f"""{name}_r as (select p.fid, p.ish, s.pts, s.gf, s.ga, s.ko as sko, row_number() over (partition by p.fid, p.ish order by s.ko desc, s.fid desc) as rn
-  from ap p left join ap s on s.lg = p.lg and s.team = p.team and s.fin and s.ko <= p.ko - {GAP} {on}),
+  from ap p left join ap s on s.lg = p.lg and s.team = p.team and s.fin and s.ko + 86400 < {as_of.format('p.ko')} {on}),
 {name} as (select fid, ish, sum(pts) as pts, sum(gf) as gf, sum(ga) as ga, max(sko) as sko from {name}_r where rn <= 5 group by fid, ish)"""
 
 
 #: Ratings after each result and season carry of a league, one step at a time; questions are numbered along with them.
-_ELO = """ca as (select lg, ko, min(se) as se from fx group by lg, ko), cb as (select lg, se, min(ko) as ko from ca group by lg, se),
+def _elo(as_of: str = _USUAL) -> str:
+    return f"""ca as (select lg, ko, min(se) as se from fx group by lg, ko), cb as (select lg, se, min(ko) as ko from ca group by lg, se),
 ev as (select lg, ko + 86400 as t, 1 as late, ko, 2 as kind, fid, h, a, case when hg > ag then 1E0 when hg = ag then 0.5E0 else 0E0 end as res, false as back from fx where fin
-  union all select lg, ko - 86400, 0, ko, 1, fid, h, a, 0E0, false from fx
-  union all select lg, ko - 86400, 0, ko, 0, -1, 0, 0, 0E0, lag(se) over (partition by lg order by ko) is not null from cb),
+  union all select lg, {as_of.format('ko')}, 0, ko, 1, fid, h, a, 0E0, false from fx
+  union all select lg, {as_of.format('ko')}, 0, ko, 0, -1, 0, 0, 0E0, lag(se) over (partition by lg order by ko) is not null from cb),
 en as (select *, cast(sum(case when kind <> 1 then 1 else 0 end) over (partition by lg order by t, late, ko, kind, fid rows between unbounded preceding and current row) as bigint) as i from ev),
 es as (select * from en where kind <> 1),
 st as (select distinct lg, cast(0 as bigint) as i, list_transform(range(20), lambda x: 1500E0) as r from fx
@@ -83,7 +88,20 @@ st as (select distinct lg, cast(0 as bigint) as i, list_transform(range(20), lam
     else list_transform(st.r, lambda x, k: case when k = es.h + 1 then x + 20E0 * (es.res - 1E0 / (1E0 + pow(10E0, -((st.r[es.h + 1] + 65E0) - st.r[es.a + 1]) / 400E0)))
       when k = es.a + 1 then x - 20E0 * (es.res - 1E0 / (1E0 + pow(10E0, -((st.r[es.h + 1] + 65E0) - st.r[es.a + 1]) / 400E0))) else x end) end
     from st join es on es.lg = st.lg and es.i = st.i + 1),
-el as (select en.fid, round(round(st.r[en.h + 1] + 65E0 - st.r[en.a + 1], 8), 6) as elo from en join st on st.lg = en.lg and st.i = en.i where en.kind = 1)"""
+el as (select en.fid, round(st.r[en.h + 1] + 65E0 - st.r[en.a + 1], 8) as elo from en join st on st.lg = en.lg and st.i = en.i where en.kind = 1)"""
+
+def _snapshots(as_of: str) -> str:
+    return f"""with recursive {_FX}, {_AP}, {_form('f', '', as_of)}, {_form('v', 'and s.ish = p.ish', as_of)}, {_form('m', 'and s.opp = p.opp', as_of)}, {_elo(as_of)},
+w as (select fid, {', '.join(f"cast(max(case when ish = {i} then {e} end) as double) as {n}" for n, (i, e) in (_POINTS | _GOALS).items())}, max(sko) as sko,
+  max(case when ish = 1 then sko end) as hk, max(case when ish = 0 then sko end) as ak from f group by fid),
+x as (select fid, {', '.join(f"cast(max(case when ish = {i} then {e} end) as double) as {n}" for n, (i, e) in _VENUE.items())} from v group by fid),
+y as (select fid, cast(max(case when ish = 1 then pts end) as double) as h2h_home_points_sum_5 from m group by fid)
+select fx.fid as fixture_id, lg as league_id, se as season, ko as kickoff, {as_of.format('ko')} as as_of, coalesce(sko + 86400, {as_of.format('ko')} - 1) as source_max,
+  case when fin then case when hg > ag then 0 when hg = ag then 1 else 2 end end as target, ko + 86400 as target_available,
+  {', '.join([*_POINTS, *_GOALS, *_VENUE])}, elo as elo_diff_home_adv, h2h_home_points_sum_5,
+  case when hk is not null then round(least((ko - hk) / 86400E0, 30E0), 6) end as home_rest_days, case when ak is not null then round(least((ko - ak) / 86400E0, 30E0), 6) end as away_rest_days
+from fx join w on w.fid = fx.fid join x on x.fid = fx.fid join y on y.fid = fx.fid join el on el.fid = fx.fid"""
+
 
 _PLAN = f"""{_FX}, kg as (select ko as kickoff, ko - 86400 as as_of, count(*) as n from fx where fin group by ko),
 kk as (select *, cast(sum(n) over (order by kickoff) as bigint) as end_row, kickoff + 86400 as known_by, row_number() over (order by kickoff) as place from kg),
@@ -166,17 +184,9 @@ m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g
     "kickoff_groups": f"with {_FX}, g as (select ko as kickoff, ko - 86400 as as_of, count(*) as n from fx where fin group by ko) select kickoff, as_of, n, cast(sum(n) over (order by kickoff) as bigint) as end_row, kickoff + 86400 as known_by from g",
     "gate_report": f"with {_SCORED}, r as (select avg(strict) as h, avg(brier) as b, count(*) as n from sc where model_id = 'proportional'), s as (select max(epoch(o_orderdate)) - min(epoch(o_orderdate)) as span from orders) select 'hitRate must be > 0.48' as failure from r where not h > 0.48 union all select 'brier must be < 0.22' from r where not b < 0.22 union all select 'sampleCount must be >= 500' from r where n < 500 union all select 'evaluation coverage must be >= 365 days' from s where span < 31536000",
     "record_union": f"with {_PRED}, c as (select cast(count(distinct season) as bigint) as s from m) select 'model' as record_type, cast(3 as bigint) as n, cast(3 as bigint) as model_count, cast(0 as bigint) as with_season, cast(0 as bigint) as with_point union all select 'season', 3 * s, 3, 3 * s, 0 from c union all select 'reliability', 30, 3, 0, 0 union all select 'difference', 2, 2, 0, 2",
-    "elo_ratings": f"with recursive {_FX}, {_ELO} select fid as fixture_id, elo as elo_diff_home_adv from el",
-    "feature_snapshots": f"""with recursive {_FX}, {_AP}, {_form('f')}, {_form('v', 'and s.ish = p.ish')}, {_form('m', 'and s.opp = p.opp')}, {_ELO},
-w as (select fid, {', '.join(f"cast(max(case when ish = {i} then {e} end) as double) as {n}" for n, (i, e) in (_POINTS | _GOALS).items())}, max(sko) as sko,
-  max(case when ish = 1 then sko end) as hk, max(case when ish = 0 then sko end) as ak from f group by fid),
-x as (select fid, {', '.join(f"cast(max(case when ish = {i} then {e} end) as double) as {n}" for n, (i, e) in _VENUE.items())} from v group by fid),
-y as (select fid, cast(max(case when ish = 1 then pts end) as double) as h2h_home_points_sum_5 from m group by fid)
-select fx.fid as fixture_id, lg as league_id, se as season, ko as kickoff, ko - 86400 as as_of, coalesce(sko + 86400, ko - 86401) as source_max,
-  case when fin then case when hg > ag then 0 when hg = ag then 1 else 2 end end as target, ko + 86400 as target_available,
-  {', '.join([*_POINTS, *_GOALS, *_VENUE])}, elo as elo_diff_home_adv, h2h_home_points_sum_5,
-  case when hk is not null then round(least((ko - hk) / 86400E0, 30E0), 6) end as home_rest_days, case when ak is not null then round(least((ko - ak) / 86400E0, 30E0), 6) end as away_rest_days
-from fx join w on w.fid = fx.fid join x on x.fid = fx.fid join y on y.fid = fx.fid join el on el.fid = fx.fid""",
+    "elo_ratings": f"with recursive {_FX}, {_elo()} select fid as fixture_id, elo as elo_diff_home_adv from el",
+    "feature_snapshots": _snapshots(_USUAL),
+    "snapshots_fixed_time": _snapshots(_FIXED),
     "fold_plan": f"with {_PLAN} select fold, role, from_row, to_row, purged from pl",
     "purge_counts": f"with {_PLAN} select fold, role, cast(sum(n) as bigint) as n, min(kickoff) as first_kickoff, max(kickoff) as last_kickoff from pl join kk on end_row > from_row and end_row <= to_row group by fold, role",
 }
