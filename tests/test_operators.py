@@ -2,13 +2,14 @@ import heapq
 import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, systems
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, seasons, systems, walkforward
 from touchline.plans import catalog
 from touchline.sources import ingest
 from touchline.streaming.live_form import live_form, weekly_results
@@ -275,8 +276,29 @@ def test_all_systems_cover_the_same_keys(spark):
     for r in out:
         assert math.isclose(sum(r.p), 1, abs_tol=1e-6)
         by.setdefault(r.model_id, set()).add(r.fixture_id)
-    assert by.keys() == {m for m, *_ in systems.REGISTRY}
+    assert by.keys() == {m for m, *_ in systems.REGISTRY} == {r.model_id for r in systems.registry(spark).collect()}
     assert len({frozenset(v) for v in by.values()}) == 1 and len(by["prior"]) == 600
+    kept = spark.createDataFrame(out).join(fx.select("fixture_id", P.week_block(F.col("kickoff")).alias("block"), P.outcome(F.col("home_goals"), F.col("away_goals")).alias("target")), "fixture_id")
+    found = systems.intervals(scoring.score(kept.withColumn("key", F.col("fixture_id"))).persist(), "v", 50).collect()
+    assert len(found) == 27 + 3 and all(r.low <= r.high for r in found)
+    assert {(r.metric, r.reference) for r in found} == {(m, k) for m in bootstrap.METRICS for k in ("market_shin", "boosted_raw")}
+    notes = systems.fold_diagnostics(fx, [2003, 2004]).collect()
+    assert [(r.season, r.training_seasons, r.training_matches, r.teams, r.cold_starts) for r in notes] == [(2003, 3, 900, 10, 0), (2004, 4, 1200, 10, 0)]
+    assert all(abs(r.rho) < 0.25 and r.low_scores >= 25 for r in notes)
+
+
+def test_walk_forward_reports_every_fold(spark):
+    fx = spark.createDataFrame(goals_league(1500, seed=9), FIXTURE)
+    snaps = asof.snapshots(fx).where("target is not null")
+    done = walkforward.run(snaps, asof.FEATURES, boost=gbdt.BoostConfig(rounds=5))
+    sizes = {(r.fold, r.role): r.to_row - r.from_row for r in done.stages}
+    rows = done.predictions.collect()
+    assert len(rows) == sum(n for (_, role), n in sizes.items() if role == "evaluate") == done.report["sampleCount"]
+    assert all(math.isclose(sum(r.p), 1, abs_tol=1e-9) and math.isclose(sum(r.raw), 1, abs_tol=1e-9) for r in rows)
+    assert {(r.model_id, r.fold) for r in done.folds.collect()} == {(m, k) for m in ("boosted_raw", "boosted_isotonic") for k in (None, 0, 1, 2)}
+    assert done.report["protocol"] == "walk-forward" and done.report["foldCount"] == 3 and sum(b["n"] for b in done.report["confidenceBuckets"]) == len(rows)
+    assert "pointInTimeProvenance is required" in done.report["gate"]["failures"]
+    assert done.report["finalFit"]["rawEnd"] <= done.report["finalFit"]["calibrationStart"]
 
 
 def test_fold_plan_is_purged(spark):
@@ -354,6 +376,12 @@ def test_release_round_trip(spark, tmp_path):
     assert publish.release_faults(tmp_path) == []
     (tmp_path / "release.csv").write_text("x")
     assert publish.release_faults(tmp_path)
+    publish.write_release(tmp_path / "b", {}, records, [], "v", (__file__,))
+    assert publish.release_faults(tmp_path / "b") == []
+    good = {"version": "v", "evaluation": {"matches": 3, "weeks": 1, "fullCoverage": True, "keySetSha256": "x"}, "leaderboard": [{"n": 3, "keySetSha256": "x"}] * 2, "activationEligible": False, "rawRowsIncluded": False}
+    assert publish.document_faults(good, "v", 3, 1, 2) == [] and len(publish.document_faults({}, "v", 3, 1, 2)) == 8
+    assert publish.document_faults(good | {"activationEligible": True}, "v", 3, 1, 2) == ["activation must be off"]
+    assert len(publish.revision_id(Path(__file__).parent)) == 40
     with pytest.raises(ValueError):
         publish.rounded(float("nan"))
     assert publish.rounded(0.125, 2) == 0.12
@@ -380,10 +408,39 @@ def test_season_files(spark, tmp_path):
     assert ingest.digest_mismatches(spark, local, str(tmp_path / "16")).count() == 0
     assert ingest.digest_mismatches(spark, local.withColumn("sha256", F.lit("0")), str(tmp_path / "16")).count() == 1
     matches = ingest.number_matches(ingest.read_season(spark, str(path), "2016/17", 0, False))
+    about = ingest.source_metadata(pins, matches).collect()
+    assert [(r.season, r.completed_rows, r.first_date, r.last_date, len(r.fields)) for r in about] == [("2016/17", 2, "2016-08-13", "2016-08-14", 10)]
+    where = spark.createDataFrame([("https://x.org/mmz4281/1617/E0.csv",), ("https://x.org/none",)], "url string").select(ingest.path_behind(F.col("url"), "/mmz4281/")).collect()
+    assert [r[0] for r in where] == ["1617/E0.csv", None]
     assert ingest.contract_faults(matches, pins).count() == 0
     assert ingest.contract_faults(matches.unionByName(matches), pins).count() == 3
 
 
+def test_season_files_become_examples(spark, tmp_path):
+    names = ["Alpha", "Beta", "Gamma", "Delta"]
+    rng, parts = random.Random(3), []
+    for index, season in enumerate(("2016/17", "2017/18")):
+        lines = ["Date,Time,HomeTeam,AwayTeam,FTHG,FTAG,FTR"]
+        for k in range(24):
+            home, away = rng.sample(names, 2)
+            h, a = rng.randint(0, 3), rng.randint(0, 3)
+            lines.append(f"{1 + k % 28}/{9 + k // 28}/{2016 + index},15:00,{home},{away},{h},{a},{'H' if h > a else 'D' if h == a else 'A'}")
+        path = tmp_path / f"{index}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        parts.append(ingest.read_season(spark, str(path), season, index, False))
+    matches = ingest.number_matches(parts[0].unionByName(parts[1])).persist()
+    fixtures = {r.fixture_id: r for r in seasons.as_fixtures(matches).collect()}
+    ids = {n: i for i, n in enumerate(sorted(names), 1)}
+    for r in matches.collect():
+        f = fixtures[r.fixture_id]
+        assert (f.home, f.away, f.league_id, f.season, f.kickoff) == (ids[r.home_team], ids[r.away_team], 39, r.season_start, r.kickoff)
+    found = seasons.examples(matches)
+    assert found.count() == 48 and seasons.coverage_faults(matches, found).count() == 0
+    assert seasons.coverage_faults(matches.where("fixture_id > 1"), found.where("fixture_id < 48")).count() == 2
+    with pytest.raises(Exception, match="target"):
+        seasons.examples(matches.withColumn("target", (F.col("target") + 1) % 3)).collect()
+
+
 def test_bad_payloads_are_set_apart(spark):
     texts = ["{", "", "{}", '{"fixture":{"id":true}}', None]
     good, bad = ingest.parse_payloads(spark.createDataFrame([(t,) for t in texts], "payload string"))

@@ -62,7 +62,7 @@ def replicate_means(diff: np.ndarray, n: np.ndarray, seed: int, replicates: int
     return total / count
 
 
-def block_bootstrap(blocks: DataFrame, version: str, metric: str, reference: str, replicates: int = REPLICATES) -> DataFrame:
+def block_bootstrap(blocks: DataFrame, version: str, metric: str, reference: str, replicates: int = REPLICATES, label: str = "{model}:{metric}:vs-{reference}") -> DataFrame:
     """model_id, point, low, high, blocks from model_id, block, diff, n; a task holds one model's weekly sums."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +71,7 @@ def block_bootstrap(blocks: DataFrame, version: str, metric: str, reference: str
             raise ValueError(f"{len(frame)} blocks; at least {LEAST_BLOCKS} are needed")
         model = frame.model_id.iloc[0]
         diff, n = frame["diff"].to_numpy(), frame.n.to_numpy(np.float64)
-        means = replicate_means(diff, n, seed_of(version, f"{model}:{metric}:vs-{reference}"), replicates)
+        means = replicate_means(diff, n, seed_of(version, label.format(model=model, metric=metric, reference=reference)), replicates)
         low, high = np.quantile(means, [LOW, HIGH])
         return pd.DataFrame({"model_id": [model], "point": [diff.sum() / n.sum()], "low": [low], "high": [high], "blocks": [len(frame)]})
 

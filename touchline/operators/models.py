@@ -52,6 +52,8 @@ def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str],
 # ---- goals
 
 RIDGE, GLOBAL_RIDGE, MOST_ETA, LEAST_MATCHES = 1.0, 1e-8, 20.0, 380
+#: Teams whose effects are sent to every task at most.
+MOST_TEAMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -73,35 +75,47 @@ def pair_statistics(matches: DataFrame) -> DataFrame:
 
 
 def fit_goals(pairs: list, least: int = LEAST_MATCHES) -> GoalModel:
-    """Penalised Poisson regression by damped Newton steps on the pair statistics (at most teams squared rows)."""
+    """Penalised Poisson regression by damped Newton steps on the pair statistics (at most teams squared rows); memory grows with the pairs and with teams squared."""
     teams = sorted({r["home"] for r in pairs} | {r["away"] for r in pairs})
     number = {t: i for i, t in enumerate(teams)}
     size = 2 + 2 * len(teams)
     if sum(r["n"] for r in pairs) < least:
         raise ValueError(f"at least {least} matches are needed")
-    rows, weight, goals = [], [], []
-    for r in pairs:
-        h, a = number[r["home"]], number[r["away"]]
-        for own, other, adv, scored in ((h, a, 1.0, r["home_goals"]), (a, h, 0.0, r["away_goals"])):
-            x = np.zeros(size)
-            x[0], x[1], x[2 + own], x[2 + len(teams) + other] = 1.0, adv, 1.0, -1.0
-            rows.append(x)
-            weight.append(r["n"])
-            goals.append(scored)
-    x, w, y = np.array(rows), np.array(weight, float), np.array(goals, float)
+    t = len(teams)
+    n, away = len(pairs), np.repeat([0, 1], len(pairs))
+    h, a = (np.array([number[r[c]] for r in pairs]) for c in ("home", "away"))
+    # Two rows a pair: what the home team and what the away team scored. Each has an intercept, an attack and a defence, home ones the advantage too.
+    own, other = 2 + np.concatenate([h, a]), 2 + t + np.concatenate([a, h])
+    w = np.tile(np.array([r["n"] for r in pairs], float), 2)
+    y = np.array([r["home_goals"] for r in pairs] + [r["away_goals"] for r in pairs], float)
     penalty = np.full(size, RIDGE)
     penalty[:2] = GLOBAL_RIDGE
 
+    def etas(b: np.ndarray) -> np.ndarray:
+        return b[0] + b[1] * (away == 0) + b[own] - b[other]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        """What a number for each row adds up to for each parameter."""
+        return np.bincount(own, v, size) - np.bincount(other, v, size) + np.append([v.sum(), v[:n].sum()], np.zeros(size - 2))
+
+    def hessian(mu: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, size))
+        places = [(np.zeros(2 * n, int), np.ones(2 * n)), (np.ones(2 * n, int), (away == 0).astype(float)), (own, np.ones(2 * n)), (other, -np.ones(2 * n))]
+        for i, x in places:
+            for j, z in places:
+                np.add.at(out, (i, j), mu * x * z)
+        return out
+
     def objective(b: np.ndarray) -> float:
-        eta = x @ b
+        eta = etas(b)
         return np.inf if np.abs(eta).max() > MOST_ETA else float((w * np.exp(eta) - y * eta).sum() + 0.5 * (penalty * b * b).sum())
 
     beta = np.zeros(size)
     beta[0] = np.log(max(y.sum(), 1.0) / (2 * w.sum()))
     now = objective(beta)
     for k in range(50):
-        mu = w * np.exp(x @ beta)
-        delta = np.linalg.solve((x * mu[:, None]).T @ x + np.diag(penalty), x.T @ (mu - y) + penalty * beta)
+        mu = w * np.exp(etas(beta))
+        delta = np.linalg.solve(hessian(mu) + np.diag(penalty), back(mu - y) + penalty * beta)
         for half in range(21):
             trial = beta - delta / 2**half
             value = objective(trial)
@@ -118,7 +132,8 @@ def fit_goals(pairs: list, least: int = LEAST_MATCHES) -> GoalModel:
 
 def goal_rates(fixtures: DataFrame, model: GoalModel) -> DataFrame:
     """``fixtures`` with home_rate, away_rate and cold_start (a team that the model has not seen counts as average)."""
-    effects = F.broadcast(model.effects(fixtures.sparkSession))  # one row per team
+    effects = model.effects(fixtures.sparkSession)
+    effects = F.broadcast(effects) if len(model.teams) <= MOST_TEAMS else effects  # three numbers a team
     home = effects.select(F.col("team").alias("home"), F.col("attack").alias("ha"), F.col("defence").alias("hd"), F.lit(True).alias("h_seen"))
     away = effects.select(F.col("team").alias("away"), F.col("attack").alias("aa"), F.col("defence").alias("ad"), F.lit(True).alias("a_seen"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -153,16 +168,24 @@ def fit_rho(coefficients: np.ndarray, n: np.ndarray, rates: list[tuple[float, fl
     return (low + high) / 2
 
 
+def fitted_goals(done: DataFrame) -> tuple[GoalModel, float, int]:
+    """The goal model of final matches, its rho, and how many low scores that rests on."""
+    model = fit_goals(pair_statistics(done).collect())  # teams squared rows at most
+    rated = goal_rates(done, model)
+    cells = low_score_cells(rated).collect()  # four for each pair of teams at most
+    rates = [(r.home_rate, r.away_rate) for r in rated.select("home_rate", "away_rate").distinct().collect()]
+    n = np.array([r.n for r in cells], float)
+    return model, fit_rho(np.array([r.coefficient for r in cells]), n, rates), int(n.sum())
+
+
 def poisson_probabilities(train: DataFrame, test: DataFrame, with_shift: bool = False) -> DataFrame:
     """``test`` with p from goal rates fitted to the final matches of ``train``; with_shift adds the low-score dependence."""
     done = train.where("is_final")
-    model = fit_goals(pair_statistics(done).collect())  # teams squared rows at most
-    rho = None
     if with_shift:
-        rated = goal_rates(done, model)
-        cells = low_score_cells(rated).collect()  # four for each pair of teams at most
-        rates = [(r.home_rate, r.away_rate) for r in rated.select("home_rate", "away_rate").distinct().collect()]
-        rho = F.lit(fit_rho(np.array([r.coefficient for r in cells]), np.array([r.n for r in cells], float), rates))
+        model, value, _ = fitted_goals(done)
+    else:
+        model = fit_goals(pair_statistics(done).collect())  # teams squared rows at most
+    rho = F.lit(value) if with_shift else None
     return goal_rates(test, model).select(*test.columns, poisson_outcomes(F.col("home_rate"), F.col("away_rate"), rho).alias("p"))
 
 

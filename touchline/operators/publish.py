@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
+import subprocess
 import zipfile
 from pathlib import Path
 
@@ -61,14 +63,25 @@ def record_csv(records: DataFrame) -> bytes:
     return "".join(",".join(map(csv_text, line)) + "\n" for line in [RECORD_COLUMNS, *rows]).encode()
 
 
-def write_release(directory: str | Path, document: dict, records: DataFrame, pins: list[dict], version: str) -> dict:
-    """Writes release.json, release.csv and manifest.json, and returns the manifest."""
+def revision_id(root: str | Path = ".") -> str:
+    """The revision that a build runs from: GITHUB_SHA, or else git's head; an error if neither is known."""
+    named = os.environ.get("GITHUB_SHA", "").strip()
+    if named:
+        return named
+    found = subprocess.run(["git", "-C", str(root), "rev-parse", "HEAD"], capture_output=True, text=True)
+    if found.returncode or not found.stdout.strip():
+        raise RuntimeError("no revision is known")
+    return found.stdout.strip()
+
+
+def write_release(directory: str | Path, document: dict, records: DataFrame, pins: list[dict], version: str, code: tuple[str | Path, ...] = ()) -> dict:
+    """Writes release.json, release.csv and manifest.json, and returns the manifest; ``code`` are files whose digests it pins as well."""
     home = Path(directory)
     home.mkdir(parents=True, exist_ok=True)
     files = {"release.json": canonical_json(document), "release.csv": record_csv(records)}
     for name, data in files.items():
         (home / name).write_bytes(data)
-    manifest = {"version": version, "artifacts": [{"path": n, "bytes": len(d), "sha256": sha256(d)} for n, d in files.items()], "sourceInputs": pins}
+    manifest = {"version": version, "artifacts": [{"path": n, "bytes": len(d), "sha256": sha256(d)} for n, d in files.items()], "sourceInputs": pins, "code": [{"path": str(c), "sha256": file_sha256(c)} for c in code]}
     (home / "manifest.json").write_bytes(canonical_json(manifest))
     return manifest
 
@@ -84,9 +97,29 @@ def release_faults(directory: str | Path) -> list[str]:
         path = home / a["path"]
         if not path.exists() or path.stat().st_size != a["bytes"] or file_sha256(path) != a["sha256"]:
             faults.append(f"{a['path']} differs from its pin")
+    for c in manifest.get("code", []):
+        if not Path(c["path"]).exists() or file_sha256(c["path"]) != c["sha256"]:
+            faults.append(f"{c['path']} is not the code that made the release")
     return faults
 
 
+def document_faults(document: dict, version: str, matches: int, weeks: int, systems: int) -> list[str]:
+    """What in a release's document breaks its contract: version, counts, one key set for all systems, and the claims that it must not make."""
+    evaluation, board = document.get("evaluation", {}), document.get("leaderboard", [])
+    checks = [
+        ("version", document.get("version") == version),
+        ("matches", evaluation.get("matches") == matches),
+        ("weeks", evaluation.get("weeks") == weeks),
+        ("full coverage", evaluation.get("fullCoverage") is True),
+        ("leaderboard length", len(board) == systems),
+        ("matches of each system", all(row.get("n") == matches for row in board)),
+        ("key set of each system", {row.get("keySetSha256") for row in board} == {evaluation.get("keySetSha256")}),
+        ("activation must be off", document.get("activationEligible") is False),
+        ("raw rows must not be included", document.get("rawRowsIncluded") is False),
+    ]
+    return [name for name, good in checks if not good]
+
+
 def write_report(directory: str | Path, report: dict) -> Path:
     path = Path(directory) / "backtest.json"
     path.parent.mkdir(parents=True, exist_ok=True)

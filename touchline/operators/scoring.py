@@ -41,6 +41,13 @@ def ranked(board: DataFrame, registry: DataFrame, digits: int = 10, history_only
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def best(board: DataFrame, registry: DataFrame, digits: int = 10, history_only: bool = True) -> DataFrame:
+    """The row of the lowest rounded Brier score, the first of the registry among equals."""
+    rows = board.join(F.broadcast(registry), "model_id")  # one row per model
+    rows = rows.where("history_only") if history_only else rows
+    return rows.orderBy(F.round("brier", digits), "model_order").limit(1)
+
+
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
     """For every model and bin of the largest part: n, mean confidence, mean hit and their gap; empty bins stay, with nulls."""
     held = scored.groupBy("model_id", "bin").agg(F.count("*").alias("n"), F.avg("top").alias("confidence"), F.avg("fractional_hit").alias("hit_rate"))
@@ -83,13 +90,39 @@ def invalid_predictions(predictions: DataFrame) -> DataFrame:
 
 def coverage_gaps(predictions: DataFrame, keys: DataFrame) -> DataFrame:
     """model_id, key, side: keys that a model lacks (missing) or has beyond the evaluation's (extra)."""
-    wanted = predictions.select("model_id").distinct().join(keys.select("key").distinct())  # models are a handful
+    wanted = keys.select("key").distinct().join(F.broadcast(predictions.select("model_id").distinct()))  # a row a model
     have = predictions.select("model_id", "key").distinct()
     missing = wanted.join(have, ["model_id", "key"], "left_anti").withColumn("side", F.lit("missing"))
     extra = have.join(keys.select("key"), "key", "left_anti").select("model_id", "key", F.lit("extra").alias("side"))
     return missing.unionByName(extra)
 
 
+def coverage_samples(gaps: DataFrame, most: int = 3) -> DataFrame:
+    """model_id, side, n, sample: how many keys are missing or extra, and the first of them, for an error message."""
+    order = Window.partitionBy("model_id", "side").orderBy("key")
+    first = gaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    samples = first.groupBy("model_id", "side").agg(F.concat_ws(",", F.array_sort(F.collect_list("key"))).alias("sample"))
+    return gaps.groupBy("model_id", "side").agg(F.count("*").alias("n")).join(samples, ["model_id", "side"])
+
+
+def bundle(scored: DataFrame) -> DataFrame:
+    """model_id, n, brier, log_loss, hit_rate, ece (both by the first largest part) and buckets, from one pass over the scored rows."""
+    pairs = list(zip(BUCKET_EDGES, BUCKET_EDGES[1:], strict=False))
+    bucket = F.coalesce(*(F.when((F.col("top") >= a) & (F.col("top") < b), i) for i, (a, b) in enumerate(pairs)))
+    cells = scored.groupBy("model_id", "bin", bucket.alias("bucket")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("brier", "log_loss", "argmax_hit", "top")))
+    bins = cells.groupBy("model_id", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "brier", "log_loss", "argmax_hit", "top")), F.collect_list(F.struct("bucket", "n", "top", "argmax_hit")).alias("held"))
+    n = F.sum("n")
+    whole = bins.groupBy("model_id").agg(n.alias("n"), (F.sum("brier") / n).alias("brier"), (F.sum("log_loss") / n).alias("log_loss"), (F.sum("argmax_hit") / n).alias("hit_rate"), (F.sum(F.abs(F.col("top") - F.col("argmax_hit"))) / n).alias("ece"), F.flatten(F.collect_list("held")).alias("held"))
+
+    def of(i: int) -> Column:
+        own = F.filter("held", lambda x: x["bucket"] == i)
+        total = lambda c: F.aggregate(own, F.lit(0.0), lambda a, x: a + x[c])
+        share = lambda c: F.when(total("n") > 0, total(c) / total("n"))
+        return F.struct(F.lit(pairs[i][0]).alias("lower"), F.lit(min(pairs[i][1], 1.0)).alias("upper"), total("n").cast("long").alias("n"), share("top").alias("confidence"), share("argmax_hit").alias("accuracy"))
+
+    return whole.withColumn("buckets", F.array(*(of(i) for i in range(len(pairs))))).drop("held")
+
+
 def paired_blocks(scored: DataFrame, reference: str, metric: str) -> DataFrame:
     """model_id, block, diff, n: summed differences to the reference model by ISO week."""
     ref = scored.where(F.col("model_id") == reference).select("key", F.col(metric).alias("of_reference"))

@@ -8,25 +8,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, gbdt, models
+from touchline.operators import asof, bootstrap, gbdt, models, scoring
 
-#: Systems in the order that breaks ties, and whether they use past results only (and so compete for history rank).
+#: Systems in the order that breaks ties; whether they use past results only (and so compete for history rank); and what each one is:
+#: label, category, what it knows, how it predicts, when it is fitted.
 REGISTRY = [
-    ("uniform", 0, False),
-    ("prior", 1, True),
-    ("elo_logit", 2, True),
-    ("feature_logit", 3, True),
-    ("poisson", 4, True),
-    ("dixon_coles", 5, True),
-    ("boosted_raw", 6, True),
-    ("boosted_isotonic", 7, True),
-    ("market_proportional", 8, False),
-    ("market_shin", 9, False),
+    ("uniform", 0, False, "Equal thirds", "baseline", "nothing", "a third for each outcome", "never"),
+    ("prior", 1, True, "Shares so far", "baseline", "results known a day before kickoff", "shares of the outcomes known so far", "at every kickoff"),
+    ("elo_logit", 2, True, "Elo difference", "rating", "results known a day before kickoff", "multinomial logit", "every season"),
+    ("feature_logit", 3, True, "All features", "features", "results known a day before kickoff", "multinomial logit", "every season"),
+    ("poisson", 4, True, "Goal rates", "goals", "earlier seasons", "ridge Poisson regression", "every season"),
+    ("dixon_coles", 5, True, "Goal rates with low-score dependence", "goals", "earlier seasons", "ridge Poisson regression, then rho", "every season"),
+    ("boosted_raw", 6, True, "Boosted trees", "features", "results known a day before kickoff", "gradient boosting", "every season"),
+    ("boosted_isotonic", 7, True, "Boosted trees, calibrated", "features", "results known a day before kickoff", "gradient boosting, then isotonic curves", "every season"),
+    ("market_proportional", 8, False, "Closing prices, scaled", "market", "closing prices", "proportional de-vigging", "at every kickoff"),
+    ("market_shin", 9, False, "Closing prices, Shin", "market", "closing prices", "insider-share de-vigging", "at every kickoff"),
 ]
+#: Features that each system reads; the others read none.
+INPUTS = {"elo_logit": ["elo_diff_home_adv"], "feature_logit": asof.FEATURES, "boosted_raw": asof.FEATURES, "boosted_isotonic": asof.FEATURES, "market_proportional": ["odds"], "market_shin": ["odds"]}
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REGISTRY, "model_id string, model_order int, history_only boolean")
+    rows = [(*r, list(INPUTS.get(r[0], []))) for r in REGISTRY]
+    return spark.createDataFrame(rows, "model_id string, model_order int, history_only boolean, label string, category string, information string, method string, schedule string, inputs array<string>")
+
+
+def fold_diagnostics(fixtures: DataFrame, seasons: list[int]) -> DataFrame:
+    """season, training_seasons, training_matches, teams, iterations, low_scores, rho, cold_starts: how the goal models of each evaluation season came about."""
+    rows, done = [], fixtures.where("is_final")
+    for season in seasons:
+        past = done.where(F.col("season") < season)
+        fitted, rho, low = models.fitted_goals(past)
+        cold = models.goal_rates(done.where(F.col("season") == season), fitted).where("cold_start").count()
+        size = past.agg(F.countDistinct("season").alias("s"), F.count("*").alias("n")).first()
+        rows.append((season, size.s, size.n, len(fitted.teams), fitted.iterations, low, rho, cold))
+    return fixtures.sparkSession.createDataFrame(rows, "season int, training_seasons long, training_matches long, teams long, iterations long, low_scores long, rho double, cold_starts long")
+
+
+def intervals(scored: DataFrame, version: str, replicates: int = bootstrap.REPLICATES) -> DataFrame:
+    """metric, model_id, reference, point, low, high, blocks: every system against the Shin prices, and calibrated against raw trees."""
+    parts = []
+    for metric in bootstrap.METRICS:
+        for rows, reference, label in ((scored, "market_shin", "{model}:{metric}:vs-{reference}"), (scored.where("model_id in ('boosted_raw', 'boosted_isotonic')"), "boosted_raw", "{model}-vs-raw:{metric}")):
+            found = bootstrap.block_bootstrap(scoring.paired_blocks(rows, reference, metric), version, metric, reference, replicates, label)
+            parts.append(found.select(F.lit(metric).alias("metric"), "model_id", F.lit(reference).alias("reference"), "point", "low", "high", "blocks"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predict_all(fixtures: DataFrame, odds: DataFrame, seasons: list[int], config: gbdt.BoostConfig = gbdt.BoostConfig(), least_earlier: int = 2) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
 from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems, walkforward
+from touchline.operators.running import running
 from touchline.plans import oracles
 from touchline.sources import fixtures as source
 from touchline.sources import ingest
@@ -316,12 +316,8 @@ def dixon_coles_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dixon_coles_fitted_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rho of ``fit_rho`` on rates fitted to goals that follow a goal model; ``dixon_coles_rho`` has only its score, as SQL can tell it."""
-    done = source.with_drawn_goals(source.from_orders(spark, sf_dir)).where("is_final")
-    rated = models.goal_rates(done, models.fit_goals(models.pair_statistics(done).collect()))  # teams squared rows at most
-    cells = models.low_score_cells(rated).collect()  # four for each pair of teams at most
-    rates = [(r.home_rate, r.away_rate) for r in rated.select("home_rate", "away_rate").distinct().collect()]
-    rho = models.fit_rho(np.array([r.coefficient for r in cells]), np.array([r.n for r in cells], float), rates)
-    return spark.createDataFrame([(int(sum(r.n for r in cells)), rho)], "n long, rho double").select("n", _r("rho").alias("rho"))
+    _, rho, n = models.fitted_goals(source.with_drawn_goals(source.from_orders(spark, sf_dir)).where("is_final"))
+    return spark.createDataFrame([(n, rho)], "n long, rho double").select("n", _r("rho").alias("rho"))
 
 
 def gbdt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +365,31 @@ def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m,) for m in backtest.apply_gate(report, "1", "append-only")], "failure string")
 
 
+def coverage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.coverage_samples(coverage_anti_join(spark, sf_dir))
+
+
+def best_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.best(scoring.leaderboard(scored(spark, sf_dir)), registry(spark)).select("model_id", _r("brier").alias("brier"))
+
+
+def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoring.bundle(scored(spark, sf_dir))
+    return rows.select("model_id", "n", *(_r(c).alias(c) for c in ("brier", "log_loss", "hit_rate", "ece")), F.size(F.filter("buckets", lambda b: b["n"] > 0)).cast("long").alias("used_buckets"))
+
+
+def match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each fixture in the global order (kickoff, home, away, id), by running totals instead of one sort in one task."""
+    fx = source.from_orders(spark, sf_dir)
+    return running(fx, "kickoff", ["kickoff", "home", "away", "fixture_id"], {"place": ("sum", F.lit(1))}).select("fixture_id", "place")
+
+
+def fold_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
+    rows = systems.fold_diagnostics(fx, _seasons(fx.where("is_final"), 2, models.LEAST_MATCHES))
+    return rows.withColumn("rho", _r("rho"))
+
+
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the whole backtest by fold and pooled (fold null), raw and calibrated, with the gate's verdict."""
     fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
@@ -472,6 +493,11 @@ QUERIES = {
         gate_report,
         candidate_gate,
         walk_forward,
+        coverage_samples,
+        best_history,
+        evaluation_bundle,
+        match_order,
+        fold_diagnostics,
         record_union,
         weekly_results,
         season_training_rows,

@@ -117,6 +117,7 @@ pl as (select fold, 'train' as role, cast(0 as bigint) as from_row, raw_end as t
   union all select fold, 'calibrate', cal_start, usable, cal_start - raw_end from sf union all select fold, 'evaluate', start_row, stop, start_row - usable from sf)"""
 
 
+_GAPS = f"with {_PRED}, h as (select distinct model_id, key from m where not (model_id = 'sharpened' and key % 97 = 0)), w as (select key from o where key % 89 <> 0), i as (select distinct model_id from h) select i.model_id, w.key, 'missing' as side from i, w where not exists (select 1 from h where h.model_id = i.model_id and h.key = w.key) union all select h.model_id, h.key, 'extra' from h where h.key not in (select key from w)"
 _EDGES = [(0, 0.0, 0.4), (1, 0.4, 0.5), (2, 0.5, 0.6), (3, 0.6, 0.7), (4, 0.7, 0.8), (5, 0.8, 0.9), (6, 0.9, 1.0000001)]
 
 ORACLES = {
@@ -139,7 +140,7 @@ from fx join s on fx.lg = s.lg and fx.ko = s.ko""",
     "cold_starts": f"with {_FX} select h >= 18 or a >= 18 as cold_start, count(*) as n from fx where se = (select max(se) from fx) group by 1",
     "season_counts": "select cast(year(o_orderdate) as int) as season, count(*) as n, cast(sum(case when o_orderstatus <> 'P' then 1 else 0 end) as bigint) as finals, count(distinct date_trunc('week', o_orderdate)) as week_count from orders group by 1",
     "team_dense_ids": f"with {_FX}, t as (select h as team from fx union select a from fx) select team, row_number() over (order by team) as team_id from t",
-    "coverage_anti_join": f"with {_PRED}, h as (select distinct model_id, key from m where not (model_id = 'sharpened' and key % 97 = 0)), w as (select key from o where key % 89 <> 0), i as (select distinct model_id from h) select i.model_id, w.key, 'missing' as side from i, w where not exists (select 1 from h where h.model_id = i.model_id and h.key = w.key) union all select h.model_id, h.key, 'extra' from h where h.key not in (select key from w)",
+    "coverage_anti_join": _GAPS,
     "api_json_parse": f"with {_FX} select fid as fixture_id, cast(lg + 1 as bigint) as league_id, se as season, ko as kickoff, h + 1 as home, a + 1 as away, 'team ' || a as away_name, case when fin then 'FT' else 'NS' end as status, cast(hg as int) as home_goals, cast(ag as int) as away_goals, fin as is_final from fx where fid % 50 <> 0 and fid % 49 <> 0 and fid % 47 <> 0",
     "api_json_quarantine": f"with {_FX}, b as (select case when fid % 50 = 0 then 'fixture.id must be a positive integer' when fid % 49 = 0 then 'teams.away.id must be a positive integer' when fid % 47 = 0 then 'goals.away must not be negative' end as fault from fx) select fault, count(*) as n from b where fault is not null group by fault",
     "date_parse": "select o_orderkey as key, cast(epoch(case when o_orderkey % 2 <> 0 and year(o_orderdate) < 2000 then o_orderdate + interval 100 year else o_orderdate end) as bigint) + case o_orderkey % 3 when 2 then (o_orderkey % 24) * 3600 + 300 else 43200 end as kickoff, case when o_orderkey % 2 = 0 or year(o_orderdate) >= 2000 then 0 else 100 end as century_shift from orders",
@@ -189,4 +190,11 @@ m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g
     "snapshots_fixed_time": _snapshots(_FIXED),
     "fold_plan": f"with {_PLAN} select fold, role, from_row, to_row, purged from pl",
     "purge_counts": f"with {_PLAN} select fold, role, cast(sum(n) as bigint) as n, min(kickoff) as first_kickoff, max(kickoff) as last_kickoff from pl join kk on end_row > from_row and end_row <= to_row group by fold, role",
+    "coverage_samples": "with g as (" + _GAPS + "), r as (select *, row_number() over (partition by model_id, side order by key) as place, count(*) over (partition by model_id, side) as n from g) select model_id, side, n, string_agg(cast(key as varchar), ',' order by key) as sample from r where place <= 3 group by model_id, side, n",
+    "best_history": f"with {_SCORED}, b as (select model_id, ord, avg(brier) as br from sc where ord > 0 group by all) select model_id, round(br, 6) as brier from b order by round(br, 10), ord limit 1",
+    "match_order": f"with {_FX} select fid as fixture_id, row_number() over (order by ko, h, a, fid) as place from fx",
+    "evaluation_bundle": f"""with {_SCORED}, e as (select model_id, bin, count(*) as n, sum(brier) as brier, sum(ll) as ll, sum(strict) as hit, sum(mx) as top from sc group by all),
+u as (select model_id, count(distinct case {' '.join(f'when mx >= {a}E0 and mx < {b}E0 then {i}' for i, a, b in _EDGES)} end) as used_buckets from sc group by all)
+select e.model_id, cast(sum(n) as bigint) as n, round(sum(brier) / sum(n), 6) as brier, round(sum(ll) / sum(n), 6) as log_loss, round(sum(hit) / sum(n), 6) as hit_rate, round(sum(abs(top - hit)) / sum(n), 6) as ece, any_value(used_buckets) as used_buckets
+from e join u on e.model_id = u.model_id group by e.model_id""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
@@ -35,12 +35,12 @@ def read_season(spark: SparkSession, path: str, season: str, season_index: int,
 
     Fails on a missing column, an empty or repeated team, a negative count, or incomplete odds where they are needed.
     """
-    raw = spark.read.csv(path, header=True)
+    # With multiLine a file is one split, read from its first line to its last.
+    raw = spark.read.csv(path, header=True, multiLine=True)
     lacking = [c for c in [*REQUIRED, *(ODDS if with_odds else [])] if c not in raw.columns]
     if lacking:
         raise ValueError(f"{path} lacks {lacking}")
-    # Files keep their order within a split; a season is one small file.
-    numbered = raw.coalesce(1).withColumn("source_order", F.monotonically_increasing_id() + 2)
+    numbered = raw.withColumn("source_order", F.monotonically_increasing_id() + 2)
     have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     odds = F.array(*(P.decimal_odds(have(c)) for c in ODDS))
     odds = F.when(F.forall(odds, lambda o: o.isNotNull()), odds)
@@ -72,6 +72,19 @@ def number_matches(matches: DataFrame) -> DataFrame:
     return matches.withColumns({"fixture_id": F.row_number().over(order).cast("long"), "key": key, "block": P.week_block(F.col("kickoff"))})
 
 
+def source_metadata(pins: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row for each pinned file: what it is, how many matches and which dates it gave, and the fields that were read."""
+    found = matches.groupBy("season").agg(F.count("*").alias("completed_rows"), F.min(P.iso_date(F.col("kickoff"))).alias("first_date"), F.max(P.iso_date(F.col("kickoff"))).alias("last_date"))
+    every = [*REQUIRED[:1], "Time", *REQUIRED[1:]]
+    fields = F.when(F.col("role") == "evaluation", F.array(*map(F.lit, [*every, *ODDS]))).otherwise(F.array(*map(F.lit, every)))
+    return pins.join(found, "season", "left").select("season", "season_index", "role", "url", "sha256", F.coalesce("completed_rows", F.lit(0)).alias("completed_rows"), "first_date", "last_date", fields.alias("fields"))
+
+
+def path_behind(url: Column, mark: str) -> Column:
+    """What stands behind a folder of a URL, or null where it lacks the folder."""
+    return F.when(F.instr(url, mark) > 0, F.substring_index(url, mark, -1))
+
+
 def contract_faults(matches: DataFrame, pins: DataFrame) -> DataFrame:
     """what, detail: seasons whose count differs from the manifest, and repeated keys."""
     counts = pins.join(matches.groupBy("season").agg(F.count("*").alias("n")), "season", "left").where(F.coalesce("n", F.lit(0)) != F.col("expected_rows"))
