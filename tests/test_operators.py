@@ -206,6 +206,24 @@ def test_goal_model_is_optimal(spark):
         models.fit_goals(pairs[:3])
 
 
+def test_logit_is_optimal(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (400, 2))
+    y = np.array([rng.choice(3, p=np.exp(v) / np.exp(v).sum()) for v in np.stack([x[:, 0], 0 * x[:, 0], -x[:, 1]], 1)])
+    rows = [(*map(float, v), int(t)) for v, t in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, target int").repartition(5)
+    w = models.fit_logit(df, ["a", "b"], c=2.0)
+    full = np.column_stack([np.ones(400), x])
+    p = np.exp(full @ w.T) / np.exp(full @ w.T).sum(axis=1, keepdims=True)
+    gradient = (p - np.eye(3)[y]).T @ full + np.column_stack([np.zeros(3), w[:, 1:] / 2.0])
+    assert np.abs(gradient).max() < 1e-6
+    missing = spark.createDataFrame([(1, None, 0.5, 9), (2, 0.1, None, 9)], "id int, a double, b double, p_old int")
+    out = models.logit_probabilities(df, missing, ["a", "b"]).collect()
+    assert [r.id for r in sorted(out)] == [1, 2] and all(math.isclose(sum(r.p), 1) for r in out)
+    with pytest.raises(ValueError):
+        models.logit_probabilities(df.where("target < 2"), missing, ["a", "b"])
+
+
 def test_rho_is_a_root():
     rng = np.random.default_rng(2)
     c, n = np.concatenate([-rng.uniform(1, 2, 30), rng.uniform(1, 2, 40)]), np.full(70, 2.0)

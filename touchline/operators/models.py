@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,23 +30,86 @@ def scaled(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> Data
     return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / deviation for c, (median, mean, deviation) in fitted.items()})
 
 
+FAN_IN, NEWTON_STEPS = 64, 50
+
+
+def _logit_sums(rows: DataFrame, features: list[str], weights: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of the multinomial loss over all rows: each partition sums its own, FAN_IN groups sum the partitions'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        width = len(features) + 1
+        total = np.zeros(1 + 3 * width + 9 * width * width)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(features)))], 1)
+            y = np.eye(3)[batch.column(len(features)).to_numpy(zero_copy_only=False).astype(int)]
+            z = x @ weights.T
+            z -= z.max(axis=1, keepdims=True)
+            log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            p = np.exp(log_p)
+            total[0] -= (y * log_p).sum()
+            total[1 : 1 + 3 * width] += ((p - y).T @ x).ravel()
+            blocks = [[(x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x for j in range(3)] for i in range(3)]
+            total[1 + 3 * width :] += np.block(blocks).ravel()
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part % FAN_IN], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum(group.column("sums").to_pylist(), axis=0)
+        return pa.table({"part": group.column("part")[:1], "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.select(*features, "target").mapInArrow(run, "part int, sums array<double>").groupBy("part").applyInArrow(add, "part int, sums array<double>")
+    return np.sum([r.sums for r in parts.collect()], axis=0)  # FAN_IN rows at most
+
+
+def fit_logit(rows: DataFrame, features: list[str], c: float = 1.0, tolerance: float = 1e-9) -> np.ndarray:
+    """(3, features + 1) weights, intercepts first, of the logit that minimises the loss plus half the squared weights over ``c``, by Newton steps."""
+    width = len(features) + 1
+    weights = np.zeros((3, width))
+    penalty = np.tile(np.append(0.0, np.full(width - 1, 1 / c)), 3)
+    # The loss does not change with a common shift of the intercepts; curvature along it alone keeps the steps from using it.
+    shift = np.tile(np.append(1.0, np.zeros(width - 1)), 3)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums = _logit_sums(rows, features, w)
+        return sums[0] + 0.5 * (penalty * w.ravel() ** 2).sum(), sums[1 : 1 + 3 * width] + penalty * w.ravel(), sums[1 + 3 * width :].reshape(3 * width, -1) + np.diag(penalty) + np.outer(shift, shift)
+
+    loss, gradient, hessian = at(weights)
+    for _ in range(NEWTON_STEPS):
+        delta = np.linalg.solve(hessian, gradient).reshape(3, width)
+        for half in range(21):
+            trial = weights - delta / 2**half
+            found = at(trial)
+            if found[0] <= loss + 1e-9 * abs(loss):
+                break
+        else:
+            raise ValueError("no step lowers the loss")
+        moved = np.abs(trial - weights).max()
+        weights, (loss, gradient, hessian) = trial, found
+        if moved <= tolerance:
+            return weights
+    raise ValueError("the logit did not converge")
+
+
 def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str], c: float = 1.0) -> DataFrame:
     """``test`` with p, from a multinomial logit with an L2 penalty fitted to ``train`` (column target of 0, 1, 2)."""
     train = train.select("target", *features).persist()  # read for medians, for deviations and by the solver
     fitted = imputation(train, features)
-    assemble = VectorAssembler(inputCols=features, outputCol="__x")
-    rows = assemble.transform(scaled(train, fitted)).select("__x", F.col("target").cast("double").alias("target")).cache()
-    n = rows.count()
-    if rows.select("target").distinct().count() != 3:
+    if train.select("target").distinct().count() != 3:
         raise ValueError("training rows must have all three outcomes")
-    model = LogisticRegression(featuresCol="__x", labelCol="target", family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-8, maxIter=2000, probabilityCol="__p").fit(rows)
+    rows = scaled(train, fitted).persist()
+    weights = fit_logit(rows, features, c)
     rows.unpersist()
     train.unpersist()
-    # The scaled values go under names of their own, so that the test rows keep theirs.
-    renamed = {c: f"__{c}" for c in features}
-    inputs = scaled(test.withColumns({n: F.col(c) for c, n in renamed.items()}), {renamed[c]: v for c, v in fitted.items()})
-    rows = VectorAssembler(inputCols=[*renamed.values()], outputCol="__x").transform(inputs)
-    return model.transform(rows).select(*test.columns, vector_to_array("__p").alias("p"))
+    value = {f: (F.coalesce(F.col(f).cast("double"), F.lit(median)) - mean) / deviation for f, (median, mean, deviation) in fitted.items()}
+    logits = [reduce(lambda a, x: a + x, [F.lit(float(w[0])), *(F.lit(float(k)) * value[f] for k, f in zip(w[1:], features, strict=True))]) for w in weights]
+    # Logits first, then shares: each is worked out once a row.
+    with_logits = test.withColumn("__z", F.array(*logits))
+    shares = F.transform("__z", lambda z: F.exp(z - F.array_max("__z")))
+    return with_logits.withColumn("__e", shares).select(*test.columns, F.transform("__e", lambda e: e / F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)).alias("p"))
 
 
 # ---- goals
