@@ -47,8 +47,8 @@ DISCOUNT, PRIOR = 0.5, 20.0
 #: Weight of a part that no training word is in.
 EMPTY = -30.0
 ROUNDS, SHARES, STEP = 4, 4, 0.35
-BLOCK_BYTES = 10 << 20
-PASS = 1 << 16
+BLOCK_BYTES = 6 << 20
+PASS = 1 << 14
 #: Tokens whose class weights are held at once when scoring: they fit into a core's cache.
 NEAR = 1 << 12
 #: Cells of the table that are summed apart, and the most sums that one group adds up.
@@ -302,9 +302,9 @@ def feature_counts(docs: DataFrame, heads: dict[int, int], model: Model | None =
         sums = np.zeros(shape)
         some = False
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 64):
                 words = Words()
-                tokens, starts = tokens_of(batch.column(0).slice(at, 256).to_pylist(), words)
+                tokens, starts = tokens_of(batch.column(0).slice(at, 64).to_pylist(), words)
                 own = traits(words, heads)
                 all_rows, all_parts = feature_rows(tokens, starts, own, words[END], hashed)
                 leaves = own.leaves[tokens]
