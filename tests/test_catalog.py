@@ -1,7 +1,10 @@
+from functools import partial
+
 import duckdb
 import pandas as pd
 import pytest
 
+from touchline.operators import gbdt
 from touchline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -38,5 +41,7 @@ def test_agrees_with_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_others_have_rows(spark, name):
+def test_others_have_rows(spark, name, monkeypatch):
+    """Boosted queries with few rounds here; ``test_operators`` checks that they ask for the production setting."""
+    monkeypatch.setattr(gbdt, "BoostConfig", partial(gbdt.BoostConfig, rounds=3))
     assert catalog.QUERIES[name](spark, SF).count() > 0

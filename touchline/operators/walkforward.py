@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
 from touchline.operators import backtest, gbdt, models, scoring
+from touchline.session import checkpointed
 
 PROTOCOL = "walk-forward"
 
@@ -27,7 +28,8 @@ class Backtest:
 def predictions_of(dealt: DataFrame, features: list[str], config: gbdt.BoostConfig, folds: list[int]) -> DataFrame:
     """fixture_id, fold, raw, p of the rows to evaluate: boosted on a fold's training rows, calibrated on its calibration rows."""
     flagged = dealt.withColumn("trains", F.col("role") == "train")
-    raw = gbdt.dealt_probabilities(flagged, features, config).join(dealt.where("role <> 'train'").select("fixture_id", "fold", "role", "target"), ["fixture_id", "fold"]).persist()
+    raw = gbdt.dealt_probabilities(flagged, features, config).join(dealt.where("role <> 'train'").select("fixture_id", "fold", "role", "target"), ["fixture_id", "fold"])
+    raw = checkpointed(raw)
     parts = []
     for fold in folds:  # a plan has a handful
         own = raw.where(F.col("fold") == fold)
@@ -36,12 +38,12 @@ def predictions_of(dealt: DataFrame, features: list[str], config: gbdt.BoostConf
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig = backtest.PlanConfig(), boost: gbdt.BoostConfig = gbdt.BoostConfig(), schema: str = "1", mode: str = "append-only") -> Backtest:
+def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig = backtest.PlanConfig(), boost: gbdt.BoostConfig | None = None, schema: str = "1", mode: str = "append-only") -> Backtest:
     """examples: fixture_id, kickoff, as_of, target_available, target and the features."""
-    examples = examples.persist()
-    stages = backtest.plan(examples, config)
-    dealt = backtest.deal(examples, stages).persist()
-    found = predictions_of(dealt, features, boost, sorted({r.fold for r in stages})).persist()
+    examples = checkpointed(examples.select("fixture_id", "kickoff", "as_of", "target_available", "target", *features))
+    stages = backtest.plan(examples.select("fixture_id", "kickoff", "as_of", "target_available"), config)
+    dealt = checkpointed(backtest.deal(examples, stages))
+    found = checkpointed(predictions_of(dealt, features, boost or gbdt.BoostConfig(), sorted({r.fold for r in stages})))
     truth = examples.select(F.col("fixture_id").alias("key"), "kickoff", "target", P.week_block(F.col("kickoff")).alias("block"))
     rows = found.select(F.lit("boosted_isotonic").alias("model_id"), F.col("fixture_id").alias("key"), "fold", "p").unionByName(found.select(F.lit("boosted_raw").alias("model_id"), F.col("fixture_id").alias("key"), "fold", F.col("raw").alias("p")))
     scored = scoring.score(rows.join(truth, "key"))
