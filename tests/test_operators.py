@@ -2,7 +2,7 @@ import heapq
 import json
 import math
 import random
-from pathlib import Path
+import subprocess
 
 import numpy as np
 import pytest
@@ -123,10 +123,12 @@ def one(spark, **columns):
 
 def test_golden_values(spark):
     odds = F.array(*map(F.lit, (2.1, 3.4, 3.6)))
-    r = one(spark, a=P.proportional(odds), b=P.shin(odds), z=P.shin_z(odds), under=P.shin_z(F.array(*map(F.lit, (4.0, 4.0, 4.0)))), fair=P.shin_z(F.array(*map(F.lit, (3.0, 3.0, 3.0)))))
+    r = one(spark, a=P.proportional(odds), b=P.shin(odds), z=P.shin_z(odds), fair=P.shin_z(F.array(*map(F.lit, (3.0, 3.0, 3.0)))))
     assert np.allclose(r.a, [0.454342984, 0.280623608, 0.265033408], atol=1e-9)
     assert np.allclose(r.b, [0.458665716, 0.278737637, 0.262596647], atol=1e-9) and math.isclose(r.z, 0.024082837, abs_tol=1e-9)
-    assert r.under is None and r.fair == 0
+    assert r.fair == 0
+    with pytest.raises(Exception, match="underround"):
+        one(spark, under=P.shin_z(F.array(*map(F.lit, (4.0, 4.0, 4.0)))))
     rates = (F.lit(1.6), F.lit(1.1))
     r = one(spark, a=P.poisson_outcomes(*rates), b=P.poisson_outcomes(*rates, F.lit(-0.05)))
     assert np.allclose(r.a, [0.489573537, 0.248910981, 0.261515482], atol=1e-9) and np.allclose(r.b, [0.483659452, 0.260739151, 0.255601397], atol=1e-9)
@@ -385,7 +387,7 @@ def test_gates():
         assert backtest.apply_gate(bad, "s", "m") and not bad["gate"]["passed"]
 
 
-def test_release_round_trip(spark, tmp_path):
+def test_release_round_trip(spark, tmp_path, monkeypatch):
     board = spark.createDataFrame([("a", 3, 0.25), ("b, c", 4, None)], "model_id string, n long, brier double")
     records = publish.record_union({"model": board})
     publish.write_release(tmp_path, {"b": 1, "a": "é"}, records, [], "v")
@@ -394,12 +396,22 @@ def test_release_round_trip(spark, tmp_path):
     assert publish.release_faults(tmp_path) == []
     (tmp_path / "release.csv").write_text("x")
     assert publish.release_faults(tmp_path)
-    publish.write_release(tmp_path / "b", {}, records, [], "v", (__file__,))
+    assert publish.write_release(tmp_path / "b", {}, records, [], "v", (__file__,), revision="cd" * 20)["revision"] == "cd" * 20
     assert publish.release_faults(tmp_path / "b") == []
     good = {"version": "v", "evaluation": {"matches": 3, "weeks": 1, "fullCoverage": True, "keySetSha256": "x"}, "leaderboard": [{"n": 3, "keySetSha256": "x"}] * 2, "activationEligible": False, "rawRowsIncluded": False}
     assert publish.document_faults(good, "v", 3, 1, 2) == [] and len(publish.document_faults({}, "v", 3, 1, 2)) == 8
     assert publish.document_faults(good | {"activationEligible": True}, "v", 3, 1, 2) == ["activation must be off"]
-    assert len(publish.revision_id(Path(__file__).parent)) == 40
+    monkeypatch.delenv("GITHUB_SHA", raising=False)
+    own = tmp_path / "tree"
+    own.mkdir()
+    git = ["git", "-C", str(own), "-c", "user.name=t", "-c", "user.email=t@example.org"]
+    subprocess.run([*git, "init", "-q"], check=True)
+    with pytest.raises(RuntimeError):
+        publish.revision_id(own)
+    subprocess.run([*git, "commit", "-q", "--allow-empty", "-m", "x"], check=True)
+    assert len(publish.revision_id(own)) == 40
+    monkeypatch.setenv("GITHUB_SHA", "ab" * 20)
+    assert publish.revision_id(tmp_path / "nowhere") == "ab" * 20
     with pytest.raises(ValueError):
         publish.rounded(float("nan"))
     assert publish.rounded(0.125, 2) == 0.12

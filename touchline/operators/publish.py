@@ -74,14 +74,14 @@ def revision_id(root: str | Path = ".") -> str:
     return found.stdout.strip()
 
 
-def write_release(directory: str | Path, document: dict, records: DataFrame, pins: list[dict], version: str, code: tuple[str | Path, ...] = ()) -> dict:
-    """Writes release.json, release.csv and manifest.json, and returns the manifest; ``code`` are files whose digests it pins as well."""
+def write_release(directory: str | Path, document: dict, records: DataFrame, pins: list[dict], version: str, code: tuple[str | Path, ...] = (), revision: str | None = None) -> dict:
+    """Writes release.json, release.csv and manifest.json, and returns the manifest; ``code`` are files whose digests it pins as well, ``revision`` is that of :func:`revision_id`."""
     home = Path(directory)
     home.mkdir(parents=True, exist_ok=True)
     files = {"release.json": canonical_json(document), "release.csv": record_csv(records)}
     for name, data in files.items():
         (home / name).write_bytes(data)
-    manifest = {"version": version, "artifacts": [{"path": n, "bytes": len(d), "sha256": sha256(d)} for n, d in files.items()], "sourceInputs": pins, "code": [{"path": str(c), "sha256": file_sha256(c)} for c in code]}
+    manifest = {"version": version, "artifacts": [{"path": n, "bytes": len(d), "sha256": sha256(d)} for n, d in files.items()], "sourceInputs": pins, "revision": revision, "code": [{"path": str(c), "sha256": file_sha256(c)} for c in code]}
     (home / "manifest.json").write_bytes(canonical_json(manifest))
     return manifest
 
