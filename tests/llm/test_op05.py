@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 from touchline.llm import op05_line_dedup as op
@@ -55,3 +56,10 @@ def test_bitmap_is_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     maps = {r.doc_id: (r.n_dropped, r.keep_runs) for r in op.keep_bitmaps(df).collect()}
     assert maps == {0: (3, [0, 1, 1, 2]), 1: (3, [0, 1, 1, 2])}
+
+
+def test_thousands_of_runs_take_linear_time(spark):
+    rows = [(d, "\n".join(f"shared line of all documents {i}" if i % 2 else f"own line {i} of the document {d}" for i in range(20_000))) for d in range(3)]
+    began = time.perf_counter()
+    assert run(spark, rows) == brute(rows)
+    assert time.perf_counter() - began < 60

@@ -2,8 +2,8 @@
 
 Lines are keyed by a 128-bit hash. First the lines of each (hash, salt) are laid out by range and streamed from the
 largest document down: a line behind three larger documents is a repeat whatever other salts hold. What is left of a hash (the lines
-of three documents a salt at most) is streamed again, all salts together. So no task gets more than ``SALTS`` times three
-documents' lines of one hash, however common the line. Decisions travel as (document, position); texts do not. The result is
+of three documents a salt at most) is streamed again, all salts together. The salts grow with the number of lines, so that a salt of one
+hash holds about ``LINES_PER_SALT`` lines at most, however common the line. Decisions travel as (document, position); texts do not. The result is
 one run-length compressed keep bitmap per document. The lines are hashed once, into a table that both layouts read.
 
 Edge cases: a null or empty text is one empty line. Keys shorter than ``min_chars`` are never dropped. Rows that repeat a doc_id
@@ -23,6 +23,8 @@ from touchline.llm.common import free_names, row_key, stored, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Lines that one salt stands for: the number of salts follows the number of long lines, and is ``SALTS`` at least.
+LINES_PER_SALT = 1_000_000
 SALTS = 64
 #: The ASCII white space of the contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,9 +49,11 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(*row_key(), F.explode(hashed).alias("x")).select("doc_id", "text_hash", "text_bytes", "x.at", "x.h1", "x.h2")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """doc_id, text_hash, text_bytes, at: the positions of the lines that go (lines of three documents or more, but for the largest doc_id)."""
-    lines = stored(_hashed_lines(docs, min_chars)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(salts)).cast("int"))
+    lines = stored(_hashed_lines(docs, min_chars))
+    salts = salts or max(SALTS, -(-lines.count() // LINES_PER_SALT))
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), F.lit(salts)).cast("int"))
     salted = Window.partitionBy("h1", "salt", "h2").orderBy(F.col("doc_id").desc_nulls_last())
     rank = F.dense_rank().over(salted)
     seen = lines.repartitionByRange("h1", "salt").withColumn("rank", rank)
@@ -65,7 +69,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALT
     return surplus.unionByName(repeated)
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """For each document that loses lines: n_dropped and its keep bitmap as runs (kept, dropped, kept, ...), the last run left out."""
     gone = dropped_lines(docs, min_chars, salts)
     held = gone.groupBy("doc_id", "text_hash", "text_bytes").agg(F.array_sort(F.collect_set("at")).alias("gone"))
@@ -77,7 +81,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS
     return held.select("doc_id", "text_hash", "text_bytes", F.size("gone").cast("long").alias("n_dropped"), runs.alias("keep_runs"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The documents with their kept lines in ``text``, and the ``counts`` of all and of dropped lines; all other columns stay."""
     maps = keep_bitmaps(docs, min_chars, salts)
     names = free_names(docs, *(f"m_{c}" for c in maps.columns))
@@ -86,9 +90,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS,
     key = row_key()
     same = key[0].eqNullSafe(F.col(m_id)) & (key[1] == F.col(m_hash)) & (key[2] == F.col(m_bytes))
     lines = split_lines(F.col("text"))
-    ends = F.transform(m_runs, lambda x, i: F.aggregate(F.slice(m_runs, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(m_runs), F.lit(2)), lambda i: F.slice(lines, F.when(i == 0, 1).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))) + 1), F.when(i < F.size(m_runs), F.element_at(m_runs, F.least(i + 1, F.size(m_runs)))).otherwise(F.size(lines))))
-    kept = F.when(F.col(m_runs).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    flags = F.flatten(F.transform(m_runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    # zip_with reads both arrays once, whatever the number of runs; lines behind the last run meet null, and array_join skips nulls.
+    marked = F.zip_with(lines, flags, lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line))
+    kept = F.when(F.col(m_runs).isNull(), F.col("text")).otherwise(F.array_join(marked, "\n"))
     others = [c for c in docs.columns if c.lower() not in ("text", *counts)]
     joined = docs.join(maps, same, "left")
     return joined.select(*others, kept.alias("text"), F.size(lines).cast("long").alias(counts[0]), F.coalesce(m_dropped, F.lit(0)).cast("long").alias(counts[1]))
