@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +13,10 @@ from touchline.functions import probability as P
 from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems, walkforward
 from touchline.operators.running import running
 from touchline.plans import oracles
+from touchline.session import shared_folder
 from touchline.sources import fixtures as source
 from touchline.sources import ingest
-from touchline.streaming import live_form
+from touchline.streaming import live_form, pending
 
 VERSION = "demo-1"
 FIXED_TIME = 883_612_800  # 1998-01-01
@@ -410,6 +413,25 @@ def weekly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_form.weekly_results(source.from_orders(spark, sf_dir))
 
 
+def _replayed(spark: SparkSession, sf_dir: str, answers: Callable[..., DataFrame], schema: str) -> DataFrame:
+    """What a stream of all announcements and results answers, run over files under the shared folder."""
+    home = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    delay = pending.store_feed(pending.messages(source.from_orders(spark, sf_dir)), f"{home}/feed")
+    pending.replay(spark, f"{home}/feed", partial(answers, delay=delay), f"{home}/out", f"{home}/marks", files=spark.sparkContext.defaultParallelism)
+    return spark.read.schema(schema).parquet(f"{home}/out")
+
+
+def stream_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form that timers answer at each question's time: the rows of asof_points and asof_goals."""
+    form = _replayed(spark, sf_dir, pending.form_answers, pending.TeamForm.OUT)
+    return asof.by_side(form.withColumn("seen", F.struct("points", "scored", "conceded")), asof.form_columns())
+
+
+def stream_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rating differences that timers answer at each question's time: the rows of elo_ratings."""
+    return _replayed(spark, sf_dir, pending.rating_answers, pending.LeagueRatings.OUT).select("fixture_id", "elo_diff_home_adv")
+
+
 def season_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many final fixtures of earlier seasons train each season's systems, and how many it is evaluated on."""
     finals = source.from_orders(spark, sf_dir).where("is_final").groupBy("season").agg(F.count("*").alias("evaluated"))
@@ -500,6 +522,8 @@ QUERIES = {
         fold_diagnostics,
         record_union,
         weekly_results,
+        stream_form,
+        stream_ratings,
         season_training_rows,
         cold_starts,
         systems_board,

@@ -123,6 +123,7 @@ _EDGES = [(0, 0.0, 0.4), (1, 0.4, 0.5), (2, 0.5, 0.6), (3, 0.6, 0.7), (4, 0.7, 0
 ORACLES = {
     "asof_points": _last_five() + _sides(_POINTS),
     "asof_goals": _last_five() + _sides(_GOALS),
+    "stream_form": _last_five() + _sides(_POINTS | _GOALS),
     "asof_venue": _last_five("and s.ish = p.ish") + _sides(_VENUE),
     "asof_h2h": _last_five("and s.opp = p.opp") + "select fid as fixture_id, cast(max(case when ish = 1 then pts end) as double) as h2h_home_points_sum_5 from f group by fid",
     "asof_rest_days": _last_five() + _sides({"home_rest_days": (1, _REST), "away_rest_days": (0, _REST)}),
@@ -185,6 +186,7 @@ m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g
     "kickoff_groups": f"with {_FX}, g as (select ko as kickoff, ko - 86400 as as_of, count(*) as n from fx where fin group by ko) select kickoff, as_of, n, cast(sum(n) over (order by kickoff) as bigint) as end_row, kickoff + 86400 as known_by from g",
     "gate_report": f"with {_SCORED}, r as (select avg(strict) as h, avg(brier) as b, count(*) as n from sc where model_id = 'proportional'), s as (select max(epoch(o_orderdate)) - min(epoch(o_orderdate)) as span from orders) select 'hitRate must be > 0.48' as failure from r where not h > 0.48 union all select 'brier must be < 0.22' from r where not b < 0.22 union all select 'sampleCount must be >= 500' from r where n < 500 union all select 'evaluation coverage must be >= 365 days' from s where span < 31536000",
     "record_union": f"with {_PRED}, c as (select cast(count(distinct season) as bigint) as s from m) select 'model' as record_type, cast(3 as bigint) as n, cast(3 as bigint) as model_count, cast(0 as bigint) as with_season, cast(0 as bigint) as with_point union all select 'season', 3 * s, 3, 3 * s, 0 from c union all select 'reliability', 30, 3, 0, 0 union all select 'difference', 2, 2, 0, 2",
+    "stream_ratings": f"with recursive {_FX}, {_elo()} select fid as fixture_id, elo as elo_diff_home_adv from el",
     "elo_ratings": f"with recursive {_FX}, {_elo()} select fid as fixture_id, elo as elo_diff_home_adv from el",
     "feature_snapshots": _snapshots(_USUAL),
     "snapshots_fixed_time": _snapshots(_FIXED),
