@@ -375,16 +375,21 @@ def test_fold_plan_agrees_with_search(spark, seed):
     assert [tuple(r) for r in backtest.plan(df)] == want
 
 
-def test_gates():
+def test_gates(spark):
+    failing = lambda report: backtest.metric_failures(backtest.report_row(spark, report)).first().failures
     report = {"hitRate": 0.5, "brier": 0.2, "sampleCount": 600, "foldCount": 3, "evaluationStartUtc": 0, "evaluationEndUtc": 400 * 86_400, "protocol": "walk-forward"}
-    assert backtest.metric_failures(report) == []
-    assert len(backtest.metric_failures({})) == 6
+    assert failing(report) == []
+    assert failing({}) == list(backtest.REQUIRED)
+    at_the_edge = {"hitRate": 0.48, "brier": 0.22, "sampleCount": 499, "foldCount": 2, "evaluationEndUtc": 365 * 86_400 - 1, "protocol": "random"}
+    for (name, value), message in zip(at_the_edge.items(), backtest.REQUIRED, strict=True):
+        assert failing({**report, name: value}) == [message]
+    assert failing({**report, "hitRate": float("nan"), "brier": float("nan")}) == list(backtest.REQUIRED)[:2]
     proof = {"schemaVersion": "s", "sourceRevisionMode": "m", **dict.fromkeys(backtest.FLAGS, True), "revisionManifestSha256": "a" * 64, "fixtureCount": 700, "revisionCount": 800, "coverageStartUtc": 0, "coverageEndUtc": 500 * 86_400}
     report["pointInTimeProvenance"] = proof
-    assert backtest.apply_gate(report, "s", "m") == [] and report["gate"]["passed"]
+    assert backtest.apply_gate(spark, report, "s", "m") == [] and report["gate"]["passed"]
     for name, value in (("fixtureCount", True), ("fixtureCount", 10), ("revisionCount", 3), ("revisionManifestSha256", "xyz"), ("asOfReplayVerified", 1), ("coverageEndUtc", 5)):
         bad = {**report, "pointInTimeProvenance": {**proof, name: value}}
-        assert backtest.apply_gate(bad, "s", "m") and not bad["gate"]["passed"]
+        assert backtest.apply_gate(spark, bad, "s", "m") and not bad["gate"]["passed"]
 
 
 def test_release_round_trip(spark, tmp_path, monkeypatch):

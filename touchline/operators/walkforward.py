@@ -38,8 +38,9 @@ def predictions_of(dealt: DataFrame, features: list[str], config: gbdt.BoostConf
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig = backtest.PlanConfig(), boost: gbdt.BoostConfig | None = None, schema: str = "1", mode: str = "append-only") -> Backtest:
-    """examples: fixture_id, kickoff, as_of, target_available, target and the features."""
+def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig = backtest.PlanConfig(), boost: gbdt.BoostConfig | None = None, schema: str = "1", mode: str = "append-only", proof: dict | None = None) -> Backtest:
+    """examples: fixture_id, kickoff, as_of, target_available, target and the features; ``proof`` is that of :func:`provenance.proof`."""
+    spark = examples.sparkSession
     examples = checkpointed(examples.select("fixture_id", "kickoff", "as_of", "target_available", "target", *features))
     stages = backtest.plan(examples.select("fixture_id", "kickoff", "as_of", "target_available"), config)
     dealt = checkpointed(backtest.deal(examples, stages))
@@ -66,5 +67,7 @@ def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig =
     trained = min(r.to_row for r in stages if r.role == "train")
     raw_end, calibration_start = backtest.final_fit(examples, trained, max(config.least_calibration, int(examples.count() * 0.10)))
     report["finalFit"] = {"rawEnd": raw_end, "calibrationStart": calibration_start}
-    backtest.apply_gate(report, schema, mode)
+    if proof is not None:
+        report["pointInTimeProvenance"] = proof
+    backtest.apply_gate(spark, report, schema, mode)
     return Backtest(stages, found, folds, report)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, systems, walkforward
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, provenance, publish, scoring, systems, walkforward
 from touchline.operators.running import running
 from touchline.plans import oracles
 from touchline.session import shared_folder
@@ -349,23 +349,47 @@ def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.deal(examples, backtest.plan(examples)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("kickoff").alias("first_kickoff"), F.max("kickoff").alias("last_kickoff"))
 
 
-def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir).where("model_id = 'proportional'").join(source.from_orders(spark, sf_dir).select(F.col("fixture_id").alias("key"), "kickoff"), "key")
-    r = s.agg(F.avg("argmax_hit").alias("hit"), F.avg("brier").alias("brier"), F.count("*").alias("n"), F.min("kickoff").alias("first"), F.max("kickoff").alias("last")).first()
-    report = {"hitRate": r.hit, "brier": r.brier, "sampleCount": r.n, "foldCount": 3, "evaluationStartUtc": r["first"], "evaluationEndUtc": r["last"], "protocol": "walk-forward"}
-    return spark.createDataFrame([(m,) for m in backtest.metric_failures(report)], "failure string")
-
-
-def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All failures of the gate, on the fixtures that the plan's folds evaluate; ``gate_report`` has only what its SQL twin can tell."""
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of the gate's measures, on the fixtures that the plan's folds evaluate."""
     examples = _examples(spark, sf_dir)
     stages = backtest.plan(examples)
     dealt = backtest.deal(examples, stages).where("role = 'evaluate'").select(F.col("fixture_id").alias("key"), "kickoff", "fold")
     s = scored(spark, sf_dir).where("model_id = 'proportional'").join(dealt, "key")
-    r = s.agg(F.avg("argmax_hit").alias("hit"), F.avg("brier").alias("brier"), F.count("*").alias("n"), F.countDistinct("fold").alias("folds"), F.min("kickoff").alias("first"), F.max("kickoff").alias("last")).first()
-    forward = backtest.is_forward(stages)
-    report = {"hitRate": r.hit, "brier": r.brier, "sampleCount": r.n, "foldCount": r.folds, "evaluationStartUtc": r["first"], "evaluationEndUtc": r["last"], "protocol": "walk-forward" if forward else "other"}
-    return spark.createDataFrame([(m,) for m in backtest.apply_gate(report, "1", "append-only")], "failure string")
+    protocol = walkforward.PROTOCOL if backtest.is_forward(stages) else "other"
+    return s.agg(F.avg("argmax_hit").alias("hitRate"), F.avg("brier").alias("brier"), F.count("*").alias("sampleCount"), F.countDistinct("fold").alias("foldCount"), F.min("kickoff").alias("evaluationStartUtc"), F.max("kickoff").alias("evaluationEndUtc"), F.lit(protocol).alias("protocol"))
+
+
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate asks of the metrics and is not met."""
+    return backtest.metric_failures(_gated(spark, sf_dir)).select(F.explode("failures").alias("failure"))
+
+
+def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All failures of the gate: metrics of the plan's folds, and the provenance that a whole revision history proves."""
+    report = _gated(spark, sf_dir).first().asDict()
+    fx = source.from_orders(spark, sf_dir)
+    report["pointInTimeProvenance"] = provenance.proof(provenance.revisions_of(fx), fx, "1", "append-only")
+    return provenance.failures_of(spark, backtest.apply_gate(spark, report, "1", "append-only"))
+
+
+def provenance_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of a whole revision history and of four with planted faults, with the failures that each raises."""
+    fx = source.from_orders(spark, sf_dir)
+    told = provenance.revisions_of(fx)
+    finals = fx.where("is_final").agg(F.count("*").alias("sampleCount"), F.min("kickoff").alias("evaluationStartUtc"), F.max("kickoff").alias("evaluationEndUtc")).first().asDict()
+    rows = []
+    for case in ("whole", "gap", "unobserved", "late", "missing"):
+        proof = provenance.proof(provenance.with_faults(told, case), fx, "1", "append-only")
+        failures = backtest.provenance_failures(finals | {"pointInTimeProvenance": proof}, "1", "append-only")
+        rows.append((case, *(proof[c] for c in ("fixtureCount", "revisionCount", "coverageStartUtc", "coverageEndUtc", "revisionManifestSha256")), "; ".join(failures)))
+    return spark.createDataFrame(rows, "history string, fixtures long, revisions long, coverage_start long, coverage_end long, digest string, failures string")
+
+
+def late_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures whose result, read as it was known, was another one when the league's features first counted it."""
+    fx = source.from_orders(spark, sf_dir)
+    found = provenance.faults(provenance.with_faults(provenance.revisions_of(fx), "late"), fx)
+    return found.where("unreplayable").select("fixture_id", "n", "kickoff")
 
 
 def coverage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,6 +538,8 @@ QUERIES = {
         purge_counts,
         gate_report,
         candidate_gate,
+        provenance_cases,
+        late_corrections,
         walk_forward,
         coverage_samples,
         best_history,

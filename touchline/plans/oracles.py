@@ -117,6 +117,50 @@ pl as (select fold, 'train' as role, cast(0 as bigint) as from_row, raw_end as t
   union all select fold, 'calibrate', cal_start, usable, cal_start - raw_end from sf union all select fold, 'evaluate', start_row, stop, start_row - usable from sf)"""
 
 
+_GATED = f"""{_SCORED}, dl as (select sc.strict, sc.brier, kk.kickoff, pl.fold from sc join fx on fx.fid = sc.key and fin join kk on kk.kickoff = fx.ko
+  join pl on pl.role = 'evaluate' and kk.end_row > pl.from_row and kk.end_row <= pl.to_row where sc.model_id = 'proportional'),
+ms as (select avg(strict) as h, avg(brier) as b, count(*) as n, count(distinct fold) as folds, max(kickoff) - min(kickoff) as span, min(kickoff) as first_ko, max(kickoff) as last_ko from dl),
+mf as (select 'hitRate must be > 0.48' as failure from ms where not coalesce(h > 0.48, false) union all select 'brier must be < 0.22' from ms where not coalesce(b < 0.22, false)
+  union all select 'sampleCount must be >= 500' from ms where n < 500 union all select 'foldCount must be >= 3' from ms where folds < 3
+  union all select 'evaluation coverage must be >= 365 days' from ms where not coalesce(span >= 31536000, false))"""
+_CASES = ("whole", "gap", "unobserved", "late", "missing")
+_PICKED = "fid % 97 = 5"
+#: Revisions of a case: what was told, when.
+_TOLD = """select fid, lg, 1 as rev, ko - 604800 as seen, ko, h, a, case when fin then null else hg end as hg, case when fin then null else ag end as ag, false as done from fx
+  union all select fid, lg, 2, ko + 43200, ko, h, a, hg, ag, true from fx where fin"""
+_REVISED = {
+    "whole": _TOLD,
+    "gap": f"select * from ({_TOLD}) where not ({_PICKED} and rev = 1)",
+    "missing": f"select * from ({_TOLD}) where not {_PICKED}",
+    "unobserved": f"select fid, lg, rev, case when {_PICKED} and done then null else seen end as seen, ko, h, a, hg, ag, done from ({_TOLD})",
+    "late": f"select fid, lg, rev, seen, ko, h, a, case when {_PICKED} and done then hg + 1 else hg end as hg, ag, done from ({_TOLD}) union all select fid, lg, 3, seen + 3456000, ko, h, a, hg, ag, done from ({_TOLD}) where {_PICKED} and done",
+}
+_SAID = "(ko, h, a, hg, ag, done)"
+
+
+def _history(case: str) -> str:
+    """{case}_x (a row a fixture), {case}_p (the proof) and {case}_f (its failures)."""
+    c = case
+    return f"""{c}_r as ({_REVISED[case]}),
+{c}_o as (select *, row({_SAID[1:-1]}) as said, lag(row({_SAID[1:-1]})) over w as before, lag(seen) over w as seen_before, row_number() over (partition by fid order by rev desc) as last from {c}_r window w as (partition by fid order by rev)),
+{c}_h as (select fid, count(*) as n, min(rev) = 1 and max(rev) = count(*) as numbered, min(case when seen is not null and (seen_before is null or seen_before <= seen) then 1 else 0 end) = 1 as observed,
+  max(case when done and said is distinct from before then coalesce(seen, 9223372036854775807) end) as changed_at, any_value(said) filter (where last = 1) as told from {c}_o group by fid),
+{c}_k as (select distinct lg, ko from fx), {c}_u as (select r.lg, r.ko, min(q.ko - 86400) as first_use from {c}_k r left join {c}_k q on q.lg = r.lg and q.ko - 86400 > r.ko + 86400 group by r.lg, r.ko),
+{c}_x as (select fx.fid, coalesce(n, 0) as n, fx.ko, not coalesce(numbered, false) or told is distinct from row(fx.ko, fx.h, fx.a, fx.hg, fx.ag, fx.fin) as incomplete, not coalesce(observed, false) as unobserved,
+  told is distinct from row(fx.ko, fx.h, fx.a, fx.hg, fx.ag, fx.fin) or (fx.fin and (changed_at is null or coalesce(changed_at >= first_use, false))) as unreplayable
+  from fx left join {c}_h hh on hh.fid = fx.fid left join {c}_u uu on uu.lg = fx.lg and uu.ko = fx.ko),
+{c}_d1 as (select fid // 1000 as block, sha256(string_agg(concat_ws('|', fid, rev, coalesce(cast(seen as varchar), ''), ko, h, a, coalesce(cast(hg as varchar), ''), coalesce(cast(ag as varchar), ''), done), chr(10) order by fid, rev)) as line from {c}_r group by 1),
+{c}_d2 as (select block // 1000 as block, sha256(string_agg(line, chr(10) order by block)) as line from {c}_d1 group by block // 1000),
+{c}_d3 as (select block // 1000 as block, sha256(string_agg(line, chr(10) order by block)) as line from {c}_d2 group by block // 1000),
+{c}_d4 as (select sha256(string_agg(line, chr(10) order by block)) as digest from {c}_d3),
+{c}_p as (select cast(sum(case when n > 0 then 1 else 0 end) as bigint) as fixtures, cast(sum(n) as bigint) as revisions, min(case when not incomplete and not unobserved then ko end) as coverage_start,
+  max(case when not incomplete and not unobserved then ko end) as coverage_end, (select digest from {c}_d4) as digest, bool_or(incomplete) as i, bool_or(unobserved) as o, bool_or(unreplayable) as u from {c}_x),
+{c}_s as (select count(*) as samples, min(ko) as first_ko, max(ko) as last_ko from fx where fin),
+{c}_f as (select 1 as place, 'sourceRevisionHistoryComplete must be true' as failure from {c}_p where i union all select 2, 'correctionObservedAtComplete must be true' from {c}_p where o union all select 3, 'asOfReplayVerified must be true' from {c}_p where u
+  union all select 4, 'fixtureCount must cover every evaluation sample' from {c}_p, {c}_s where fixtures < samples union all select 5, 'revisionCount cannot be less than fixtureCount' from {c}_p where revisions < fixtures
+  union all select 6, 'coverage must start by evaluationStartUtc' from {c}_p, {c}_s where coverage_start > first_ko union all select 7, 'coverage must extend through evaluationEndUtc' from {c}_p, {c}_s where coverage_end < last_ko)"""
+
+
 _GAPS = f"with {_PRED}, h as (select distinct model_id, key from m where not (model_id = 'sharpened' and key % 97 = 0)), w as (select key from o where key % 89 <> 0), i as (select distinct model_id from h) select i.model_id, w.key, 'missing' as side from i, w where not exists (select 1 from h where h.model_id = i.model_id and h.key = w.key) union all select h.model_id, h.key, 'extra' from h where h.key not in (select key from w)"
 _EDGES = [(0, 0.0, 0.4), (1, 0.4, 0.5), (2, 0.5, 0.6), (3, 0.6, 0.7), (4, 0.7, 0.8), (5, 0.8, 0.9), (6, 0.9, 1.0000001)]
 
@@ -184,7 +228,10 @@ select 'weekday', round((select my from md), 4), round(avg(y), 4), round(stddev_
 r as (select a.x as lo, b.x as hi, sum(g.s) / sum(g.n) as v from g a join g b on a.x <= b.x join g on g.x between a.x and b.x group by a.x, b.x),
 m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g.x group by g.x, r.lo) select x, round(max(v), 6) as fitted from m group by x""",
     "kickoff_groups": f"with {_FX}, g as (select ko as kickoff, ko - 86400 as as_of, count(*) as n from fx where fin group by ko) select kickoff, as_of, n, cast(sum(n) over (order by kickoff) as bigint) as end_row, kickoff + 86400 as known_by from g",
-    "gate_report": f"with {_SCORED}, r as (select avg(strict) as h, avg(brier) as b, count(*) as n from sc where model_id = 'proportional'), s as (select max(epoch(o_orderdate)) - min(epoch(o_orderdate)) as span from orders) select 'hitRate must be > 0.48' as failure from r where not h > 0.48 union all select 'brier must be < 0.22' from r where not b < 0.22 union all select 'sampleCount must be >= 500' from r where n < 500 union all select 'evaluation coverage must be >= 365 days' from s where span < 31536000",
+    "gate_report": f"with {_PLAN}, {_GATED} select failure from mf",
+    "candidate_gate": f"with {_PLAN}, {_GATED}, {_history('whole')} select failure from mf union all select 'pointInTimeProvenance: ' || failure from whole_f",
+    "provenance_cases": f"with {_FX}, {', '.join(_history(c) for c in _CASES)} " + " union all ".join(f"select '{c}' as history, fixtures, revisions, coverage_start, coverage_end, digest, coalesce((select string_agg('pointInTimeProvenance: ' || failure, '; ' order by place) from {c}_f), '') as failures from {c}_p" for c in _CASES),
+    "late_corrections": f"with {_FX}, {_history('late')} select fid as fixture_id, n, ko as kickoff from late_x where unreplayable",
     "record_union": f"with {_PRED}, c as (select cast(count(distinct season) as bigint) as s from m) select 'model' as record_type, cast(3 as bigint) as n, cast(3 as bigint) as model_count, cast(0 as bigint) as with_season, cast(0 as bigint) as with_point union all select 'season', 3 * s, 3, 3 * s, 0 from c union all select 'reliability', 30, 3, 0, 0 union all select 'difference', 2, 2, 0, 2",
     "stream_ratings": f"with recursive {_FX}, {_elo()} select fid as fixture_id, elo as elo_diff_home_adv from el",
     "elo_ratings": f"with recursive {_FX}, {_elo()} select fid as fixture_id, elo as elo_diff_home_adv from el",
