@@ -5,9 +5,9 @@ A document's set is that of its distinct word shingles, as 64-bit hashes. Equal
 pigeonhole, in at most ``ERRORS`` symbols of some chunk. Each class therefore enumerates, for every chunk, the keys that an allowed error leaves (the chunk without one of its symbols), and
 all pairs within the threshold meet in a bucket. At a similarity of 0.85, one pair in 5e7 meets nowhere (every chunk would have to differ in two symbols or more).
 
-Inside a bucket pairs are held against the signature distance and two exact bounds on the similarity: the ratio of the set sizes, and the
-bits in which the sets' parity sketches differ, as these are never more than the elements that are in one set only. A bucket emits a spanning forest of what is left (not its
-pairs), lightest edges first. Each edge is then confirmed on the full sets. Where a forest edge fails and its ends stay apart, the bucket is opened again in the next round, without the refuted
+A pair belongs to the bucket of the first key that its signatures share. There it is held against the signature distance and two exact bounds on the similarity: the ratio of the set sizes, and the bits
+in which the sets' parity sketches differ, as these are never more than the elements that are in one set only. A bucket emits a spanning forest of its
+own pairs that are left, lightest edges first, not the pairs. Each edge is then confirmed on the full sets. Where a forest edge fails and its ends stay apart, the bucket is opened again in the next round, without the refuted
 pairs and what is connected by now, and each class asks eight times as many of its nearest partners as in the round before. The rounds end when no bucket has an edge left to ask for; then every
 pair that passes in a bucket is either confirmed, refuted or within one component.
 
@@ -132,8 +132,18 @@ def differing_bits(percent: int, sizes: np.ndarray) -> np.ndarray:
     return (100 - percent) * sizes // (100 + percent)
 
 
-def passing_pairs(group: np.ndarray, tile: np.ndarray, crossing: np.ndarray, n: np.ndarray, sig: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, distance of the pairs of one group that no bound rules out; rows come sorted by group and then by n."""
+def first_common_key(equal: np.ndarray) -> np.ndarray:
+    """For each pair, given which symbols are equal, the number of the first kind of key that both have."""
+    chunks = equal.reshape(-1, CHUNKS, WIDTH)
+    shared = np.stack([chunks[:, :, list(places)].all(axis=2) for places in KEPT], axis=2)
+    return shared.reshape(-1, CHUNKS * len(KEPT)).argmax(axis=1)
+
+
+def passing_pairs(group: np.ndarray, kind: np.ndarray, tile: np.ndarray, crossing: np.ndarray, n: np.ndarray, sig: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, distance of the pairs of one group that no bound rules out; rows come sorted by group and then by n.
+
+    A pair belongs to the bucket of its first common key (``kind`` is the number of a group's key) and is passed over in all others.
+    """
     total = len(group)
     new = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
     end = np.repeat(new, np.diff(np.append(0, new)))
@@ -150,7 +160,9 @@ def passing_pairs(group: np.ndarray, tile: np.ndarray, crossing: np.ndarray, n:
             i, j = i[ok], j[ok]
             far = (sig[i] != sig[j]).sum(axis=1)
             ok = far <= FARTHEST
-            found.append((i[ok], j[ok], far[ok]))
+            i, j, far = i[ok], j[ok], far[ok]
+            own = first_common_key(sig[i] == sig[j]) == kind[i]
+            found.append((i[own], j[own], far[own]))
         offset += 1
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -201,16 +213,17 @@ def candidate_edges(rows: DataFrame, percent: int, asked: int) -> DataFrame:
         unit = np.stack([col[k].to_numpy().astype(np.int64) for k in ("key", "lo", "hi")], 1)
         group = np.append(0, np.cumsum((unit[1:] != unit[:-1]).any(axis=1)))
         n, tile, sig = col["n"].to_numpy(), col["tile"].to_numpy(), fixed(col["sig"], np.uint16, SYMBOLS)
-        i, j, far = passing_pairs(group, tile, unit[:, 1] != unit[:, 2], n, sig, fixed(col["sketch"], np.uint64, SKETCH_WORDS), percent)
+        kind = unit[:, 0] >> (BITS * (WIDTH - ERRORS))
+        i, j, far = passing_pairs(group, kind, tile, unit[:, 1] != unit[:, 2], n, sig, fixed(col["sketch"], np.uint64, SKETCH_WORDS), percent)
         root = fixed(col["root"], np.uint64, 2)
         # Rows of one group that are connected already start in one component.
         _, comp = np.unique(np.column_stack([group.astype(np.uint64), root]), axis=0, return_inverse=True)
         comp = comp.reshape(-1)
-        refuted = {(k, x) for k, known in enumerate(col["refuted"].to_pylist()) for x in known or ()} if col["refuted"].null_count < len(group) else set()
         open_ = comp[i] != comp[j]
-        if refuted:
+        if col["refuted"].null_count < len(group):
             names = col["c"].to_pylist()
-            open_ &= np.array([(a, names[b]) not in refuted for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            refuted = {(names[k], x) for k, known in enumerate(col["refuted"].to_pylist()) for x in known or ()}
+            open_ &= np.array([(names[a], names[b]) not in refuted and (names[b], names[a]) not in refuted for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
         i, j, far = i[open_], j[open_], far[open_]
         more = nearest_asked(i, j, far, comp, asked) if asked and len(i) else np.zeros(0, np.int64)
         take = np.union1d(forest_edges(i, j, far, comp), more)
@@ -256,22 +269,22 @@ def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked: each pair held against its full sets."""
+    """The pairs (key, lo, hi, a, b) and linked: each held against its full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(linked, pa.bool_())], names=[*batch.schema.names[2:], "linked"])
 
     left, right = (sets.select(F.col("c").alias(k), F.col("elements").alias(f"set_{k}")) for k in ("a", "b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(run, "a binary, b binary, linked boolean")
+    rows = pairs.join(left, "a").join(right, "b").select("set_a", "set_b", "key", "lo", "hi", "a", "b")
+    return rows.mapInArrow(run, "key long, lo int, hi int, a binary, b binary, linked boolean")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, paths: list[str], percent: int = PERCENT, size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame | None:
@@ -293,24 +306,22 @@ def class_links(docs: DataFrame, classes: DataFrame, paths: list[str], percent:
         if refuted is None:
             rows = rows.withColumn("refuted", F.lit(None).cast("array<binary>"))
         else:
-            both = refuted.union(refuted.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("refuted"))
-            rows = rows.join(both.withColumnRenamed("a", "c"), "c", "left")
+            rows = rows.join(refuted.groupBy("key", "lo", "hi", F.col("a").alias("c")).agg(F.collect_list("b").alias("refuted")), ["key", "lo", "hi", "c"], "left")
         edges = stored(candidate_edges(rows, percent, asked), paths)
-        pairs = edges.select("a", "b").distinct()
         if sets is None:
             ends = edges.select(F.col("a").alias("c")).union(edges.select("b")).distinct()
             needed = ends.join(classes, "c").select("c", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"), F.col("rep.text_bytes").alias("r_bytes"))
             sets = stored(full_sets(docs, needed, size), paths)
-        told = stored(confirmed(pairs, sets, percent).distinct(), paths)
-        good, bad = told.where("linked").select("a", "b"), told.where("not linked").select("a", "b")
+        told = stored(confirmed(edges, sets, percent).distinct(), paths)
+        good, bad = told.where("linked").select("a", "b"), told.where("not linked").drop("linked")
         links = good if links is None else links.union(good)
         refuted = bad if refuted is None else refuted.union(bad)
         if told.isEmpty():
             return roots
         roots = connected_components(links).select(F.col("node").alias("c"), "root")
         far = bad.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
-        far = far.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))).select("a", "b")
-        still = stored(edges.join(far, ["a", "b"]).select("key", "lo", "hi").distinct(), paths)
+        far = far.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
+        still = stored(far.select("key", "lo", "hi").distinct(), paths)
         if still.isEmpty():
             return roots
         spread = stored(spread.join(still, ["key", "lo", "hi"], "left_semi"), paths)
