@@ -8,14 +8,13 @@ from hypothesis import strategies as st
 
 from touchline.llm import op04_packing as op
 
-TEXTS = [None, "", " \n", "One word", "it's 2024, don't.. stop.,\tCafé ¶ a¶b ¶", "x" * 9000, "Wörter. " * 3000, "é. <|endoftext|> a b\x1cc 　 d", "\U0001f600,,, ...", "Σας. ΟΔΟΣ, I'LL."]
+TEXTS = [None, "", " \n", "One word", "it's 2024, don't.. stop.,\tCafé ¶ a¶b ¶", "x" * 9000, "Wörter. " * 3000, "é. <|endoftext|> a b\x1cc 　 d", "\U0001f600,,, ...", "Σας. ΟΔΟΣ, I'LL.", "<|startoftext|>A<|endoftext|>b. <|ENDOFTEXT|> x<|endoftext|>, <|endoftext|>. <|endoftext|><|endoftext|>"]
 
 
 def plain(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(op.default_tokenizer())
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [2]
 
 

@@ -51,14 +51,20 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are found in the raw text, before any folding of case.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
         mark = self._encode(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def words(self, text: bytes) -> list[bytes]:
         """The text's words; where the tokenizer lower-cases anyway, A-Z already are, which leaves fewer words to learn."""
-        return (text.lower() if self.folds else text).split()
+        if not self.folds:
+            return text.split()
+        folded = text.lower()
+        if not any(t.lower() in folded for t in self.added):
+            return folded.split()
+        return [w if any(t.lower() in w.lower() for t in self.added) else w.lower() for w in text.split()]
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
