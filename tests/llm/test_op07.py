@@ -1,9 +1,9 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from touchline.llm import op07_toxicity as op
 
@@ -25,22 +25,25 @@ def counted(texts):
     return Counter(t for x in texts for t in op.terms(x))
 
 
-def brute_vector(text, df, n, known, stop):
-    own = {t: k * math.log((n + 1) / df[t]) for t, k in op.terms(text).items() if t in known and df[t] <= stop * n}
-    norm = math.sqrt(sum(x * x for x in own.values()))
+def brute_vector(text, df, n, known):
+    own = Counter()
+    for word in re.findall(r"\w+", text.lower()):
+        for term, share in ((word[:4] + "-", 1.0), (word, 0.2)):
+            if (share == 1 or len(word) > 4) and term in known:
+                own[term] += share * max(0.0, math.log((n - df[term] + 0.5) / (df[term] + 0.5)))
+    norm = math.sqrt(sum(x * x for x in own.values())) or 1.0
     return {t: x / norm for t, x in own.items()}
 
 
-@pytest.mark.parametrize("stop", [1.0, 0.2])
-def test_nearest_is_exact(stop):
+def test_nearest_is_exact():
     rows = sample()
     texts = [t for _, t, _ in rows] + ["aaw0 aaw0 aaw0", "Inflected inflection"]
     df, n = counted(texts), len(texts)
     known = set(counted([t for _, t, _ in rows]))
-    own = op.build([op.terms(t) for _, t, _ in rows], np.array([y for _, _, y in rows], float), [i for i, _, _ in rows], df, n, stop)
-    vectors = [brute_vector(t, df, n, known, stop) for _, t, _ in rows]
+    own = op.build([op.terms(t) for _, t, _ in rows], np.array([y for _, _, y in rows], float), [i for i, _, _ in rows], df, n)
+    vectors = [brute_vector(t, df, n, known) for _, t, _ in rows]
     for text in [t for _, t, _ in rows[:80]] + ["vble1 vble1 vcle2 nothing", "", texts[3] * 4]:
-        query = brute_vector(text, df, n, known, stop)
+        query = brute_vector(text, df, n, known)
         every = [(round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors)]
         want = sorted((x for x in every if x[0] > 0), key=lambda x: (-x[0], x[1]))[: op.NEIGHBOURS]
         got = op.nearest(own, op.vector(op.terms(text), own.vocabulary, own.idf))
@@ -51,7 +54,7 @@ def test_nearest_is_exact(stop):
 
 def test_counts_of_terms_matter():
     texts = ["aaaa bbbb", "aaaa aaaa aaaa bbbb", "cccc", "dddd"]
-    own = op.build([op.terms(t) for t in texts], np.array([1.0, 0, 0, 0]), [1, 2, 3, 4], counted(texts), 8, 1.0)
+    own = op.build([op.terms(t) for t in texts], np.array([1.0, 0, 0, 0]), [1, 2, 3, 4], counted(texts), 8)
     assert [i for _, i in op.nearest(own, op.vector(op.terms("aaaa aaaa aaaa aaaa bbbb"), own.vocabulary, own.idf))] == [1, 0]
 
 

@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words cut to their first ``STEM`` characters, so that inflections meet. A term weighs its count in the text times the
-logarithm of the inverse share of documents that have it, counted over the whole table; a term that more than ``STOP`` of the documents have is a
-stop word. The vocabulary is all terms of the examples but these. The examples' normalised vectors lie in term order, within a term
+Terms are whole words and, beside them, the first ``STEM`` characters of every word as terms of their own, so that inflections meet. A term weighs its count in the text times the
+logarithm of the odds against a document's having it, counted over the whole table (nothing, if half of the documents have it), and a whole word
+``WORD_WEIGHT`` of that. The vocabulary is all terms of the examples. The examples' normalised vectors lie in term order, within a term
 in blocks of ``BLOCK`` examples, each with its largest weight; examples with the same commonest word (and so, mostly, language) stand together, which keeps the
 bounds tight. A query adds up those block maxima, takes blocks from the highest bound down and stops once no bound reaches the
 least of its ``NEIGHBOURS`` best cosines; what it returns are the exact nearest ones. They vote with their cosines as weights, against a
@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 from touchline.llm.common import held_out, labelled_sample, table
 
 EXAMPLES = 2500
-STEM, STOP = 4, 0.2
+#: Letters of a word's stem, and what no word has in it, which marks a stem.
+STEM, STEMMED = 4, "-"
+#: What an occurrence of a whole word weighs beside one of a stem.
+WORD_WEIGHT = 0.2
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 30, 0.5
 #: Blocks that a query looks into first; each further look takes twice as many.
 FIRST_BLOCKS = 8
@@ -48,7 +51,22 @@ _WORD = re.compile(r"\w+")
 
 def terms(text: str) -> Counter:
     """How often each term occurs."""
-    return Counter([w[:STEM] for w in _WORD.findall(text.lower())])
+    found: Counter = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        for t in forms(w):
+            found[t] += n
+    return found
+
+
+def forms(word: str) -> tuple[str, ...]:
+    """A word's stem, and the word itself if it is longer."""
+    stem = word[:STEM] + STEMMED
+    return (stem, word) if len(word) > STEM else (stem,)
+
+
+def term_weight(term: str, having: int, documents: int) -> float:
+    """What one occurrence weighs: the log odds against a document's having the term, nothing if half of them do; less for a whole word than for a stem."""
+    return (1.0 if term.endswith(STEMMED) else WORD_WEIGHT) * max(0.0, math.log((documents - having + 0.5) / (having + 0.5)))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -88,11 +106,13 @@ def vector(found: Counter, vocabulary: dict[str, int], idf: np.ndarray) -> tuple
     return at, w / (math.sqrt((w * w).sum()) or 1.0)
 
 
-def build(found: list[Counter], labels: np.ndarray, ids: list, document_counts: dict[str, int], documents: int, stop: float = STOP) -> Index:
+def build(found: list[Counter], labels: np.ndarray, ids: list, document_counts: dict[str, int], documents: int) -> Index:
     """The index of examples in the given order; ``document_counts`` has each term's documents, of ``documents`` in all."""
-    kept = sorted(t for t in {t for c in found for t in c} if document_counts[t] <= stop * documents)
+    # Terms that weigh nothing change no cosine.
+    weights = {t: term_weight(t, document_counts[t], documents) for t in sorted({t for c in found for t in c})}
+    kept = [t for t, w in weights.items() if w > 0]
     vocabulary = {t: i for i, t in enumerate(kept)}
-    idf = np.array([math.log((documents + 1) / document_counts[t]) for t in kept])
+    idf = np.array([weights[t] for t in kept])
     vectors = [vector(c, vocabulary, idf) for c in found]
     term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
     example = np.repeat(np.arange(len(found)), [len(at) for at, _ in vectors])
@@ -179,7 +199,7 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                own = {w[:STEM] for w in _WORD.findall((text or "").lower())}
+                own = {t for w in set(_WORD.findall((text or "").lower())) for t in forms(w)}
                 totals[[number[t] for t in own if t in number]] += 1
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(totals[some], n), pa.int64())], names=["term", "n"])
@@ -189,7 +209,7 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
     return {t: found.get(i, 0) for i, t in enumerate(vocabulary)}, found.get(-1, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = EXAMPLES, stop: float = STOP) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = EXAMPLES) -> Index:
     """The index of the sampled training rows; texts are taken apart and documents counted on the executors."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = E
     common = {k: max(c.items(), key=lambda x: (x[1], x[0]))[0] if c else "" for k, c in counters.items()}
     order = sorted(counters, key=lambda k: (common[k], k[0], k[2]))
     counts, n = document_counts(docs, sorted({t for c in counters.values() for t in c}))
-    return build([counters[k] for k in order], np.array([k[2] for k in order], float), [k[1] for k in order], counts, n, stop)
+    return build([counters[k] for k in order], np.array([k[2] for k in order], float), [k[1] for k in order], counts, n)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
