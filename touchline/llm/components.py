@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpoint
+from touchline.llm.common import discard, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -15,8 +15,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     links no longer change. Null ends and self links are ignored; an empty table gives no rows.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = checkpoint(edges)
-    before = None
+    paths: list[str] = []
+    edges, before = stored(edges, paths), None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -24,7 +24,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, paths = paths, []
+        edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), paths)
+        discard(edges.sparkSession, old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
