@@ -101,27 +101,42 @@ class Index:
 def vector(found: Counter, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers, ascending, and the normalised weights of a text's terms."""
     own = sorted((vocabulary[t], n) for t, n in found.items() if t in vocabulary)
-    at, n = np.array([t for t, _ in own], np.int64), np.array([n for _, n in own], float)
+    return normalised(np.array([t for t, _ in own], np.int64), np.array([n for _, n in own], float), idf)
+
+
+def normalised(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = n * idf[at]
     return at, w / (math.sqrt((w * w).sum()) or 1.0)
 
 
 def build(found: list[Counter], labels: np.ndarray, ids: list, document_counts: dict[str, int], documents: int) -> Index:
     """The index of examples in the given order; ``document_counts`` has each term's documents, of ``documents`` in all."""
-    # Terms that weigh nothing change no cosine.
-    weights = {t: term_weight(t, document_counts[t], documents) for t in sorted({t for c in found for t in c})}
-    kept = [t for t, w in weights.items() if w > 0]
-    vocabulary = {t: i for i, t in enumerate(kept)}
-    idf = np.array([weights[t] for t in kept])
-    vectors = [vector(c, vocabulary, idf) for c in found]
+    every = sorted({t for c in found for t in c})
+    number = {t: i for i, t in enumerate(every)}
+    parts = [(np.array([number[t] for t in c], np.int64), np.array(list(c.values()), float)) for c in found]
+    return build_from(every, parts, labels, ids, np.array([document_counts[t] for t in every], np.int64), documents)
+
+
+def build_from(every: list[str], parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, having: np.ndarray, documents: int) -> Index:
+    """As :func:`build`, from each example's term numbers in ``every`` and counts."""
+    weights = np.array([term_weight(t, n, documents) for t, n in zip(every, having.tolist(), strict=True)])
+    used = weights > 0  # terms that weigh nothing change no cosine
+    renumbered = np.cumsum(used) - 1
+    idf = weights[used]
+    vocabulary = {t: i for i, t in enumerate(t for t, u in zip(every, used.tolist(), strict=True) if u)}
+    vectors = []
+    for at, n in parts:
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        vectors.append(normalised(renumbered[at[used[at]]], n[used[at]], idf))
     term = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in vectors)])
-    example = np.repeat(np.arange(len(found)), [len(at) for at, _ in vectors])
+    example = np.repeat(np.arange(len(parts)), [len(at) for at, _ in vectors])
     order = np.lexsort((example, term))
-    term, example, weight = term[order], example[order], np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
-    key = term * (len(found) // BLOCK + 1) + example // BLOCK
+    term, example, weight = term[order], example[order].astype(np.int32), np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+    key = term * (len(parts) // BLOCK + 1) + example // BLOCK
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
-    first = np.searchsorted(term[start], np.arange(len(kept) + 1))
+    first = np.searchsorted(term[start], np.arange(len(idf) + 1))
     prior = float((labels.sum() + 1) / (len(labels) + 2))
     index = Index(vocabulary, idf, first, example[start] // BLOCK, most, np.append(start, len(term)), example, weight, labels.astype(float), ids, prior)
     if 0 < labels.sum() < len(labels):
@@ -189,7 +204,7 @@ def probability(index: Index, found: Counter) -> tuple[float, list[tuple[float,
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, index.slope * vote(index, best) + index.offset)))), best
 
 
-def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """How many documents have each term, and how many there are."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
@@ -204,9 +219,11 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, i
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(totals[some], n), pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the examples
-    found = {r.term: r.n for r in rows}
-    return {t: found.get(i, 0) for i, t in enumerate(vocabulary)}, found.get(-1, 0)
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    having = np.zeros(len(vocabulary), np.int64)
+    having[term[term >= 0]] = n[term >= 0]
+    return having, int(n[term < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = EXAMPLES) -> Index:
@@ -220,12 +237,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = E
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sample = labelled_sample(docs, labels, target, rows, 7).select("text", "doc_id", "label", "order")
-    found = sample.mapInArrow(split, f"doc_id {id_type}, label int, order long, terms array<string>, counts array<long>").collect()  # 2 * rows examples
-    counters = {(r.order, r.doc_id, r.label): Counter(dict(zip(r.terms, r.counts, strict=True))) for r in found}
-    common = {k: max(c.items(), key=lambda x: (x[1], x[0]))[0] if c else "" for k, c in counters.items()}
-    order = sorted(counters, key=lambda k: (common[k], k[0], k[2]))
-    counts, n = document_counts(docs, sorted({t for c in counters.values() for t in c}))
-    return build([counters[k] for k in order], np.array([k[2] for k in order], float), [k[1] for k in order], counts, n)
+    found = sample.mapInArrow(split, f"doc_id {id_type}, label int, order long, terms array<string>, counts array<long>").toArrow()  # 2 * rows examples
+    terms_of, counts_of = (found.column(c).combine_chunks() for c in ("terms", "counts"))
+    coded = terms_of.flatten().dictionary_encode()
+    every = coded.dictionary.to_pylist()
+    codes, times = coded.indices.to_numpy().astype(np.int64), counts_of.flatten().to_numpy().astype(float)
+    ends = np.cumsum(np.diff(terms_of.offsets.to_numpy()))
+    parts = [(codes[e - n : e], times[e - n : e]) for e, n in zip(ends.tolist(), np.diff(np.append(0, ends)).tolist(), strict=True)]
+    common = [max(((n, every[t]) for t, n in zip(at.tolist(), k.tolist(), strict=True)), default=(0, ""))[1] for at, k in parts]
+    keys = list(zip(common, found.column("order").to_pylist(), found.column("label").to_pylist(), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    having, n = document_counts(docs, every)
+    ids = found.column("doc_id").to_pylist()
+    return build_from(every, [parts[i] for i in order], np.array([keys[i][2] for i in order], float), [ids[i] for i in order], having, n)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
