@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions import exact
 from touchline.functions.probability import normalise, poisson_outcomes
 
 # ---- logit
@@ -20,10 +22,11 @@ from touchline.functions.probability import normalise, poisson_outcomes
 
 def imputation(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float, float]]:
     """feature -> (exact median, mean and population deviation after imputation); an all-null feature is 0."""
-    medians = train.agg(*(F.coalesce(F.percentile(F.col(c).cast("double"), F.lit(0.5)), F.lit(0.0)).alias(c) for c in features)).first()
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in features]
-    stats = train.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled))).first()
-    return {c: (medians[c], stats[f"m{i}"], stats[f"s{i}"] or 1.0) for i, c in enumerate(features)}
+    medians = {c: (found[0] or 0.0) for c, found in exact.exact_quantiles(train, features, [0.5]).items()}
+    filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(medians[c])) for c in features}
+    means = exact.exact_means(train, [], filled).first()
+    spread = exact.exact_means(train, [], {c: (x - means[c]) * (x - means[c]) for c, x in filled.items()}).first()
+    return {c: (medians[c], means[c], math.sqrt(spread[c]) or 1.0) for c in features}
 
 
 def scaled(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> DataFrame:

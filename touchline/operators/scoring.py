@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions import exact
 from touchline.functions import probability as P
 
 METRICS = {"brier": "brier", "log_loss": "log_loss", "rps": "rps", "hit_rate": "fractional_hit"}
@@ -19,17 +20,29 @@ def score(predictions: DataFrame) -> DataFrame:
     return predictions.withColumns({"brier": P.brier(p, y), "log_loss": P.log_loss(p, y), "rps": P.ranked_probability_score(p, y), "top": F.array_max(p), "fractional_hit": P.fractional_hit(p, y), "argmax_hit": P.argmax_hit(p, y), "bin": P.bin_of(F.array_max(p))})
 
 
-def summary_columns() -> list[Column]:
-    return [F.count("*").alias("n"), F.countDistinct("block").alias("week_count"), *(F.avg(c).alias(n) for n, c in METRICS.items())]
-
-
 def leaderboard(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("model_id").agg(*summary_columns())
+    """n, weeks and the exact mean of each metric by model."""
+    return _board(_bins(scored, ["model_id"]), ["model_id"])
 
 
 def season_leaderboard(scored: DataFrame) -> DataFrame:
-    """Whole (season null, overall 1) and per-season summaries in one aggregation."""
-    return scored.groupingSets([("model_id",), ("model_id", "season")], "model_id", "season").agg(F.grouping("season").cast("int").alias("overall"), *summary_columns())
+    """Whole (season null, overall 1) and per-season summaries from one pass over the scored rows."""
+    bins = _bins(scored, ["model_id", "season"])
+    whole = _board(bins, ["model_id"]).select("model_id", F.lit(None).cast(scored.schema["season"].dataType).alias("season"), F.lit(1).alias("overall"), "n", "week_count", *METRICS)
+    each = _board(bins, ["model_id", "season"]).select("model_id", "season", F.lit(0).alias("overall"), "n", "week_count", *METRICS)
+    return whole.unionByName(each)
+
+
+def _bins(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact partial sums by keys and block: a few rows for each model, season and week."""
+    return exact.bin_sums(scored, [*keys, "block"], {n: F.col(c) for n, c in METRICS.items()})
+
+
+def _board(bins: DataFrame, keys: list[str]) -> DataFrame:
+    weeks = bins.groupBy(*keys).agg(F.countDistinct("block").alias("week_count"))
+    names = list(METRICS)
+    means = exact.wide(exact.rounded_sums(exact.add_bins(bins, [*keys, "name", "bin"]), keys), keys, names)
+    return means.join(weeks, keys).select(*keys, F.col(f"n_{names[0]}").alias("n"), "week_count", *names)
 
 
 def ranked(board: DataFrame, registry: DataFrame, digits: int = 10, history_only: bool = False) -> DataFrame:
@@ -37,7 +50,7 @@ def ranked(board: DataFrame, registry: DataFrame, digits: int = 10, history_only
     rows = board.join(F.broadcast(registry), "model_id")  # one row per model
     if history_only:
         rows = rows.where("history_only")
-    order = Window.orderBy(F.round("brier", digits), "model_order")
+    order = Window.orderBy(exact.half_even(F.col("brier"), digits), "model_order")
     return rows.withColumn("rank", F.row_number().over(order))
 
 
@@ -45,7 +58,7 @@ def best(board: DataFrame, registry: DataFrame, digits: int = 10, history_only:
     """The row of the lowest rounded Brier score, the first of the registry among equals."""
     rows = board.join(F.broadcast(registry), "model_id")  # one row per model
     rows = rows.where("history_only") if history_only else rows
-    return rows.orderBy(F.round("brier", digits), "model_order").limit(1)
+    return rows.orderBy(exact.half_even(F.col("brier"), digits), "model_order").limit(1)
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.functions import exact
 from touchline.functions import probability as P
 from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, provenance, publish, scoring, systems, walkforward
 from touchline.operators.running import running
@@ -400,6 +401,22 @@ def best_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.best(scoring.leaderboard(scored(spark, sf_dir)), registry(spark)).select("model_id", _r("brier").alias("brier"))
 
 
+def half_even_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties of the third decimal, m / 16 and its kind, and their neighbours a 2^-20 of a unit away, rounded as their exact value lies."""
+    key = F.col("o_orderkey")
+    tie = (key % 4001 - 2000).cast("double") / 16
+    near = tie + (key % 3 - 1).cast("double") / (1 << 20)
+    return source.orders(spark, sf_dir).select(key.alias("key"), exact.half_even(near, 3).alias("third"), exact.half_even(near, 2).alias("second"), exact.half_even(tie, 1).alias("first"))
+
+
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every fixture's stake and of the line prices, by histogram refinement."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_extendedprice").alias("price"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") * F.col("l_discount")).alias("rebate"))
+    shares = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    found = exact.exact_quantiles(line, line.columns, shares)
+    return spark.createDataFrame([(c, q, x) for c, xs in found.items() for q, x in zip(shares, xs, strict=True)], "name string, share double, value double").withColumn("value", _r("value"))
+
+
 def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.bundle(scored(spark, sf_dir))
     return rows.select("model_id", "n", *(_r(c).alias(c) for c in ("brier", "log_loss", "hit_rate", "ece")), F.size(F.filter("buckets", lambda b: b["n"] > 0)).cast("long").alias("used_buckets"))
@@ -543,6 +560,8 @@ QUERIES = {
         walk_forward,
         coverage_samples,
         best_history,
+        half_even_ties,
+        exact_quantiles,
         evaluation_bundle,
         match_order,
         fold_diagnostics,

@@ -117,6 +117,14 @@ pl as (select fold, 'train' as role, cast(0 as bigint) as from_row, raw_end as t
   union all select fold, 'calibrate', cal_start, usable, cal_start - raw_end from sf union all select fold, 'evaluate', start_row, stop, start_row - usable from sf)"""
 
 
+def _half_even(m: str, scale: int) -> str:
+    """m / 2^20 in units of 1 / scale, in whole numbers, ties to even."""
+    n, d = f"({m} * {scale})", "1048576"
+    floor, rest = f"(case when {n} % {d} < 0 then {n} // {d} - 1 else {n} // {d} end)", f"((({n} % {d}) + {d}) % {d})"
+    whole = f"({floor} + case when {rest} * 2 > {d} or ({rest} * 2 = {d} and {floor} % 2 <> 0) then 1 else 0 end)"
+    return f"cast({whole} as double) / {scale}E0"
+
+
 _GATED = f"""{_SCORED}, dl as (select sc.strict, sc.brier, kk.kickoff, pl.fold from sc join fx on fx.fid = sc.key and fin join kk on kk.kickoff = fx.ko
   join pl on pl.role = 'evaluate' and kk.end_row > pl.from_row and kk.end_row <= pl.to_row where sc.model_id = 'proportional'),
 ms as (select avg(strict) as h, avg(brier) as b, count(*) as n, count(distinct fold) as folds, max(kickoff) - min(kickoff) as span, min(kickoff) as first_ko, max(kickoff) as last_ko from dl),
@@ -242,6 +250,9 @@ m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g
     "coverage_samples": "with g as (" + _GAPS + "), r as (select *, row_number() over (partition by model_id, side order by key) as place, count(*) over (partition by model_id, side) as n from g) select model_id, side, n, string_agg(cast(key as varchar), ',' order by key) as sample from r where place <= 3 group by model_id, side, n",
     "best_history": f"with {_SCORED}, b as (select model_id, ord, avg(brier) as br from sc where ord > 0 group by all) select model_id, round(br, 6) as brier from b order by round(br, 10), ord limit 1",
     "match_order": f"with {_FX} select fid as fixture_id, row_number() over (order by ko, h, a, fid) as place from fx",
+    "half_even_ties": f"with m as (select o_orderkey as key, cast(o_orderkey % 4001 - 2000 as hugeint) * 65536 + (o_orderkey % 3 - 1) as near, cast(o_orderkey % 4001 - 2000 as hugeint) * 65536 as tie from orders) select key, {_half_even('near', 1000)} as third, {_half_even('near', 100)} as second, {_half_even('tie', 10)} as first from m",
+    "exact_quantiles": "with v as (select 'price' as name, l_extendedprice as x from lineitem union all select 'quantity', l_quantity from lineitem where l_quantity > 10 union all select 'rebate', l_extendedprice * l_discount from lineitem) "
+    + " union all ".join(f"select name, {q}E0 as share, round(quantile_cont(x, {q}E0), 6) as value from v group by name" for q in (0, 0.025, 0.25, 0.5, 0.975, 1)),
     "evaluation_bundle": f"""with {_SCORED}, e as (select model_id, bin, count(*) as n, sum(brier) as brier, sum(ll) as ll, sum(strict) as hit, sum(mx) as top from sc group by all),
 u as (select model_id, count(distinct case {' '.join(f'when mx >= {a}E0 and mx < {b}E0 then {i}' for i, a, b in _EDGES)} end) as used_buckets from sc group by all)
 select e.model_id, cast(sum(n) as bigint) as n, round(sum(brier) / sum(n), 6) as brier, round(sum(ll) / sum(n), 6) as log_loss, round(sum(hit) / sum(n), 6) as hit_rate, round(sum(abs(top - hit)) / sum(n), 6) as ece, any_value(used_buckets) as used_buckets
