@@ -70,16 +70,6 @@ def test_production_parameters(spark):
     assert result(spark, rows) == sorted(brute(rows, op.SPAN))
 
 
-def test_passages_are_counted_beside_what_is_removed(spark):
-    rows = texts(5)
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, k1 int, body string")
-    got = {r.doc_id: r for r in op.remove_repeats(df, span=80, gram=16, cell=8, passage=40).collect()}
-    removed, counted = ({r[0]: r for r in brute(rows, span)} for span in (80, 40))
-    for i, r in got.items():
-        assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == removed[i][1:]
-        assert r.n_passage == counted[i][2] >= r.n_removed
-
-
 def test_passes_cut_long_texts():
     rng = random.Random(4)
     text = bytes(rng.choices(b"abcdefgh ", k=5000))

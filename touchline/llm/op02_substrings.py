@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from touchline.llm.common import discard, stored, table, text_bytes
 
 SPAN, GRAM, CELL = 400, 64, 32
-#: Repeated strings of this length are counted beside those removed: a passage of fifty short words is shorter than SPAN.
-PASSAGE = 256
 #: Distinct cells around one core that are indexed together; and those that one index takes.
 GROUP, BATCH = 16_384, 32_768
 #: Windows that one numpy pass takes, which is also where stretches of very long texts are cut.
@@ -343,31 +341,23 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cell: in
     return found
 
 
-def remove_repeats(docs: DataFrame, passage: int | None = None, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, removed (the maximal runs, from and to) and kept (the bytes left) for every row.
-
-    With ``passage`` also n_passage: the bytes covered by strings of so many bytes that start anywhere else, which stay in the text.
-    """
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, removed (the maximal runs, from and to) and kept (the bytes left) for every row."""
     rows = keyed(docs)
-    found = repeated_spans(rows, **options).withColumn("counts", F.lit(False))
-    if passage:
-        found = found.unionByName(repeated_spans(rows, **{**options, "span": passage}).withColumn("counts", F.lit(True)))
-    span = F.struct("from", "to")
-    lists = found.groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("counts"), span)).alias("spans"), F.collect_list(F.when(F.col("counts"), span)).alias("passages"))
-    joined = rows.join(lists, ["k1", "k2"], "left").select("doc_id", "body", "spans", "passages")
+    lists = repeated_spans(rows, **options).groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    joined = rows.join(lists, ["k1", "k2"], "left").select("doc_id", "body", "spans")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = [_cut_out(*row) for row in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+                out = [_cut_out(*row) for row in zip(*(part.column(c).to_pylist() for c in (1, 2)), strict=True)]
                 cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept", "n_passage"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
-    out = joined.mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed array<struct<from: long, to: long>>, kept binary, n_passage long")
-    return out if passage else out.drop("n_passage")
+    return joined.mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed array<struct<from: long, to: long>>, kept binary")
 
 
 def _runs(spans: list[dict] | None) -> list[list[int]]:
@@ -381,18 +371,18 @@ def _runs(spans: list[dict] | None) -> list[list[int]]:
     return runs
 
 
-def _cut_out(body: bytes, spans: list[dict] | None, passages: list[dict] | None) -> tuple:
+def _cut_out(body: bytes, spans: list[dict] | None) -> tuple:
     runs, left, at = _runs(spans), [], 0
     for a, b in runs:
         left.append(body[at:a])
         at = b
     kept = b"".join([*left, body[at:]])
-    return len(body), len(body) - len(kept), len(runs), [{"from": a, "to": b} for a, b in runs], kept, sum(b - a for a, b in _runs(passages))
+    return len(body), len(body) - len(kept), len(runs), [{"from": a, "to": b} for a, b in runs], kept
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_passage")
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op2_substrings": op2_substrings}
