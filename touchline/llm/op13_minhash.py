@@ -8,7 +8,7 @@ all pairs within the threshold meet in a bucket. At a similarity of 0.85, one pa
 A pair belongs to the bucket of the first key that its signatures share. There it is held against the signature distance and two exact bounds on the similarity: the ratio of the set sizes, and the bits
 in which the sets' parity sketches differ, as these are never more than the elements that are in one set only. A bucket emits a spanning forest of its
 own pairs that are left, lightest edges first, not the pairs. Each edge is then confirmed on the full sets. Where a forest edge fails and its ends stay apart, the bucket is opened again in the next round, without the refuted
-pairs and what is connected by now, and each class asks eight times as many of its nearest partners as in the round before. The rounds end when no bucket has an edge left to ask for; then every
+pairs and what is connected by now, and each class asks ``MORE`` of its nearest partners, then ``MORE`` times as many, then all. The rounds end when no bucket has an edge left to ask for; then every
 pair that passes in a bucket is either confirmed, refuted or within one component.
 
 A bucket beyond ``BUCKET`` rows is cut into tiles compared pairwise in tasks of their own, so n distinct sets in one bucket take at most n squared / 2 comparisons of signatures,
@@ -43,6 +43,8 @@ THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 FARTHEST = THRESHOLD + 3
 SKETCH_WORDS = 8
 BUCKET = 2048
+#: From the second round on a row asks so many of its nearest partners, and so many times as many in each round that follows.
+MORE = 64
 #: A table of up to so many rows (an id and two numbers each, 40 MB at most) may be broadcast.
 BROADCAST_ROWS = 500_000
 SEED = 13
@@ -318,14 +320,17 @@ def class_links(docs: DataFrame, classes: DataFrame, paths: list[str], percent:
         refuted = bad if refuted is None else refuted.union(bad)
         if told.isEmpty():
             return roots
-        roots = connected_components(links).select(F.col("node").alias("c"), "root")
+        every = asked >= 2 * bucket  # no row has more partners in its unit: each pair that was open has been asked for
+        roots = stored(connected_components(links).select(F.col("node").alias("c"), "root"), paths)
+        if every:
+            return roots
         far = bad.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
         far = far.where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
         still = stored(far.select("key", "lo", "hi").distinct(), paths)
         if still.isEmpty():
             return roots
         spread = stored(spread.join(still, ["key", "lo", "hi"], "left_semi"), paths)
-        asked = max(8, asked * 8)
+        asked = max(MORE, asked * MORE)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "text_bytes", "n", "sig", "sketch")
     grouped = marks.where("c is not null").groupBy("c").agg(F.min(rep).alias("rep"))
     classes = stored(grouped.select("c", "rep.n", "rep.sig", "rep.sketch", F.struct("rep.doc_id", "rep.text_hash", "rep.text_bytes").alias("rep")))
-    found = class_links(docs, classes, paths, percent, size, bucket)
+    found = class_links(docs, classes, paths, percent, size, bucket)  # a table among ``paths``
     ids = classes.select("c", F.col("rep.doc_id").alias("first"))
     if found is None:
         labels = ids.select("c", F.col("first").alias("component_id"))
