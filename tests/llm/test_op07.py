@@ -30,7 +30,7 @@ def brute_vector(text, df, n, known):
     for word in re.findall(r"\w+", text.lower()):
         for term, share in ((word[:4] + "-", 1.0), (word, 0.2)):
             if (share == 1 or len(word) > 4) and term in known:
-                own[term] += share * max(0.0, math.log((n - df[term] + 0.5) / (df[term] + 0.5)))
+                own[term] += share * max(0.0, math.log((n - df[term] + 0.5) / (df[term] + 0.5)) - math.log(4))
     norm = math.sqrt(sum(x * x for x in own.values())) or 1.0
     return {t: x / norm for t, x in own.items()}
 
@@ -54,7 +54,7 @@ def test_nearest_is_exact():
 
 def test_counts_of_terms_matter():
     texts = ["aaaa bbbb", "aaaa aaaa aaaa bbbb", "cccc", "dddd"]
-    own = op.build([op.terms(t) for t in texts], np.array([1.0, 0, 0, 0]), [1, 2, 3, 4], counted(texts), 8)
+    own = op.build([op.terms(t) for t in texts], np.array([1.0, 0, 0, 0]), [1, 2, 3, 4], counted(texts), 40)
     assert [i for _, i in op.nearest(own, op.vector(op.terms("aaaa aaaa aaaa aaaa bbbb"), own.vocabulary, own.idf))] == [1, 0]
 
 

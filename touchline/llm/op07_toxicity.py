@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are whole words and, beside them, the first ``STEM`` characters of every word as terms of their own, so that inflections meet. A term weighs its count in the text times the
-logarithm of the odds against a document's having it, counted over the whole table (nothing, if half of the documents have it), and a whole word
-``WORD_WEIGHT`` of that. The vocabulary is all terms of the examples. The examples' normalised vectors lie in term order, within a term
+logarithm of the odds against a document's having it, counted over the whole table, beyond those of a common term (so it falls to nothing as a fifth of the
+documents have it), and a whole word ``WORD_WEIGHT`` of that. The vocabulary is all terms of the examples. The examples' normalised vectors lie in term order, within a term
 in blocks of ``BLOCK`` examples, each with its largest weight; examples with the same commonest word (and so, mostly, language) stand together, which keeps the
 bounds tight. A query adds up those block maxima, takes blocks from the highest bound down and stops once no bound reaches the
 least of its ``NEIGHBOURS`` best cosines; what it returns are the exact nearest ones. They vote with their cosines as weights, against a
@@ -40,6 +40,8 @@ EXAMPLES = 2500
 STEM, STEMMED = 4, "-"
 #: What an occurrence of a whole word weighs beside one of a stem.
 WORD_WEIGHT = 0.2
+#: Log odds against a term that a fifth of the documents have: weights fall to nothing there.
+COMMON_ODDS = math.log(4)
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 30, 0.5
 #: Blocks that a query looks into first; each further look takes twice as many.
 FIRST_BLOCKS = 8
@@ -65,8 +67,8 @@ def forms(word: str) -> tuple[str, ...]:
 
 
 def term_weight(term: str, having: int, documents: int) -> float:
-    """What one occurrence weighs: the log odds against a document's having the term, nothing if half of them do; less for a whole word than for a stem."""
-    return (1.0 if term.endswith(STEMMED) else WORD_WEIGHT) * max(0.0, math.log((documents - having + 0.5) / (having + 0.5)))
+    """What one occurrence weighs: the log odds against a document's having the term beyond those of a common one; less for a whole word than for a stem."""
+    return (1.0 if term.endswith(STEMMED) else WORD_WEIGHT) * max(0.0, math.log((documents - having + 0.5) / (having + 0.5)) - COMMON_ODDS)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
