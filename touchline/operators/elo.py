@@ -21,12 +21,12 @@ def timeline(fixtures: DataFrame, config: AsOfConfig, at: int | None = None) ->
     """Season carries and questions at as-of times, results when they are known; at one time results come last."""
     as_of = as_of_time(config, at)
     base = ["league_id", "season", "fixture_id", "kickoff", "home", "away", "home_goals", "away_goals"]
-    asks = fixtures.select(*base, F.lit(ASK).alias("kind"), as_of.alias("time"))
-    applies = fixtures.where("is_final").select(*base, F.lit(APPLY).alias("kind"), (F.col("kickoff") + config.lag).alias("time"))
+    both = F.array(F.struct(F.lit(ASK).alias("kind"), as_of.alias("time")), F.struct(F.lit(APPLY).alias("kind"), (F.col("kickoff") + config.lag).alias("time")))
+    events = fixtures.select(*base, "is_final", F.explode(both).alias("e")).where((F.col("e.kind") == ASK) | F.col("is_final")).select(*base, "e.kind", "e.time")
     batches = fixtures.groupBy("league_id", "kickoff").agg(F.min("season").alias("season"))
     carries = batches.groupBy("league_id", "season").agg(F.min("kickoff").alias("kickoff"))
     carries = carries.select("league_id", "season", F.lit(-1).cast("long").alias("fixture_id"), "kickoff", *(F.lit(None).cast(fixtures.schema[c].dataType).alias(c) for c in ("home", "away", "home_goals", "away_goals")), F.lit(CARRY).alias("kind"), as_of.alias("time"))
-    return asks.unionByName(applies).unionByName(carries)
+    return events.unionByName(carries)
 
 
 def expected(home: float, away: float, advantage: float) -> float:

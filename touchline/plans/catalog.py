@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import exact
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, provenance, publish, scoring, systems, walkforward
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, provenance, publish, scoring, seasons, systems, walkforward
 from touchline.operators.running import running
 from touchline.plans import oracles
 from touchline.session import shared_folder
@@ -401,6 +401,30 @@ def best_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.best(scoring.leaderboard(scored(spark, sf_dir)), registry(spark)).select("model_id", _r("brier").alias("brier"))
 
 
+def final_fit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where training ends and calibration begins when all examples are used."""
+    examples = _examples(spark, sf_dir)
+    config, total = backtest.PlanConfig(), examples.count()
+    raw_end, calibration_start = backtest.final_fit(examples, config.least_train, max(config.least_calibration, int(total * 0.10)))
+    return spark.createDataFrame([(raw_end, calibration_start, total)], "raw_end long, calibration_start long, rows long")
+
+
+def season_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Season files written from all final fixtures, read back, numbered, and joined with their snapshots."""
+    fx = source.from_orders(spark, sf_dir).where("is_final")
+    odds = source.odds_from_orders(spark, sf_dir).select(F.col("key").alias("fixture_id"), "odds")
+    name = lambda c: F.format_string("L%d T%02d", "league_id", c)
+    at = F.timestamp_seconds("kickoff")
+    result = F.when(F.col("home_goals") > F.col("away_goals"), "H").when(F.col("home_goals") == F.col("away_goals"), "D").otherwise("A")
+    lines = fx.join(odds, "fixture_id").select("season", "fixture_id", F.date_format(at, "d/M/yyyy").alias("Date"), F.date_format(at, "HH:mm").alias("Time"), name("home").alias("HomeTeam"), name("away").alias("AwayTeam"), F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"), result.alias("FTR"), *(F.get("odds", F.lit(i)).alias(c) for i, c in enumerate(ingest.ODDS)))
+    home = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines.repartition("season").sortWithinPartitions("season", "fixture_id").drop("fixture_id").write.partitionBy("season").csv(home, header=True)
+    years = _seasons(fx, 0)
+    read = [ingest.read_season(spark, f"{home}/season={y}", f"{y}/{(y + 1) % 100:02d}", i, True) for i, y in enumerate(years)]
+    found = seasons.examples(ingest.number_matches(reduce(DataFrame.unionByName, read)))
+    return found.select("fixture_id", "key", "season_name", "block", "target", "home_points_sum_5", "away_points_sum_5", "h2h_home_points_sum_5", "home_rest_days", "away_rest_days", _r(F.get("closing_odds", F.lit(0))).alias("home_price"))
+
+
 def half_even_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties of the third decimal, m / 16 and its kind, and their neighbours a 2^-20 of a unit away, rounded as their exact value lies."""
     key = F.col("o_orderkey")
@@ -560,6 +584,8 @@ QUERIES = {
         walk_forward,
         coverage_samples,
         best_history,
+        final_fit_rows,
+        season_examples,
         half_even_ties,
         exact_quantiles,
         evaluation_bundle,

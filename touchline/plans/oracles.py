@@ -250,6 +250,14 @@ m as (select g.x, r.lo, min(r.v) as v from g join r on r.lo <= g.x and r.hi >= g
     "coverage_samples": "with g as (" + _GAPS + "), r as (select *, row_number() over (partition by model_id, side order by key) as place, count(*) over (partition by model_id, side) as n from g) select model_id, side, n, string_agg(cast(key as varchar), ',' order by key) as sample from r where place <= 3 group by model_id, side, n",
     "best_history": f"with {_SCORED}, b as (select model_id, ord, avg(brier) as br from sc where ord > 0 group by all) select model_id, round(br, 6) as brier from b order by round(br, 10), ord limit 1",
     "match_order": f"with {_FX} select fid as fixture_id, row_number() over (order by ko, h, a, fid) as place from fx",
+    "final_fit_rows": f"with {_PLAN} select usable as raw_end, start_row as calibration_start, nn as rows from us, tot where start_row <= nn - least_cal order by start_row desc limit 1",
+    "season_examples": _last_five()
+    + f""", {_form('mm', 'and s.opp = p.opp')}, {_PRED},
+n as (select *, row_number() over (order by se, fid) as fixture_id, se || '/' || lpad(cast((se + 1) % 100 as varchar), 2, '0') as label from fx where fin)
+select n.fixture_id, concat_ws('|', label, n.ko, 'L' || lg || ' T' || lpad(cast(h as varchar), 2, '0'), 'L' || lg || ' T' || lpad(cast(a as varchar), 2, '0')) as key, label as season_name, q.block,
+  case when hg > ag then 0 when hg = ag then 1 else 2 end as target, cast(x.pts as double) as home_points_sum_5, cast(y.pts as double) as away_points_sum_5, cast(z.pts as double) as h2h_home_points_sum_5,
+  case when x.sko is not null then round(least((n.ko - x.sko) / 86400E0, 30E0), 6) end as home_rest_days, case when y.sko is not null then round(least((n.ko - y.sko) / 86400E0, 30E0), 6) end as away_rest_days, round(o1, 6) as home_price
+from n join f x on x.fid = n.fid and x.ish = 1 join f y on y.fid = n.fid and y.ish = 0 join mm z on z.fid = n.fid and z.ish = 1 join q on q.key = n.fid""",
     "half_even_ties": f"with m as (select o_orderkey as key, cast(o_orderkey % 4001 - 2000 as hugeint) * 65536 + (o_orderkey % 3 - 1) as near, cast(o_orderkey % 4001 - 2000 as hugeint) * 65536 as tie from orders) select key, {_half_even('near', 1000)} as third, {_half_even('near', 100)} as second, {_half_even('tie', 10)} as first from m",
     "exact_quantiles": "with v as (select 'price' as name, l_extendedprice as x from lineitem union all select 'quantity', l_quantity from lineitem where l_quantity > 10 union all select 'rebate', l_extendedprice * l_discount from lineitem) "
     + " union all ".join(f"select name, {q}E0 as share, round(quantile_cont(x, {q}E0), 6) as value from v group by name" for q in (0, 0.025, 0.25, 0.5, 0.975, 1)),

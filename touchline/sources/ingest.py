@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
+from touchline.operators.running import running
 
 #: Column names of the season files.
 REQUIRED = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR"]
@@ -67,9 +68,9 @@ def read_season(spark: SparkSession, path: str, season: str, season_index: int,
 
 def number_matches(matches: DataFrame) -> DataFrame:
     """Adds fixture_id (1.. by season and file order), key and block."""
-    order = Window.orderBy("season_index", "source_order")  # a few thousand rows in all
     key = F.concat_ws("|", "season", F.col("kickoff").cast("string"), "home_team", "away_team")
-    return matches.withColumns({"fixture_id": F.row_number().over(order).cast("long"), "key": key, "block": P.week_block(F.col("kickoff"))})
+    numbered = running(matches, "season_index", ["season_index", "source_order"], {"fixture_id": ("sum", F.lit(1))})
+    return numbered.withColumns({"fixture_id": F.col("fixture_id").cast("long"), "key": key, "block": P.week_block(F.col("kickoff"))})
 
 
 def source_metadata(pins: DataFrame, matches: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def parse_payloads(payloads: DataFrame, column: str = "payload") -> tuple[DataFr
 
 
 def dense_ids(fixtures: DataFrame, home: str = "home", away: str = "away") -> DataFrame:
-    """team, team_id: all teams in order, numbered from 1 (teams are few)."""
-    teams = fixtures.select(F.explode(F.array(home, away)).alias("team")).distinct()
-    return teams.select("team", F.row_number().over(Window.orderBy("team")).cast("long").alias("team_id"))
+    """team, team_id: all teams in order, numbered from 1."""
+    teams = fixtures.select(F.explode(F.array(home, away)).alias("team")).distinct().where("team is not null")
+    return running(teams, "team", ["team"], {"team_id": ("sum", F.lit(1))}).select("team", F.col("team_id").cast("long").alias("team_id"))
 
