@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
-from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, publish, scoring, seasons, systems, walkforward
+from touchline.operators import asof, backtest, bootstrap, elo, gbdt, models, provenance, publish, scoring, seasons, systems, walkforward
 from touchline.plans import catalog
 from touchline.sources import ingest
 from touchline.streaming.live_form import live_form, weekly_results
@@ -549,9 +549,32 @@ def test_systems_board_asks_for_every_season_that_can_be_calibrated(spark, monke
 
 
 def test_candidate_gate_asks_for_provenance(spark):
-    failures = {r.failure for r in catalog.QUERIES["candidate_gate"](spark, "/root/testdata/sf0.001").collect()}
-    assert "pointInTimeProvenance is required" in failures
-    assert not failures & {"foldCount must be >= 3", "protocol must be walk-forward"}
+    sf = "/root/testdata/sf0.001"
+    assert "pointInTimeProvenance is required" in backtest.apply_gate(spark, {}, "1", "append-only")
+    found = {r.failure for r in catalog.candidate_gate(spark, sf).collect()}
+    assert found == {r.failure for r in catalog.gate_report(spark, sf).collect()}  # a whole history lacks nothing
+    cases = {r.history: r.failures for r in catalog.provenance_cases(spark, sf).collect()}
+    assert cases["whole"] == "" and "asOfReplayVerified" in cases["late"] and "sourceRevisionHistoryComplete" not in cases["late"]
+    assert "sourceRevisionHistoryComplete" in cases["gap"] and "asOfReplayVerified" not in cases["gap"]
+    assert "correctionObservedAtComplete" in cases["unobserved"] and "fixtureCount must cover" in cases["missing"]
+
+
+def test_known_at_and_late_corrections(spark):
+    day = 86_400
+    fixtures = spark.createDataFrame([(1, 0, 10 * day, 1, 2, 2, 1, True), (2, 0, 20 * day, 1, 2, 0, 0, True), (3, 0, 40 * day, 2, 1, None, None, False)], "fixture_id long, league_id int, kickoff long, home long, away long, home_goals long, away_goals long, is_final boolean")
+    told = provenance.revisions_of(fixtures)
+    assert [tuple(r) for r in provenance.first_uses(fixtures).orderBy("kickoff").select("kickoff", "first_use").collect()] == [(10 * day, 19 * day), (20 * day, 39 * day), (40 * day, None)]
+    assert not provenance.faults(told, fixtures).where("incomplete or unobserved or unreplayable").collect()
+    early = {r.fixture_id: r.is_final for r in provenance.known_at(told, 11 * day).collect()}
+    assert early == {1: True} or early == {1: True, 2: False}
+    for seen, late in ((19 * day - 1, False), (19 * day, True)):  # known just before its first use, or not
+        wrong = told.withColumn("home_goals", F.when(F.col("fixture_id") == 1, F.col("home_goals") + 1).otherwise(F.col("home_goals")))
+        fixed = told.where("fixture_id = 1 and revision = 2").withColumns({"revision": F.lit(3), "observed_at": F.lit(seen).cast("long")})
+        found = {r.fixture_id: (r.incomplete, r.unobserved, r.unreplayable) for r in provenance.faults(wrong.unionByName(fixed), fixtures).collect()}
+        assert found[1] == (False, False, late)
+    one = provenance.manifest_digest(told).first()[0]
+    assert provenance.manifest_digest(told.repartition(5)).first()[0] == one != provenance.manifest_digest(told.where("revision = 1")).first()[0]
+
 
 
 def test_dixon_coles_query_fits_rho(spark):

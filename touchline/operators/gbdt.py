@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 40_000
+MODELS = "fold int, slice int, base array<double>, nodes binary, lengths array<int>"
 
 
 @dataclass(frozen=True)
@@ -147,6 +148,12 @@ def dealt_probabilities(dealt: DataFrame, features: list[str], config: BoostConf
     """fixture_id, fold, p for the rows of ``dealt`` (fold, trains, fixture_id, target, features) that do not train; none for a fold whose training rows lack an outcome."""
     dealt = dealt.select("fold", "trains", "fixture_id", "target", *features).persist()
     train = dealt.where("trains and target is not null")
+    models, edges, slices = grown(train, features, config, slice_rows)
+    return boosted_probabilities(dealt.where("not trains"), models, edges, slices, features, config, slice_rows)
+
+
+def grown(train: DataFrame, features: list[str], config: BoostConfig, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, dict[int, list[np.ndarray]], DataFrame]:
+    """Models (fold, slice, base, nodes, lengths) of the training rows (fold, fixture_id, target, features), the folds' edges, and their slices (fold, slices)."""
     edges = fold_edges(train, features, config.bins)
     sizes = train.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("target").alias("outcomes")).where("outcomes = 3")
     slices = F.broadcast(sizes.select("fold", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")))  # a row a fold
@@ -162,7 +169,12 @@ def dealt_probabilities(dealt: DataFrame, features: list[str], config: BoostConf
 
     # So many partitions are asked for that slices seldom meet in one, and adaptive execution does not join them.
     laid = train.join(slices, "fold").select("*", part).repartition(4 * many, "fold", "slice")
-    models = laid.groupBy("fold", "slice").applyInArrow(fit, "fold int, slice int, base array<double>, nodes binary, lengths array<int>")
+    models = laid.groupBy("fold", "slice").applyInArrow(fit, MODELS)
+    return models, edges, slices
+
+
+def boosted_probabilities(rows: DataFrame, models: DataFrame, edges: dict[int, list[np.ndarray]], slices: DataFrame, features: list[str], config: BoostConfig, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """fixture_id, fold, p for rows of fold, fixture_id and features, by the models of :func:`grown`."""
 
     def score(key: tuple, rows: pa.Table, model: pa.Table) -> pa.Table:
         ids = rows.column("fixture_id")
@@ -177,7 +189,7 @@ def dealt_probabilities(dealt: DataFrame, features: list[str], config: BoostConf
         return pa.table({"fixture_id": ids, "fold": pa.array(np.full(rows.num_rows, key[0].as_py()), pa.int32()), "f": pa.array(list(f), pa.list_(pa.float64()))})
 
     # Rows to score are dealt into parts as well, so that neither a fold's rows nor its models meet in one task.
-    asked = dealt.where("not trains").join(slices, "fold")
+    asked = rows.join(slices, "fold")
     counts = asked.groupBy("fold").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("parts"))
     asked = asked.join(F.broadcast(counts), "fold").withColumn("part", F.pmod(F.xxhash64("fixture_id", F.lit(1)), F.col("parts")).cast("int"))
     asked = asked.select("fold", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "part", "fixture_id", *features)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -71,3 +72,33 @@ def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig =
         report["pointInTimeProvenance"] = proof
     backtest.apply_gate(spark, report, schema, mode)
     return Backtest(stages, found, folds, report)
+
+
+def final_tables(examples: DataFrame, features: list[str], done: Backtest, boost: gbdt.BoostConfig | None = None) -> dict[str, DataFrame]:
+    """The candidate's tables, fitted on the rows that the backtest's report settles for the final fit: models and their edges, and the calibration curves."""
+    boost = boost or gbdt.BoostConfig()
+    spark, rows = examples.sparkSession, done.report["finalFit"]
+    groups = backtest.kickoff_groups(examples.select("fixture_id", "kickoff", "as_of", "target_available"))
+    placed = examples.join(groups.select("kickoff", "end_row"), "kickoff").select("fixture_id", "target", "end_row", *features)
+    trains, calibrates = F.col("end_row") <= rows["rawEnd"], F.col("end_row") > rows["calibrationStart"]
+    dealt = checkpointed(placed.where(trains | calibrates).withColumns({"fold": F.lit(0), "trains": trains}).drop("end_row"))
+    models_of, edges, slices = gbdt.grown(dealt.where("trains"), features, boost)
+    models_of = checkpointed(models_of)
+    asked = dealt.where("not trains")
+    raw = gbdt.boosted_probabilities(asked, models_of, edges, slices, features, boost).join(asked.select("fixture_id", "target"), "fixture_id")
+    curves = models.fit_isotonic(checkpointed(raw))
+    cuts = [(place, name, [float(x) for x in e]) for place, (name, e) in enumerate(zip(features, edges[0], strict=True))]
+    knots = [(k, i, x, y) for k, curve in enumerate(curves) for i, (x, y) in enumerate(curve)]
+    return {"models": models_of, "edges": spark.createDataFrame(cuts, "place int, feature string, edges array<double>"), "curves": spark.createDataFrame(knots, "outcome int, knot int, x double, y double")}
+
+
+def candidate_probabilities(rows: DataFrame, tables: dict[str, DataFrame], boost: gbdt.BoostConfig | None = None) -> DataFrame:
+    """fixture_id, raw, p of ``rows`` (fixture_id and the features) by the tables of a candidate."""
+    cuts = sorted(tables["edges"].collect(), key=lambda r: r.place)  # a row a feature
+    features = [r.feature for r in cuts]
+    knots = sorted((r.outcome, r.knot, r.x, r.y) for r in tables["curves"].collect())  # a knot or two a level
+    curves = [[(x, y) for k, _, x, y in knots if k == outcome] for outcome in range(3)]
+    slices = F.broadcast(tables["models"].groupBy("fold").agg(F.count("*").cast("int").alias("slices")))
+    asked = rows.select(F.lit(0).alias("fold"), "fixture_id", *features)
+    raw = gbdt.boosted_probabilities(asked, tables["models"], {0: [np.array(r.edges, float) for r in cuts]}, slices, features, boost or gbdt.BoostConfig())
+    return raw.select("fixture_id", F.col("p").alias("raw"), models.calibrate(F.col("p"), curves).alias("p"))
