@@ -553,10 +553,13 @@ def test_candidate_gate_asks_for_provenance(spark):
     assert "pointInTimeProvenance is required" in backtest.apply_gate(spark, {}, "1", "append-only")
     found = {r.failure for r in catalog.candidate_gate(spark, sf).collect()}
     assert found == {r.failure for r in catalog.gate_report(spark, sf).collect()}  # a whole history lacks nothing
-    cases = {r.history: r.failures for r in catalog.provenance_cases(spark, sf).collect()}
+    rows = {r.history: r for r in catalog.provenance_cases(spark, sf).collect()}
+    cases = {name: r.failures for name, r in rows.items()}
     assert cases["whole"] == "" and "asOfReplayVerified" in cases["late"] and "sourceRevisionHistoryComplete" not in cases["late"]
     assert "sourceRevisionHistoryComplete" in cases["gap"] and "asOfReplayVerified" not in cases["gap"]
-    assert "correctionObservedAtComplete" in cases["unobserved"] and "fixtureCount must cover" in cases["missing"]
+    assert "correctionObservedAtComplete" in cases["unobserved"] and "sourceRevisionHistoryComplete" not in cases["unobserved"]
+    assert "sourceRevisionHistoryComplete" in cases["missing"] and rows["missing"].fixtures < rows["whole"].fixtures == rows["gap"].fixtures
+    assert len({r.digest for r in rows.values()}) == 5
 
 
 def test_known_at_and_late_corrections(spark):

@@ -117,8 +117,8 @@ def with_faults(revisions: DataFrame, case: str) -> DataFrame:
     final = F.col("is_final")
     if case == "whole":
         return revisions
-    if case == "gap":
-        return revisions.where(~(picked & (F.col("revision") == 1)))
+    if case == "gap":  # a revision between the two is lost
+        return revisions.withColumn("revision", F.when(picked & final, F.col("revision") + 1).otherwise(F.col("revision")))
     if case == "missing":
         return revisions.where(~picked)
     if case == "unobserved":

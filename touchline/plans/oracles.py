@@ -138,7 +138,7 @@ _TOLD = """select fid, lg, 1 as rev, ko - 604800 as seen, ko, h, a, case when fi
   union all select fid, lg, 2, ko + 43200, ko, h, a, hg, ag, true from fx where fin"""
 _REVISED = {
     "whole": _TOLD,
-    "gap": f"select * from ({_TOLD}) where not ({_PICKED} and rev = 1)",
+    "gap": f"select fid, lg, case when {_PICKED} and done then rev + 1 else rev end as rev, seen, ko, h, a, hg, ag, done from ({_TOLD})",
     "missing": f"select * from ({_TOLD}) where not {_PICKED}",
     "unobserved": f"select fid, lg, rev, case when {_PICKED} and done then null else seen end as seen, ko, h, a, hg, ag, done from ({_TOLD})",
     "late": f"select fid, lg, rev, seen, ko, h, a, case when {_PICKED} and done then hg + 1 else hg end as hg, ag, done from ({_TOLD}) union all select fid, lg, 3, seen + 3456000, ko, h, a, hg, ag, done from ({_TOLD}) where {_PICKED} and done",
