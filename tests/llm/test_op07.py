@@ -103,3 +103,12 @@ def test_logistic_weighs_both_labels_alike():
     labels = np.concatenate([np.zeros(900), np.ones(90), np.zeros(10)])
     a, b = op.logistic(few, labels)
     assert 1 / (1 + math.exp(-a - b)) > 0.9 > 0.5 > 1 / (1 + math.exp(-b))
+
+
+def test_numbered_terms_equal_counted_ones():
+    text = "Inflected inflection inflect 7 of the théâtre, Théâtres of-it " * 3
+    found = op.terms(text)
+    vocabulary = {t: i for i, t in enumerate(sorted(found)[::2])}
+    at, n = op.numbered(text, op.Numbering(vocabulary))
+    assert list(zip(at.tolist(), n.tolist(), strict=True)) == sorted((vocabulary[t], k) for t, k in found.items() if t in vocabulary)
+    assert [len(x) for x in op.numbered("", op.Numbering(vocabulary))] == [0, 0]

@@ -47,6 +47,8 @@ BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 30, 0.5
 FIRST_BLOCKS = 8
 #: Texts whose results a task remembers, as copies are common.
 MEMO = 20_000
+#: Words whose numbers a task remembers.
+MEMO_WORDS = 500_000
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
 
@@ -66,6 +68,34 @@ def forms(word: str) -> tuple[str, ...]:
     return (stem, word) if len(word) > STEM else (stem,)
 
 
+class Numbering(dict):
+    """Word -> the numbers of its stem and of itself in a vocabulary, -1 for none; learnt as words come."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        found = (self.vocabulary.get(word[:STEM] + STEMMED, -1), self.vocabulary.get(word, -1) if len(word) > STEM else -1)
+        if len(self) < MEMO_WORDS:
+            self[word] = found
+        return found
+
+
+def numbered(text: str, numbering: Numbering) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, ascending, and counts of a text's terms that the vocabulary has."""
+    words = Counter(_WORD.findall(text.lower()))
+    at = np.array([numbering[w] for w in words], np.int64).ravel()
+    n = np.repeat(np.fromiter(words.values(), float, len(words)), 2)
+    some = np.flatnonzero(at >= 0)
+    some = some[np.argsort(at[some], kind="stable")]
+    at, n = at[some], n[some]
+    if not len(at):
+        return at, n
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[start], np.add.reduceat(n, start)
+
+
 def term_weight(term: str, having: int, documents: int) -> float:
     """What one occurrence weighs: the log odds against a document's having the term beyond those of a common one; less for a whole word than for a stem."""
     return (1.0 if term.endswith(STEMMED) else WORD_WEIGHT) * max(0.0, math.log((documents - having + 0.5) / (having + 0.5)) - COMMON_ODDS)
@@ -200,7 +230,11 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 
 
 def probability(index: Index, found: Counter) -> tuple[float, list[tuple[float, int]]]:
-    best = nearest(index, vector(found, index.vocabulary, index.idf))
+    return probability_of(index, vector(found, index.vocabulary, index.idf))
+
+
+def probability_of(index: Index, query: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
+    best = nearest(index, query)
     if not 0 < index.labels.sum() < len(index.labels):
         return index.prior, best
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, index.slope * vote(index, best) + index.offset)))), best
@@ -211,13 +245,12 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray,
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        totals, n = np.zeros(len(number), np.int64), 0
+        numbering = Numbering(shared.value)
+        totals, n = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                own = {t for w in set(_WORD.findall((text or "").lower())) for t in forms(w)}
-                totals[[number[t] for t in own if t in number]] += 1
+                totals[numbered(text or "", numbering)[0]] += 1
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(totals[some], n), pa.int64())], names=["term", "n"])
 
@@ -263,6 +296,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         own = shared.value
+        numbering = Numbering(own.vocabulary)
         known: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             scores, evidence = [], []
@@ -271,7 +305,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 if key not in known:
                     if len(known) >= MEMO:
                         known.clear()
-                    p, best = probability(own, terms(text or ""))
+                    p, best = probability_of(own, normalised(*numbered(text or "", numbering), own.idf))
                     known[key] = (p, [{"doc_id": own.ids[i], "cosine": c} for c, i in best])
                 p, best = known[key]
                 scores.append(p)
