@@ -87,7 +87,9 @@ def test_imputation_by_exact_figures(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=501) * 10
     df = spark.createDataFrame([(float(v) if i % 4 else None, None) for i, v in enumerate(x)], "a double, b double")
-    median, mean, deviation = models.imputation(df, ["a", "b"])["a"]
+    median, mean, deviation = models.imputation(df, ["a", "b"], few=10, exactly=True)["a"]
+    near = models.imputation(df, ["a", "b"])["a"]
+    assert near[0] == median and np.allclose(near, (median, mean, deviation), rtol=1e-12)
     held = [float(v) for i, v in enumerate(x) if i % 4]
     filled = [float(v) if i % 4 else float(np.median(held)) for i, v in enumerate(x)]
     assert median == float(np.median(held)) and mean == math.fsum(filled) / 501

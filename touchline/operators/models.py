@@ -20,13 +20,27 @@ from touchline.functions.probability import normalise, poisson_outcomes
 # ---- logit
 
 
-def imputation(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float, float]]:
-    """feature -> (exact median, mean and population deviation after imputation); an all-null feature is 0."""
-    medians = {c: (found[0] or 0.0) for c, found in exact.exact_quantiles(train, features, [0.5]).items()}
+#: Rows whose values one aggregation buffer may hold; medians of more are found by histograms, with the same result.
+FEW_ROWS = 1_000_000
+
+
+def imputation(train: DataFrame, features: list[str], few: int = FEW_ROWS, exactly: bool = False) -> dict[str, tuple[float, float, float]]:
+    """feature -> (exact median, mean and population deviation after imputation); an all-null feature is 0.
+
+    With ``exactly`` mean and deviation come from exact sums and do not depend on how rows are partitioned, at the price of two more passes.
+    """
+    if train.limit(few + 1).count() <= few:
+        row = train.agg(*(F.percentile(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.5)).alias(c) for c in features)).first()
+        medians = {c: (row[c] or 0.0) for c in features}
+    else:
+        medians = {c: (found[0] or 0.0) for c, found in exact.exact_quantiles(train, features, [0.5]).items()}
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(medians[c])) for c in features}
-    means = exact.exact_means(train, [], filled).first()
-    spread = exact.exact_means(train, [], {c: (x - means[c]) * (x - means[c]) for c, x in filled.items()}).first()
-    return {c: (medians[c], means[c], math.sqrt(spread[c]) or 1.0) for c in features}
+    if exactly:
+        means = exact.exact_means(train, [], filled).first()
+        spread = exact.exact_means(train, [], {c: (x - means[c]) * (x - means[c]) for c, x in filled.items()}).first()
+        return {c: (medians[c], means[c], math.sqrt(spread[c]) or 1.0) for c in features}
+    stats = train.agg(*(F.avg(x).alias(f"m_{c}") for c, x in filled.items()), *(F.stddev_pop(x).alias(f"s_{c}") for c, x in filled.items())).first()
+    return {c: (medians[c], stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in features}
 
 
 def scaled(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> DataFrame:

@@ -249,7 +249,7 @@ def ablation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_imputation_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_custkey") % 5 != 0, (F.col("c_custkey") % 7).cast("double")).alias("weekday"), F.lit(None).cast("double").alias("nothing"))
-    fitted = models.imputation(rows, ["balance", "weekday", "nothing"])
+    fitted = models.imputation(rows, ["balance", "weekday", "nothing"], few=0, exactly=True)
     return spark.createDataFrame([(n, *v) for n, v in fitted.items()], "feature string, median double, mean double, deviation double").select("feature", *(_r(c, 4).alias(c) for c in ("median", "mean", "deviation")))
 
 
