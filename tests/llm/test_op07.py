@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from touchline.llm import op07_toxicity as op
 
@@ -28,14 +29,16 @@ def counted(texts):
 def brute_vector(text, df, n, known):
     own = Counter()
     for word in re.findall(r"\w+", text.lower()):
-        for term, share in ((word[:4] + "-", 1.0), (word, 0.2)):
+        for term, share in ((word[:4] + "-", 1.0), (word, op.WORD_WEIGHT)):
             if (share == 1 or len(word) > 4) and term in known:
                 own[term] += share * max(0.0, math.log((n - df[term] + 0.5) / (df[term] + 0.5)) - math.log(4))
     norm = math.sqrt(sum(x * x for x in own.values())) or 1.0
     return {t: x / norm for t, x in own.items()}
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("word_weight", [0.0, 0.2])
+def test_nearest_is_exact(monkeypatch, word_weight):
+    monkeypatch.setattr(op, "WORD_WEIGHT", word_weight)
     rows = sample()
     texts = [t for _, t, _ in rows] + ["aaw0 aaw0 aaw0", "Inflected inflection"]
     df, n = counted(texts), len(texts)

@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are whole words and, beside them, the first ``STEM`` characters of every word as terms of their own, so that inflections meet. A term weighs its count in the text times the
+Terms are the first ``STEM`` characters of words, so that inflections meet, and, if ``WORD_WEIGHT`` is above 0, whole words beside them. A term weighs its count in the text times the
 logarithm of the odds against a document's having it, counted over the whole table, beyond those of a common term (so it falls to nothing as a fifth of the
 documents have it), and a whole word ``WORD_WEIGHT`` of that. The vocabulary is all terms of the examples. The examples' normalised vectors lie in term order, within a term
 in blocks of ``BLOCK`` examples, each with its largest weight; examples with the same commonest word (and so, mostly, language) stand together, which keeps the
@@ -38,8 +38,8 @@ from touchline.llm.common import held_out, labelled_sample, table
 EXAMPLES = 2500
 #: Letters of a word's stem, and what no word has in it, which marks a stem.
 STEM, STEMMED = 4, "-"
-#: What an occurrence of a whole word weighs beside one of a stem.
-WORD_WEIGHT = 0.2
+#: What an occurrence of a whole word weighs beside one of a stem; 0 leaves whole words out.
+WORD_WEIGHT = 0.0
 #: Log odds against a term that a fifth of the documents have: weights fall to nothing there.
 COMMON_ODDS = math.log(4)
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 30, 0.5
@@ -63,9 +63,9 @@ def terms(text: str) -> Counter:
 
 
 def forms(word: str) -> tuple[str, ...]:
-    """A word's stem, and the word itself if it is longer."""
+    """A word's stem, and, where whole words weigh anything, the word itself if it is longer."""
     stem = word[:STEM] + STEMMED
-    return (stem, word) if len(word) > STEM else (stem,)
+    return (stem, word) if WORD_WEIGHT and len(word) > STEM else (stem,)
 
 
 class Numbering(dict):
@@ -76,7 +76,8 @@ class Numbering(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        found = (self.vocabulary.get(word[:STEM] + STEMMED, -1), self.vocabulary.get(word, -1) if len(word) > STEM else -1)
+        own = forms(word)
+        found = (self.vocabulary.get(own[0], -1), self.vocabulary.get(own[1], -1) if len(own) > 1 else -1)
         if len(self) < MEMO_WORDS:
             self[word] = found
         return found
