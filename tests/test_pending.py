@@ -74,3 +74,72 @@ def test_late_results_and_seasons_are_errors(spark, tmp_path):
     back = [(0, ASK, 2, 1, 10 * DAY, 1, 2, -1, -1, 9 * DAY), (1, ASK, 1, 2, 20 * DAY, 1, 2, -1, -1, 19 * DAY), (2, pending.TICK, 1, -1, 0, -1, -1, -1, -1, 60 * DAY)]
     with pytest.raises(Exception, match="season 1 after 2"):
         played(spark, str(tmp_path / "b"), back, pending.rating_answers)
+
+
+def test_a_key_sets_one_timer_for_all_that_is_pending():
+    """A timer for each due time made every one of them read the whole queue again."""
+    import numpy as np
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            reads.append(1)
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+        def appendList(self, values):
+            self.value = [*(self.value or []), *values]
+
+    class Handle:
+        def getListState(self, *_):
+            return Value()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class Seen(pending.Pending):
+        def work_off(self, key, due):
+            yield due
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    reads, timers = [], []
+    held = Seen(asof.AsOfConfig())
+    held.init(Handle())
+    days = np.arange(1000) + 10
+    frame = pd.DataFrame({"kind": ASK, "kickoff": days * DAY, **{c: 1 for c in ("season", "home", "away", "home_goals", "away_goals")}, "fixture_id": days})
+    list(held.handleInputRows((0, 1), iter([frame.sample(frac=1, random_state=1)]), None))
+    assert timers == [9 * DAY * 1000]
+    (first,) = held.handleExpiredTimer((0, 1), At(500 * DAY * 1000), At(9 * DAY * 1000))
+    assert first[:, 3].tolist() == list(range(10, 502))
+    assert timers == [9 * DAY * 1000, 501 * DAY * 1000]
+    before = len(reads)
+    assert not list(held.handleExpiredTimer((0, 1), At(500 * DAY * 1000), At(20 * DAY * 1000)))
+    assert len(reads) == before + 1  # only when the next one is due
+    (second,) = held.handleExpiredTimer((0, 1), At(5000 * DAY * 1000), At(501 * DAY * 1000))
+    assert second[:, 3].tolist() == list(range(502, 1010))
+
+
+def test_a_large_feed_has_more_slices(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    width = int(pending.store_feed(pending.messages(source.from_orders(spark, SF)), path, files=1, slice_messages=300).split()[0])
+    stored = spark.read.parquet(path).where(F.col("kind") > 0).withColumn("file", F.input_file_name())
+    spans = stored.groupBy("file").agg((F.unix_seconds(F.max("observed")) - F.unix_seconds(F.min("observed"))).alias("span"), F.count("*").alias("n")).collect()
+    assert len(spans) > 6 and max(r.span for r in spans) < width and sum(r.n for r in spans) == pending.messages(source.from_orders(spark, SF)).count()

@@ -481,8 +481,9 @@ def weekly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replayed(spark: SparkSession, sf_dir: str, answers: Callable[..., DataFrame], schema: str) -> DataFrame:
     """What a stream of all announcements and results answers, run over files under the shared folder."""
     home = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    delay = pending.store_feed(pending.messages(source.from_orders(spark, sf_dir)), f"{home}/feed")
-    pending.replay(spark, f"{home}/feed", partial(answers, delay=delay), f"{home}/out", f"{home}/marks", files=spark.sparkContext.defaultParallelism)
+    files = spark.sparkContext.defaultParallelism
+    delay = pending.store_feed(pending.messages(source.from_orders(spark, sf_dir)), f"{home}/feed", files=files)
+    pending.replay(spark, f"{home}/feed", partial(answers, delay=delay), f"{home}/out", f"{home}/marks", files=files)
     return spark.read.schema(schema).parquet(f"{home}/out")
 
 
