@@ -583,3 +583,29 @@ def test_known_at_and_late_corrections(spark):
 def test_dixon_coles_query_fits_rho(spark):
     got = catalog.QUERIES["dixon_coles_fitted_rho"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 1 and got[0].n >= 25 and abs(got[0].rho) < 0.25
+
+
+def test_as_of_windows_run_over_few_rows_a_kickoff(spark):
+    """A team's windows held all its fixtures in one task, of which only the last few results of a kickoff can count."""
+    day = asof.DAY
+    rows = [(i, 0, 2000, (i // 40) * day, i % 2, 2 + i % 3, i % 4, i % 3, i % 5 != 0) for i in range(800)]
+    fx = spark.createDataFrame(rows, "fixture_id long, league_id int, season int, kickoff long, home long, away long, home_goals long, away_goals long, is_final boolean")
+    seen = []
+
+    def answer(few, sums):
+        seen.append(few.count())
+        return few.withColumn("seen", F.lit(1))
+
+    config = asof.AsOfConfig()
+    teams = asof.appearances(fx)
+    assert asof.by_kickoff(teams, ["league_id", "team"], asof.form_sums(), config, "seen", answer).count() == 1600
+    assert seen == [20 * 5 * config.window]
+    got = {(r.fixture_id, r.is_home): (r.seen.points, r.seen.scored, r.seen.last_kickoff) if r.seen else None for r in asof.team_form(fx).collect()}
+    fixed = {(r.fixture_id, r.is_home): (r.seen.points, r.seen.scored, r.seen.last_kickoff) if r.seen else None for r in asof.form_at(fx, 10**9).collect()}
+    assert fixed == got
+    for fixture, _, _, kickoff, home, away, *_ in rows:
+        for is_home, team in ((True, home), (False, away)):
+            known = sorted((r[3], r[0], r) for r in rows if r[8] and team in (r[4], r[5]) and r[3] + config.lag < kickoff - config.lead)[-config.window :]
+            mine = [(r[6], r[7]) if r[4] == team else (r[7], r[6]) for *_, r in known]
+            want = (sum(3 if a > b else int(a == b) for a, b in mine), sum(a for a, _ in mine), known[-1][0]) if known else None
+            assert got[fixture, is_home] == want

@@ -1,8 +1,9 @@
 """Point-in-time features: what was known of earlier fixtures a lead before kickoff, results being known a lag after theirs.
 
 A result counts for a fixture if its kickoff lies more than ``lead + lag`` seconds before the fixture's. That is a range frame, so each
-feature takes two windows over one exchange: a rolling sum after each appearance, and the last of these sums
-within the frame. Fixtures that are not final are asked about but never counted.
+feature takes two windows: a rolling sum after each appearance, and the last of these sums within the frame. All fixtures of a key and
+kickoff have the same answer, and of their results the last ``window`` at most can count, so the windows run over that many rows for each kickoff and the answers
+are joined to the fixtures. Fixtures that are not final are asked about but never counted.
 
 Fixtures: fixture_id, league_id, season, kickoff (epoch seconds), home, away, home_goals, away_goals, is_final.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,23 +71,33 @@ def appearances(fixtures: DataFrame) -> DataFrame:
     return rows.withColumns({"scored": final("scored"), "conceded": final("conceded"), "points": F.when(F.col("is_final"), points(F.col("scored"), F.col("conceded")))})
 
 
+def by_kickoff(rows: DataFrame, keys: list[str], sums: dict[str, Column], config: AsOfConfig, name: str, answer: Callable[[DataFrame, dict[str, Column]], DataFrame]) -> DataFrame:
+    """Adds ``name``, which ``answer`` works out from the last ``window`` results of each key and kickoff (where there are none, from a fixture that is not final)."""
+    place = Window.partitionBy(*keys, "kickoff").orderBy(F.desc("is_final"), F.desc("fixture_id"))
+    few = rows.select(*keys, "kickoff", "fixture_id", "is_final", *(c.alias(n) for n, c in sums.items())).withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= config.window)
+    answers = answer(few, {n: F.col(n) for n in sums}).where("__place = 1").select(*(F.col(c).alias(f"__{c}") for c in [*keys, "kickoff"]), name)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*keys, "kickoff"]]
+    return rows.join(answers, reduce(lambda a, b: a & b, same)).select(*rows.columns, name)
+
+
 def rolling_as_of(rows: DataFrame, keys: list[str], sums: dict[str, Column], config: AsOfConfig, name: str = "seen") -> DataFrame:
-    """Adds a struct ``name``: for each of ``sums`` the sum over the last ``window`` counted rows of the same keys, and last_kickoff.
+    """Adds a struct ``name``: for each of ``sums`` the sum over the last ``window`` counted rows of the same keys, and last_kickoff."""
 
-    ``rows`` should be dealt by some of the keys: then these windows need no exchange of their own.
-    """
-    counted = Window.partitionBy(*keys, "is_final").orderBy("kickoff", "fixture_id")
-    last = counted.rowsBetween(1 - config.window, Window.currentRow)
-    state = F.struct(F.row_number().over(counted).alias("seq"), *(F.sum(c).over(last).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
-    rows = rows.withColumn("state", state).withColumn("state", F.when(F.col("is_final"), F.col("state")))
-    known = Window.partitionBy(*keys).orderBy("kickoff").rangeBetween(Window.unboundedPreceding, -config.gap)
-    return rows.withColumn(name, F.max("state").over(known)).drop("state")
+    def answer(few: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        counted = Window.partitionBy(*keys, "is_final").orderBy("kickoff", "fixture_id")
+        last = counted.rowsBetween(1 - config.window, Window.currentRow)
+        state = F.struct(F.row_number().over(counted).alias("seq"), *(F.sum(c).over(last).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
+        few = few.withColumn("state", state).withColumn("state", F.when(F.col("is_final"), F.col("state")))
+        known = Window.partitionBy(*keys).orderBy("kickoff").rangeBetween(Window.unboundedPreceding, -config.gap)
+        return few.withColumn(name, F.max("state").over(known))
+
+    return by_kickoff(rows, keys, sums, config, name, answer)
 
 
 def team_form(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), venue: bool = False) -> DataFrame:
     """fixture_id, is_home, seen: each team's form, over all its fixtures or those at the same venue."""
     keys = ["league_id", "team", *(["is_home"] if venue else [])]
-    return rolling_as_of(appearances(fixtures).repartition(*keys), keys, form_sums(), config).select("fixture_id", "is_home", "kickoff", "seen")
+    return rolling_as_of(appearances(fixtures), keys, form_sums(), config).select("fixture_id", "is_home", "kickoff", "seen")
 
 
 def form_sums() -> dict[str, Column]:
@@ -128,7 +139,7 @@ def head_to_head(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), carry:
     lost = F.when(F.col("is_final"), points(F.col("away_goals"), F.col("home_goals")))
     rows = fixtures.withColumns({"low": F.least("home", "away"), "high": F.greatest("home", "away"), "of_low": F.when(first, won).otherwise(lost), "of_high": F.when(first, lost).otherwise(won)})
     keys = ["league_id", "low", "high"]
-    rows = roll(rows.repartition(*keys), keys, {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
+    rows = roll(rows, keys, {"of_low": F.col("of_low"), "of_high": F.col("of_high")}, config)
     mine = F.when(first, F.col("seen.of_low")).otherwise(F.col("seen.of_high"))
     return rows.select("fixture_id", *carry, mine.cast("double").alias("h2h_home_points_sum_5"), F.col("seen.last_kickoff").alias("last_meeting"))
 
@@ -171,29 +182,33 @@ def rolling_at(rows: DataFrame, keys: list[str], sums: dict[str, Column], config
     The distance to the kickoff then varies, so results and questions share a timeline: results at the time they are known,
     questions at their as-of time, questions first.
     """
-    events = rows.withColumn("event", F.explode(F.array(F.struct(F.lit(False).alias("ask"), (F.col("kickoff") + config.lag).alias("time")), F.struct(F.lit(True).alias("ask"), as_of_time(config, at).alias("time")))))
-    events = events.select(*rows.columns, "event.ask", "event.time").where("ask or is_final")
-    told = Window.partitionBy(*keys, "ask").orderBy("kickoff", "fixture_id").rowsBetween(1 - config.window, Window.currentRow)
-    state = F.struct(*(F.sum(c).over(told).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
-    events = events.withColumn("state", state).withColumn("state", F.when(~F.col("ask"), F.col("state")))
-    line = Window.partitionBy(*keys).orderBy("time", F.col("ask").desc(), "kickoff", "fixture_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn(name, F.last("state", ignorenulls=True).over(line)).where("ask").drop("ask", "time", "state")
+
+    def answer(few: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        events = few.withColumn("event", F.explode(F.array(F.struct(F.lit(False).alias("ask"), (F.col("kickoff") + config.lag).alias("time")), F.struct(F.lit(True).alias("ask"), as_of_time(config, at).alias("time")))))
+        events = events.select(*few.columns, "event.ask", "event.time").where("ask or is_final")
+        told = Window.partitionBy(*keys, "ask").orderBy("kickoff", "fixture_id").rowsBetween(1 - config.window, Window.currentRow)
+        state = F.struct(*(F.sum(c).over(told).alias(n) for n, c in sums.items()), F.col("kickoff").alias("last_kickoff"))
+        events = events.withColumn("state", state).withColumn("state", F.when(~F.col("ask"), F.col("state")))
+        line = Window.partitionBy(*keys).orderBy("time", F.col("ask").desc(), "kickoff", "fixture_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return events.withColumn(name, F.last("state", ignorenulls=True).over(line)).where("ask")
+
+    return by_kickoff(rows, keys, sums, config, name, answer)
 
 
 def form_at(fixtures: DataFrame, at: int, config: AsOfConfig = AsOfConfig()) -> DataFrame:
     """As :func:`team_form` at one prediction time."""
     keys = ["league_id", "team"]
-    return rolling_at(appearances(fixtures).repartition(*keys), keys, form_sums(), config, at=at).select("fixture_id", "is_home", "kickoff", "seen")
+    return rolling_at(appearances(fixtures), keys, form_sums(), config, at=at).select("fixture_id", "is_home", "kickoff", "seen")
 
 
 def snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), at: int | None = None) -> DataFrame:
     """fixture_id, kickoff, as_of, source_max, target, target_available and the features by name; target is null unless final.
 
-    ``at`` is one prediction time for all fixtures whose kickoff lies behind it. Form over all fixtures and by venue share one exchange by team and one grouping by fixture; the meetings carry the fixture along.
+    ``at`` is one prediction time for all fixtures whose kickoff lies behind it. Form over all fixtures and by venue share one grouping by fixture; the meetings carry the fixture along.
     """
     from touchline.operators.elo import elo_snapshots
 
-    teams = appearances(fixtures).repartition("league_id", "team")
+    teams = appearances(fixtures)
     roll = rolling_as_of if at is None else partial(rolling_at, at=at)
     both = roll(roll(teams, ["league_id", "team"], form_sums(), config), ["league_id", "team", "is_home"], form_sums(), config, "at_venue")
     form = by_side(both, form_columns() | rest_columns(config) | venue_columns("at_venue"), [F.max("seen.last_kickoff").alias("last_kickoff")])

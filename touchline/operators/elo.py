@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from touchline.operators.asof import AsOfConfig, as_of_time
 
 CARRY, ASK, APPLY = 0, 1, 2
+NO_SEASON = -1
 
 
 def timeline(fixtures: DataFrame, config: AsOfConfig, at: int | None = None) -> DataFrame:
@@ -35,18 +36,21 @@ def expected(home: float, away: float, advantage: float) -> float:
 
 def elo_snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), at: int | None = None) -> DataFrame:
     """fixture_id, elo_diff_home_adv: home rating and advantage less away rating, as known at the as-of time."""
-    last = (F.col("kind") == APPLY).cast("int")
-    order = [F.col("league_id"), F.col("time"), last, F.col("kickoff"), F.col("kind"), F.col("fixture_id")]
-    events = timeline(fixtures, config, at).repartition("league_id").sortWithinPartitions(*order)
-    actual = F.when(F.col("home_goals") > F.col("away_goals"), 1.0).when(F.col("home_goals") == F.col("away_goals"), 0.5).otherwise(0.0)
-    events = events.select("kind", "league_id", "season", "fixture_id", "home", "away", actual.alias("actual"))
+    # What is sorted is one task's for each league, so it is kept narrow: the kind shares a number with twice the home side's share of a result, or with the season of a carry.
+    twice = F.when(F.col("home_goals") > F.col("away_goals"), 2).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(0)
+    told = F.when(F.col("kind") == APPLY, twice).when(F.col("kind") == CARRY, F.coalesce("season", F.lit(NO_SEASON))).otherwise(0)
+    events = timeline(fixtures, config, at).select("league_id", "time", "kickoff", "fixture_id", "home", "away", (told.cast("long") * 4 + F.col("kind")).alias("what"))
+    kind = F.col("what").bitwiseAND(3)
+    order = [F.col("league_id"), F.col("time"), (kind == APPLY).cast("int"), F.col("kickoff"), kind, F.col("fixture_id")]
+    events = events.repartition("league_id").sortWithinPartitions(*order).select("what", "league_id", "fixture_id", "home", "away")
     base, advantage, k = config.elo_base, config.home_advantage, config.elo_k
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         league, season, ratings = None, None, {}
         for batch in batches:
             ids, values = [], []
-            for kind, of, year, fixture, h, a, actual in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for what, of, fixture, h, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind, value = what & 3, what >> 2
                 if of != league:
                     league, season, ratings = of, None, {}
                 if kind == ASK:
@@ -54,9 +58,10 @@ def elo_snapshots(fixtures: DataFrame, config: AsOfConfig = AsOfConfig(), at: in
                     values.append(round(ratings.get(h, base) + advantage - ratings.get(a, base), 8))
                 elif kind == APPLY:
                     home, away = ratings.get(h, base), ratings.get(a, base)
-                    change = k * (actual - expected(home, away, advantage))
+                    change = k * (value / 2 - expected(home, away, advantage))
                     ratings[h], ratings[a] = home + change, away - change
                 else:
+                    year = None if value == NO_SEASON else value
                     if season is not None and year < season:
                         raise ValueError(f"season {year} after {season} in league {league}")
                     if season is not None and year > season:
