@@ -609,3 +609,20 @@ def test_as_of_windows_run_over_few_rows_a_kickoff(spark):
             mine = [(r[6], r[7]) if r[4] == team else (r[7], r[6]) for *_, r in known]
             want = (sum(3 if a > b else int(a == b) for a, b in mine), sum(a for a, _ in mine), known[-1][0]) if known else None
             assert got[fixture, is_home] == want
+
+
+def test_leaderboards_score_each_row_once(spark):
+    """Sums and counts of weeks each scored all rows anew, and every metric was a row of its own."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    rows = [("a", i, 2000 + i % 2, f"w{i % 7}", i % 3, [0.5, 0.3, 0.2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "model_id string, key long, season int, block string, target int, p array<double>")
+    scored = scoring.score(df).withColumn("brier", seen.asNondeterministic()("brier"))
+    board = scoring.season_leaderboard(scored).collect()
+    assert calls.value == 60
+    assert {(r.season, r.overall, r.n, r.week_count) for r in board} == {(None, 1, 60, 7), (2000, 0, 30, 7), (2001, 0, 30, 7)}

@@ -18,27 +18,60 @@ BIN, BELOW, LOWER = 32, 54, 44
 LOWEST_BIN = -34
 #: Stands for the bin of values that are not finite.
 NOT_FINITE = 1 << 20
+#: Bits of the pieces that are added as longs: some 2^33 rows of a group can be.
+LIMB = 30
 
 
-def exact_parts(x: Column) -> Column:
-    """bin, high, low: x is (high * 2^LOWER + low) * 2^(BIN * bin - BELOW), exactly; both parts are longs below 2^45."""
+def _bin(x: Column) -> Column:
     size = F.abs(x)
     whole = size < float("inf")
     # An exponent that the logarithm gets wrong by one is no harm: there is room for it on either side.
-    at = F.when(whole & (size > 0), F.floor(F.log2(size) / BIN)).when(whole, F.lit(0)).otherwise(F.lit(NOT_FINITE)).cast("int")
+    return F.when(whole & (size > 0), F.floor(F.log2(size) / BIN)).when(whole, F.lit(0)).otherwise(F.lit(NOT_FINITE)).cast("int")
+
+
+def _unit(x: Column, at: Column) -> Column:
+    """x in units of its bin: powers of two are exact, and two of them in turn neither overflow nor lose a bit."""
     shift = BELOW - BIN * at
     first = F.floor(shift / 2)
-    # Powers of two are exact, and two of them in turn neither overflow nor lose a bit.
-    unit = F.when(whole, x * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), shift - first)).otherwise(F.lit(0.0))
-    high = F.floor(unit / float(1 << LOWER))
-    return F.struct(at.alias("bin"), high.alias("high"), (unit - high.cast("double") * float(1 << LOWER)).cast("long").alias("low"))
+    return F.when(at != NOT_FINITE, x * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), shift - first)).otherwise(F.lit(0.0))
+
+
+def _high(unit: Column) -> Column:
+    return F.floor(unit / float(1 << LOWER))
+
+
+def _low(unit: Column, high: Column) -> Column:
+    return (unit - high.cast("double") * float(1 << LOWER)).cast("long")
+
+
+def exact_parts(x: Column) -> Column:
+    """bin, high, low: x is (high * 2^LOWER + low) * 2^(BIN * bin - BELOW), exactly; both parts are longs below 2^45."""
+    at = _bin(x)
+    unit = _unit(x, at)
+    high = _high(unit)
+    return F.struct(at.alias("bin"), high.alias("high"), _low(unit, high).alias("low"))
 
 
 def bin_sums(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """keys, name, bin, high, low, n: exact sums of the parts of all values that are not null."""
-    each = F.array(*(F.struct(F.lit(name).alias("name"), exact_parts(x.cast("double")).alias("x"), x.isNotNull().alias("there")) for name, x in values.items()))
-    long = rows.select(*keys, F.explode(each).alias("v")).where("v.there").select(*keys, "v.name", "v.x.*")
-    return add_bins(long.withColumn("n", F.lit(1).cast("long")), [*keys, "name", "bin"])
+    """keys, name, bin, high, low, n: exact sums of the parts of all values that are not null.
+
+    Each row adds to one group, that of its keys and of its values' bins, and every step reads columns of the one before, so that nothing is worked out twice. Parts are cut into limbs, which add up as longs.
+    """
+    names = list(values)
+    each = lambda make: {f"{c}_{i}": x for i in range(len(names)) for c, x in make(i).items()}
+    of = lambda c, i: F.col(f"__{c}_{i}")
+    bits = F.lit((1 << LIMB) - 1).cast("long")
+    parts = rows.select(*keys, *(x.cast("double").alias(f"__x_{i}") for i, x in enumerate(values.values())))
+    parts = parts.withColumns(each(lambda i: {"__bin": _bin(of("x", i))}))
+    parts = parts.withColumns(each(lambda i: {"__unit": _unit(of("x", i), of("bin", i))}))
+    parts = parts.withColumns(each(lambda i: {"__high": _high(of("unit", i))}))
+    parts = parts.withColumns(each(lambda i: {"__low": _low(of("unit", i), of("high", i))}))
+    limbs = {"h1": lambda i: F.shiftright(of("high", i), LIMB), "h0": lambda i: of("high", i).bitwiseAND(bits), "l1": lambda i: F.shiftright(of("low", i), LIMB), "l0": lambda i: of("low", i).bitwiseAND(bits)}
+    sums = [c for i in range(len(names)) for c in (*(F.sum(x(i)).alias(f"__{n}_{i}") for n, x in limbs.items()), F.count(of("x", i)).alias(f"__n_{i}"))]
+    held = parts.groupBy(*keys, *(f"__bin_{i}" for i in range(len(names)))).agg(*sums)
+    whole = lambda c, i: (of(f"{c}1", i).cast("decimal(38,0)") * F.lit(1 << LIMB) + of(f"{c}0", i)).cast("decimal(38,0)")
+    table = F.array(*(F.struct(F.lit(name).alias("name"), of("bin", i).alias("bin"), whole("h", i).alias("high"), whole("l", i).alias("low"), of("n", i).alias("n")) for i, name in enumerate(names)))
+    return add_bins(held.select(*keys, F.explode(table).alias("v")).where("v.n > 0").select(*keys, "v.*"), [*keys, "name", "bin"])
 
 
 def add_bins(parts: DataFrame, keys: list[str]) -> DataFrame:

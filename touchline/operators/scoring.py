@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import exact
 from touchline.functions import probability as P
+from touchline.session import checkpointed
 
 METRICS = {"brier": "brier", "log_loss": "log_loss", "rps": "rps", "hit_rate": "fractional_hit"}
 
@@ -34,8 +35,8 @@ def season_leaderboard(scored: DataFrame) -> DataFrame:
 
 
 def _bins(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact partial sums by keys and block: a few rows for each model, season and week."""
-    return exact.bin_sums(scored, [*keys, "block"], {n: F.col(c) for n, c in METRICS.items()})
+    """Exact partial sums by keys and block: a few rows for each model, season and week. They are stored, as sums and counts of weeks both read them."""
+    return checkpointed(exact.bin_sums(scored, [*keys, "block"], {n: F.col(c) for n, c in METRICS.items()}))
 
 
 def _board(bins: DataFrame, keys: list[str]) -> DataFrame:
