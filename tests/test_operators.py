@@ -626,3 +626,10 @@ def test_leaderboards_score_each_row_once(spark):
     board = scoring.season_leaderboard(scored).collect()
     assert calls.value == 60
     assert {(r.season, r.overall, r.n, r.week_count) for r in board} == {(None, 1, 60, 7), (2000, 0, 30, 7), (2001, 0, 30, 7)}
+
+
+def test_record_union_sums_its_boards_once(spark, monkeypatch):
+    calls, make = [], scoring._bins
+    monkeypatch.setattr(scoring, "_bins", lambda *a: calls.append(a) or make(*a))
+    assert {r.record_type for r in catalog.record_union(spark, "/root/testdata/sf0.001").collect()} == {"model", "season", "reliability", "difference"}
+    assert len(calls) == 1

@@ -468,7 +468,8 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    parts = {"model": scoring.leaderboard(s), "season": scoring.season_leaderboard(s).where("overall = 0"), "reliability": scoring.reliability(s), "difference": scoring.paired_blocks(s, "proportional", "brier").groupBy("model_id").agg((F.sum("diff") / F.sum("n")).alias("point"))}
+    boards = scoring.season_leaderboard(s)
+    parts = {"model": boards.where("overall = 1").drop("season", "overall"), "season": boards.where("overall = 0"), "reliability": scoring.reliability(s), "difference": scoring.paired_blocks(s, "proportional", "brier").groupBy("model_id").agg((F.sum("diff") / F.sum("n")).alias("point"))}
     records = publish.record_union(parts)
     return records.groupBy("record_type").agg(F.count("*").alias("n"), F.countDistinct("model_id").alias("model_count"), F.count("season").alias("with_season"), F.count("point").alias("with_point"))
 
