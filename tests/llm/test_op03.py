@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchline.llm import op03_maxent as op
@@ -185,6 +186,19 @@ def test_probabilities_sum_to_one():
     assert math.isclose(known.mean() + model.within(np.zeros(1, int), np.zeros(1, int))[0], 1)
 
 
+def test_tokens_are_those_of_bytes_split_at_ascii_space():
+    odd = [None, b"", b" ", b"\n\t x\x0b\x0cY \r", b"\xff\xfe A\xc3\x84 \x85b\xa0c", b"a", b"\x1c\x1d a\x00b", b"A a A"]
+    whole = pa.array([b"before", *odd], pa.binary())
+    for texts in (odd, odd[:1], odd[1:3], [], whole.slice(1), pa.chunked_array([whole.slice(1, 3), whole.slice(4)])):
+        words = op.Words()
+        tokens, starts = op.tokens_of(texts, words)
+        known, texts = list(words), texts if isinstance(texts, list) else texts.to_pylist()
+        want = [[*(t or b"").lower().split(), op.END] for t in texts]
+        assert [known[i] for i in tokens] == [w for ws in want for w in ws]
+        assert starts.tolist() == [sum(map(len, want[:i])) for i in range(len(want))]
+        assert sorted(known) == sorted({op.END, *(w for ws in want for w in ws)}) and known[words[op.END]] == op.END
+
+
 def test_feature_rows_stay_within_texts():
     words = op.Words()
     tokens, starts = op.tokens_of([b"a b c", b"d e", None, b"a b c"], words)

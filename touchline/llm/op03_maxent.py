@@ -24,12 +24,12 @@ rows all words are unknown. An empty table gives no rows. Columns besides ``doc_
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh32_intdigest
@@ -49,7 +49,7 @@ EMPTY = -30.0
 ROUNDS, SHARES, STEP = 4, 4, 0.35
 BLOCK_BYTES = 6 << 20
 PASS = 1 << 14
-#: Tokens whose class weights are held at once when scoring: they fit into a core's cache.
+#: Tokens whose weights are held at once: they fit into a core's cache.
 NEAR = 1 << 12
 #: Cells of the table that are summed apart, and the most sums that one group adds up.
 CHUNK_CELLS, FAN_IN = 1 << 16, 64
@@ -79,23 +79,44 @@ class Initials(dict):
 _INITIALS = Initials()
 
 
-class Words(defaultdict):
-    """Word -> its number, in the order in which they came."""
+class Words:
+    """The distinct words of some texts by their numbers; the first is the end of a text."""
 
     def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
-
-
-def tokens_of(texts: list[bytes | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, each with its end; and where each text starts."""
-    flat: list[int] = []
-    starts = []
-    for text in texts:
-        starts.append(len(flat))
-        flat.extend(map(words.__getitem__, (text or b"").lower().split()))
-        flat.append(words[END])
-    return np.array(flat, np.int64), np.array(starts, np.int64)
+        self.known = [END]
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def __iter__(self) -> Iterator[bytes]:
+        return iter(self.known)
+
+    def __getitem__(self, word: bytes) -> int:
+        return self.known.index(word)
+
+
+def tokens_of(texts: pa.Array | pa.ChunkedArray | list[bytes | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts, each with its end; and where each text starts. ``words`` is new and gets the texts' words."""
+    chunks = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())]
+    whole = pa.concat_arrays([pa.array([], pa.large_binary()), *(pc.fill_null(c.cast(pa.large_binary()), b"") for c in chunks)])  # a copy, so that it starts at 0
+    n = len(whole)
+    # The functions go by bytes, so it does not matter whether these are valid UTF-8.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.large_string(), n, whole.buffers())))
+    found = split.flatten().dictionary_encode()
+    known = found.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    flat, edges = found.indices.to_numpy().astype(np.int64) + 1, split.offsets.to_numpy()
+    if b"" in known:  # before the first white space of a text and after the last
+        empty = known.index(b"")
+        del known[empty]
+        some = flat != empty + 1
+        edges = np.append(0, np.cumsum(some))[edges]
+        flat = flat[some]
+        flat -= flat > empty
+    words.known += known
+    place = np.arange(n + 1)
+    tokens = np.zeros(len(flat) + n, np.int64)
+    tokens[np.arange(len(flat)) + np.repeat(place[:-1], np.diff(edges))] = flat
+    return tokens, (edges + place)[:-1].astype(np.int64)
 
 
 def part_of(word_hashes: np.ndarray) -> np.ndarray:
@@ -236,6 +257,15 @@ def runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def near(probabilities: Callable[..., np.ndarray], *by_token: np.ndarray) -> np.ndarray:
+    """Probabilities of all tokens, the last axis of each argument, worked out for NEAR of them at a time."""
+    n = by_token[0].shape[-1]
+    out = np.empty((n, CLASSES))
+    for at in range(0, n, NEAR):
+        out[at : at + NEAR] = probabilities(*(x[..., at : at + NEAR] for x in by_token))
+    return out
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"), TEST_REMAINDER))
 
@@ -245,7 +275,7 @@ def word_totals(blocked: DataFrame) -> DataFrame:
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         words = Words()
-        tokens, starts = tokens_of(group.column("text").to_pylist(), words)
+        tokens, starts = tokens_of(group.column("text"), words)
         trains = np.repeat(group.column("trains").to_numpy(), np.diff(np.append(starts, len(tokens))))
         own = traits(words, {})
         return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "w": own.hashes, "leaf": own.leaves.astype(np.int32), "n": np.bincount(tokens, trains, len(words)).astype(np.int64)})
@@ -304,21 +334,21 @@ def feature_counts(docs: DataFrame, heads: dict[int, int], model: Model | None =
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 words = Words()
-                tokens, starts = tokens_of(batch.column(0).slice(at, 64).to_pylist(), words)
+                tokens, starts = tokens_of(batch.column(0).slice(at, 64), words)
                 own = traits(words, heads)
                 all_rows, all_parts = feature_rows(tokens, starts, own, words[END], hashed)
                 leaves = own.leaves[tokens]
                 some = True
                 for first in range(0, len(tokens), PASS):
                     rows, (classes, place) = all_rows[:, first : first + PASS], np.divmod(leaves[first : first + PASS], PARTS)
-                    p = model.class_probabilities(rows).astype(float) if model else None
+                    p = near(model.class_probabilities, rows) if model else None
                     add(sums, rows, edges, classes, p)
                     sums[0, total] += np.bincount(classes, minlength=CLASSES)
                     if model:
                         sums[1, total] += p.sum(axis=0)
                     more = np.flatnonzero(classes > HEADS)
                     own_rows = np.concatenate([classes[None, more], all_parts[:, first : first + PASS][:, more]])
-                    q = model.part_probabilities(own_rows[1:], classes[more]).astype(float) if model else None
+                    q = near(model.part_probabilities, own_rows[1:], classes[more]) if model else None
                     add(sums[:, total + 1 :], own_rows, part_edges, place[more], q)
         if some:
             source = TaskContext.get().partitionId()
@@ -393,7 +423,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         model, words = shared.value, Words()
-        tokens, starts = tokens_of(group.column("text").to_pylist(), words)
+        tokens, starts = tokens_of(group.column("text"), words)
         own = traits(words, model.heads)
         # What only this block has was not sent back: its own training tokens are all there are.
         trains = np.repeat(group.column("trains").to_numpy(), np.diff(np.append(starts, len(tokens))))
