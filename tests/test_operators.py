@@ -707,3 +707,46 @@ def test_record_union_sums_its_boards_once(spark, monkeypatch):
     monkeypatch.setattr(scoring, "_bins", lambda *a: calls.append(a) or make(*a))
     assert {r.record_type for r in catalog.record_union(spark, "/root/testdata/sf0.001").collect()} == {"model", "season", "reliability", "difference"}
     assert len(calls) == 1
+
+
+def test_shares_of_goals_and_prices_are_worked_out_once(spark, monkeypatch):
+    """Every fixture had its own sums over scores, and its own search for the insider share."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def seen(*_):
+        calls.add(1)
+        return [0.5, 0.3, 0.2]
+
+    fx = spark.createDataFrame(goals_league(600, seed=8), FIXTURE)
+    pairs = fx.select("home", "away").distinct().count()
+    model = models.fit_goals(models.pair_statistics(fx).collect())
+    want = {r.fixture_id: r.p for r in models.goal_rates(fx, model).select("fixture_id", P.poisson_outcomes(F.col("home_rate"), F.col("away_rate"), F.lit(-0.05)).alias("p")).collect()}
+    assert {r.fixture_id: r.p for r in models.goal_probabilities(fx, model, -0.05).collect()} == want
+    monkeypatch.setattr(models, "poisson_outcomes", lambda home, away, rho=None: seen.asNondeterministic()(home, away))
+    assert models.poisson_probabilities(fx, fx).count() == 600 and len(models.poisson_probabilities(fx, fx).collect()) == 600
+    assert 0 < calls.value <= 2 * pairs < 600
+    calls.value = 0
+    monkeypatch.setattr(systems.P, "shin", lambda odds: seen.asNondeterministic()(odds))
+    market = fx.select("fixture_id", F.array(F.lit(2.0), 3.0 + F.col("home") % 2, F.lit(3.9)).alias("odds"))
+    assert len(market.join(systems.shin_shares(market), "odds").collect()) == 600 and calls.value == 2
+
+
+def test_logits_of_all_seasons_share_their_passes(spark, monkeypatch):
+    """Every season's logit read its rows anew for each Newton step."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, (800, 2))
+    y = np.argmax(np.stack([x[:, 0], x[:, 1], 0 * x[:, 0]], 1) + rng.gumbel(size=(800, 3)), axis=1)
+    rows = [(i, 2000 + i // 200, int(t), None if i % 9 == 0 else float(a), float(b)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "fixture_id long, season int, target int, a double, b double")
+    calls, make = [], models._logit_sums
+    monkeypatch.setattr(models, "_logit_sums", lambda *a: calls.append(a) or make(*a))
+    got = models.logits_by_season(df, [2001, 2002, 2003], ["a", "b"])
+    passes = len(calls)
+    for season, found in zip((2001, 2002, 2003), got, strict=True):
+        want = {r.fixture_id: r.p for r in models.logit_probabilities(df.where(F.col("season") < season), df.where(F.col("season") == season), ["a", "b"]).collect()}
+        found = {r.fixture_id: r.p for r in found.collect()}
+        assert found.keys() == want.keys() and len(found) == 200 and all(np.allclose(found[k], want[k], atol=1e-7) for k in want)
+    assert passes < 2 / 3 * (len(calls) - passes)
+    with pytest.raises(ValueError):
+        models.logits_by_season(df, [2000], ["a", "b"])

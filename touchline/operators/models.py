@@ -50,67 +50,92 @@ def scaled(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> Data
 FAN_IN, NEWTON_STEPS = 64, 50
 
 
-def _logit_sums(rows: DataFrame, features: list[str], weights: np.ndarray) -> np.ndarray:
-    """Loss, gradient and Hessian of the multinomial loss over all rows: each partition sums its own, FAN_IN groups sum the partitions'."""
+Scale = dict[str, tuple[float, float, float]]
+
+
+def _logit_sums(rows: DataFrame, features: list[str], scales: dict[int, Scale], weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """season -> loss, gradient and Hessian of the multinomial loss over all rows of earlier seasons, scaled as the season's are; one pass over ``rows`` for all ``weights``.
+
+    Each partition sums its own, FAN_IN groups sum the partitions'.
+    """
+    width = len(features) + 1
+    scaling = {s: np.array([scales[s][c] for c in features]).T for s in weights}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        width = len(features) + 1
-        total = np.zeros(1 + 3 * width + 9 * width * width)
+        totals = {s: np.zeros(1 + 3 * width + 9 * width * width) for s in weights}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(features)))], 1)
-            y = np.eye(3)[batch.column(len(features)).to_numpy(zero_copy_only=False).astype(int)]
-            z = x @ weights.T
-            z -= z.max(axis=1, keepdims=True)
-            log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-            p = np.exp(log_p)
-            total[0] -= (y * log_p).sum()
-            total[1 : 1 + 3 * width] += ((p - y).T @ x).ravel()
-            blocks = [[(x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x for j in range(3)] for i in range(3)]
-            total[1 + 3 * width :] += np.block(blocks).ravel()
+            season, target = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            values = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(features))], 1)
+            for s, total in totals.items():
+                own = season < s
+                if not own.any():
+                    continue
+                median, mean, deviation = scaling[s]
+                x, y = values[own], np.eye(3)[target[own].astype(int)]
+                x = np.hstack([np.ones((len(x), 1)), (np.where(np.isnan(x), median, x) - mean) / deviation])
+                z = x @ weights[s].T
+                z -= z.max(axis=1, keepdims=True)
+                log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+                p = np.exp(log_p)
+                total[0] -= (y * log_p).sum()
+                total[1 : 1 + 3 * width] += ((p - y).T @ x).ravel()
+                blocks = [[(x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x for j in range(3)] for i in range(3)]
+                total[1 + 3 * width :] += np.block(blocks).ravel()
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part % FAN_IN], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([part % FAN_IN] * len(totals), pa.int32()), pa.array(list(totals), pa.int32()), pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], names=["part", "season", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.sum(group.column("sums").to_pylist(), axis=0)
-        return pa.table({"part": group.column("part")[:1], "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+        return pa.table({"season": group.column("season")[:1], "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    parts = rows.select(*features, "target").mapInArrow(run, "part int, sums array<double>").groupBy("part").applyInArrow(add, "part int, sums array<double>")
-    return np.sum([r.sums for r in parts.collect()], axis=0)  # FAN_IN rows at most
+    parts = rows.select(F.col("season").cast("int"), "target", *(F.col(c).cast("double") for c in features)).mapInArrow(run, "part int, season int, sums array<double>")
+    found = parts.groupBy("part", "season").applyInArrow(add, "season int, sums array<double>").collect()  # FAN_IN rows a season at most
+    return {s: np.sum([r.sums for r in found if r.season == s], axis=0) for s in weights}
 
 
-def fit_logit(rows: DataFrame, features: list[str], c: float = 1.0, tolerance: float = 1e-9) -> np.ndarray:
-    """(3, features + 1) weights, intercepts first, of the logit that minimises the loss plus half the squared weights over ``c``, by Newton steps."""
+def fit_logits(rows: DataFrame, features: list[str], scales: dict[int, Scale], c: float = 1.0, tolerance: float = 1e-9) -> dict[int, np.ndarray]:
+    """season -> (3, features + 1) weights, intercepts first, of the logit that minimises the loss of the earlier seasons' ``rows``, scaled by the season's ``scales``,
+    plus half the squared weights over ``c``. The seasons take their Newton steps together: each is one pass over the rows."""
     width = len(features) + 1
-    weights = np.zeros((3, width))
     penalty = np.tile(np.append(0.0, np.full(width - 1, 1 / c)), 3)
     # The loss does not change with a common shift of the intercepts; curvature along it alone keeps the steps from using it.
     shift = np.tile(np.append(1.0, np.zeros(width - 1)), 3)
 
-    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        sums = _logit_sums(rows, features, w)
-        return sums[0] + 0.5 * (penalty * w.ravel() ** 2).sum(), sums[1 : 1 + 3 * width] + penalty * w.ravel(), sums[1 + 3 * width :].reshape(3 * width, -1) + np.diag(penalty) + np.outer(shift, shift)
+    def at(asked: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        sums = _logit_sums(rows, features, scales, asked)
+        penalised = lambda w, t: (t[0] + 0.5 * (penalty * w.ravel() ** 2).sum(), t[1 : 1 + 3 * width] + penalty * w.ravel(), t[1 + 3 * width :].reshape(3 * width, -1) + np.diag(penalty) + np.outer(shift, shift))
+        return {s: penalised(w, sums[s]) for s, w in asked.items()}
 
-    loss, gradient, hessian = at(weights)
+    weights, done = {s: np.zeros((3, width)) for s in scales}, {}
+    state = at(weights)
     for _ in range(NEWTON_STEPS):
-        delta = np.linalg.solve(hessian, gradient).reshape(3, width)
+        delta = {s: np.linalg.solve(state[s][2], state[s][1]).reshape(3, width) for s in weights if s not in done}
+        moved: dict[int, np.ndarray] = {}
         for half in range(21):
-            trial = weights - delta / 2**half
-            found = at(trial)
-            if found[0] <= loss + 1e-9 * abs(loss):
+            trial = {s: weights[s] - d / 2**half for s, d in delta.items() if s not in moved}
+            for s, found in at(trial).items():
+                if found[0] <= state[s][0] + 1e-9 * abs(state[s][0]):
+                    moved[s], state[s] = trial[s], found
+            if len(moved) == len(delta):
                 break
         else:
             raise ValueError("no step lowers the loss")
-        moved = np.abs(trial - weights).max()
-        weights, (loss, gradient, hessian) = trial, found
-        if moved <= tolerance:
-            return weights
+        for s, new in moved.items():
+            small, weights[s] = np.abs(new - weights[s]).max() <= tolerance, new
+            if small:
+                done[s] = new
+        if len(done) == len(weights):
+            return done
     raise ValueError("the logit did not converge")
 
 
+def fit_logit(rows: DataFrame, features: list[str], c: float = 1.0, tolerance: float = 1e-9) -> np.ndarray:
+    """The weights of :func:`fit_logits` for all ``rows``, which are scaled already."""
+    return fit_logits(rows.withColumn("season", F.lit(0)), features, {1: dict.fromkeys(features, (0.0, 0.0, 1.0))}, c, tolerance)[1]
+
+
 def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str], c: float = 1.0) -> DataFrame:
     """``test`` with p, from a multinomial logit with an L2 penalty fitted to ``train`` (column target of 0, 1, 2)."""
     train = train.select("target", *features).persist()  # read for medians, for deviations and by the solver
@@ -121,6 +146,20 @@ def logit_probabilities(train: DataFrame, test: DataFrame, features: list[str],
     weights = fit_logit(rows, features, c)
     rows.unpersist()
     train.unpersist()
+    return _logit_shares(test, features, fitted, weights)
+
+
+def logits_by_season(rows: DataFrame, seasons: list[int], features: list[str], scales: dict[int, Scale] | None = None, c: float = 1.0) -> list[DataFrame]:
+    """The rows of each season with p, as :func:`logit_probabilities` from all earlier seasons' ones. ``rows`` are read some ten times, whatever the number of seasons."""
+    outcomes = rows.select("season", "target").distinct().collect()  # three rows a season
+    if any(len({r.target for r in outcomes if r.season < s}) != 3 for s in seasons):
+        raise ValueError("training rows must have all three outcomes")
+    scales = scales or {s: imputation(rows.where(F.col("season") < s), features) for s in seasons}
+    weights = fit_logits(rows, features, {s: scales[s] for s in seasons}, c)
+    return [_logit_shares(rows.where(F.col("season") == s), features, {f: scales[s][f] for f in features}, weights[s]) for s in seasons]
+
+
+def _logit_shares(test: DataFrame, features: list[str], fitted: Scale, weights: np.ndarray) -> DataFrame:
     value = {f: (F.coalesce(F.col(f).cast("double"), F.lit(median)) - mean) / deviation for f, (median, mean, deviation) in fitted.items()}
     logits = [reduce(lambda a, x: a + x, [F.lit(float(w[0])), *(F.lit(float(k)) * value[f] for k, f in zip(w[1:], features, strict=True))]) for w in weights]
     # Logits first, then shares: each is worked out once a row.
@@ -265,8 +304,16 @@ def poisson_probabilities(train: DataFrame, test: DataFrame, with_shift: bool =
         model, value, _ = fitted_goals(done)
     else:
         model = fit_goals(pair_statistics(done).collect())  # teams squared rows at most
-    rho = F.lit(value) if with_shift else None
-    return goal_rates(test, model).select(*test.columns, poisson_outcomes(F.col("home_rate"), F.col("away_rate"), rho).alias("p"))
+    return goal_probabilities(test, model, value if with_shift else None)
+
+
+def goal_probabilities(test: DataFrame, model: GoalModel, rho: float | None = None) -> DataFrame:
+    """``test`` with p from the model's goal rates, worked out once for each distinct pair of rates."""
+    rated = goal_rates(test, model)
+    pairs = rated.select("home_rate", "away_rate").distinct()
+    pairs = pairs.withColumn("p", poisson_outcomes(F.col("home_rate"), F.col("away_rate"), None if rho is None else F.lit(rho)))
+    few = (len(model.teams) + 1) ** 2 <= MOST_TEAMS  # a pair of teams has one pair of rates, and teams that the model lacks are alike
+    return rated.join(F.broadcast(pairs) if few else pairs, ["home_rate", "away_rate"]).select(*test.columns, "p")
 
 
 # ---- isotonic

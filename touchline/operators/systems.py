@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
 from touchline.operators import asof, bootstrap, gbdt, models, scoring
+from touchline.session import FITS, checkpointed, started
 
 #: Systems in the order that breaks ties; whether they use past results only (and so compete for history rank); and what each one is:
 #: label, category, what it knows, how it predicts, when it is fitted.
@@ -61,28 +63,46 @@ def predict_all(fixtures: DataFrame, odds: DataFrame, seasons: list[int], config
     Every fitted system is fitted anew for each season on all earlier ones; boosted predictions of earlier seasons, each made without
     its own season, calibrate the later ones. ``odds``: fixture_id, odds.
     """
-    snaps = asof.snapshots(fixtures).cache()
+    known = asof.snapshots(fixtures).where("target is not null").persist()
+    known.count()  # fits that run side by side would each work it out
     prior = asof.outcome_prior(fixtures)
     done = fixtures.where("is_final")
     wanted = done.where(F.col("season").isin(seasons)).select("fixture_id", "season")
     third = F.array(*[F.lit(1 / 3)] * 3)
-    parts = [wanted.select(F.lit("uniform").alias("model_id"), "fixture_id", "season", third.alias("p")), wanted.join(prior, "fixture_id").select(F.lit("prior").alias("model_id"), "fixture_id", "season", F.coalesce("p", third).alias("p"))]
+    name = lambda n, p="p": (F.lit(n).alias("model_id"), "fixture_id", "season", (F.col(p) if isinstance(p, str) else p).alias("p"))
+    parts = [wanted.select(*name("uniform", third)), wanted.join(prior, "fixture_id").select(*name("prior", F.coalesce("p", third)))]
     market = wanted.join(odds, "fixture_id")
-    parts += [market.select(F.lit("market_proportional").alias("model_id"), "fixture_id", "season", P.proportional(F.col("odds")).alias("p")), market.select(F.lit("market_shin").alias("model_id"), "fixture_id", "season", P.shin(F.col("odds")).alias("p"))]
-    known = snaps.where("target is not null")
+    parts += [market.select(*name("market_proportional", P.proportional(F.col("odds")))), market.join(shin_shares(market), "odds").select(*name("market_shin"))]
     every = sorted(r.season for r in done.select("season").distinct().collect())  # seasons are few
     folds = fixtures.sparkSession.createDataFrame([(i, s) for i, s in enumerate(every) if i >= least_earlier], "fold int, season int")
-    boosted = gbdt.fold_probabilities(known, folds, asof.FEATURES, config).join(known.select("fixture_id", "season", "target"), "fixture_id").cache()
-    for season in seasons:
-        train, test = known.where(F.col("season") < season), known.where(F.col("season") == season)
-        name = lambda n: (F.lit(n).alias("model_id"), "fixture_id", "season", "p")
-        parts.append(models.logit_probabilities(train, test, ["elo_diff_home_adv"]).select(*name("elo_logit")))
-        parts.append(models.logit_probabilities(train, test, asof.FEATURES).select(*name("feature_logit")))
-        past, now = done.where(F.col("season") < season), done.where(F.col("season") == season)
-        parts.append(models.poisson_probabilities(past, now).select(*name("poisson")))
-        parts.append(models.poisson_probabilities(past, now, with_shift=True).select(*name("dixon_coles")))
+
+    def logits(model: str) -> list[DataFrame]:
+        scales = {s: fit.result() for s, fit in scaling.items()}
+        return [rows.select(*name(model)) for rows in models.logits_by_season(known, seasons, INPUTS[model], scales)]
+
+    def scale(season: int) -> models.Scale:
+        return models.imputation(known.where(F.col("season") < season), asof.FEATURES)
+
+    def goals(season: int) -> list[DataFrame]:
+        model, rho, _ = models.fitted_goals(done.where(F.col("season") < season))
+        now = done.where(F.col("season") == season)
+        return [models.goal_probabilities(now, model).select(*name("poisson")), models.goal_probabilities(now, model, rho).select(*name("dixon_coles"))]
+
+    def trees(season: int) -> list[DataFrame]:
         own = boosted.where(F.col("season") == season)
         curves = models.fit_isotonic(boosted.where(F.col("season") < season))
-        parts.append(own.select(*name("boosted_raw")))
-        parts.append(own.select(F.lit("boosted_isotonic").alias("model_id"), "fixture_id", "season", models.calibrate(F.col("p"), curves).alias("p")))
+        return [own.select(*name("boosted_raw")), own.select(*name("boosted_isotonic", models.calibrate(F.col("p"), curves)))]
+
+    with ThreadPoolExecutor(FITS) as pool:
+        start = partial(started, pool, fixtures.sparkSession)
+        scaling = {s: start(scale, s) for s in seasons}
+        fits = [start(logits, model) for model in ("elo_logit", "feature_logit")] + [start(goals, s) for s in seasons]
+        boosted = checkpointed(gbdt.fold_probabilities(known, folds, asof.FEATURES, config, ["season", "target"]))
+        fits += [start(trees, s) for s in seasons]
+        parts += [part for fit in fits for part in fit.result()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def shin_shares(market: DataFrame) -> DataFrame:
+    """odds, p: prices are solved once for each distinct triple."""
+    return market.select("odds").distinct().withColumn("p", P.shin(F.col("odds")))

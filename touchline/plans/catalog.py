@@ -300,7 +300,7 @@ def _seasons(rows: DataFrame, earlier: int = 1, matches: int = 0) -> list[int]:
 def logit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every season that has an earlier one, predicted from all earlier ones."""
     snaps = asof.snapshots(source.from_orders(spark, sf_dir)).where("target is not null").persist()  # read by every season's fit
-    parts = [models.logit_probabilities(snaps.where(F.col("season") < s), snaps.where(F.col("season") == s), asof.FEATURES) for s in _seasons(snaps)]
+    parts = models.logits_by_season(snaps, _seasons(snaps), asof.FEATURES)
     return reduce(DataFrame.unionByName, parts).select("fixture_id", *_triple())
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +26,15 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: Fits whose jobs run side by side: each has many short ones.
+FITS = 4
+
+
+def started(pool: ThreadPoolExecutor, spark: SparkSession, fit: Callable, *of) -> Future:
+    """``fit(*of)`` in a thread of ``pool``, with the properties of this thread's jobs."""
+    return pool.submit(inheritable_thread_target(spark)(fit), *of)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; one of its own only on a local master that names none."""
     context = spark.sparkContext
