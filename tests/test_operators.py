@@ -750,3 +750,39 @@ def test_logits_of_all_seasons_share_their_passes(spark, monkeypatch):
     assert passes < 2 / 3 * (len(calls) - passes)
     with pytest.raises(ValueError):
         models.logits_by_season(df, [2000], ["a", "b"])
+
+
+def test_rows_alike_are_grown_and_scored_as_one(spark, monkeypatch):
+    """Growing and scoring took every row by itself, though rows of one pair of teams and kickoff have the same features."""
+    rng = np.random.default_rng(22)
+    bins, counts = rng.integers(0, 9, (300, 3)), rng.integers(0, 4, (300, 3))
+    bins, counts = bins[counts.sum(axis=1) > 0], counts[counts.sum(axis=1) > 0]
+    single = np.repeat(bins, counts.sum(axis=1), axis=0)
+    y = np.concatenate([np.repeat([0, 1, 2], n) for n in counts])
+    c = gbdt.BoostConfig(rounds=8, rate=0.2, row_share=1.0, column_share=1.0, leaves=6)
+    (base, trees), (want, plain) = gbdt.boost(bins, counts, c), gbdt.boost(single, y, c)
+    assert np.allclose(base, want)
+    assert all(np.allclose(gbdt.leaf_values(a, single), gbdt.leaf_values(b, single), atol=1e-5) for a, b in zip(trees, plain, strict=True))
+    many = np.array([1, 1, 5, 40, 1, 300])
+    taken = [gbdt.drawn(np.random.default_rng(i), many, 250) for i in range(400)]
+    assert all(t.sum() == 250 and (t >= 0).all() and (t <= many).all() for t in taken)
+    assert np.allclose(np.mean(taken, axis=0) / many, 250 / many.sum(), atol=0.06)
+    odd = [None, float("nan"), -0.0, 0.0, 1.0]
+    rows = [(i, 2000 + i // 3000, i % 3 if i % 7 else (i // 7) % 3, odd[i % 5], float(i // 5 % 4)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "fixture_id long, season int, target int, a double, b double")
+    sizes, code = [], gbdt._coded
+    monkeypatch.setattr(gbdt, "_coded", lambda rows, *a: sizes.append(rows.count()) or code(rows, *a))
+    out = gbdt.fold_probabilities(df, spark.createDataFrame([(0, 2001)], "fold int, season int"), ["a", "b"], gbdt.BoostConfig(rounds=3)).collect()
+    assert sorted(r.fixture_id for r in out) == list(range(3000, 6000))
+    assert sizes == [16, 16]  # null, NaN, zero and one; either zero is the same
+    held = {}
+    for r in out:
+        held.setdefault((str(odd[r.fixture_id % 5]).lstrip("-"), r.fixture_id // 5 % 4), set()).add(tuple(r.p))
+    assert len(held) == 16 and all(len(p) == 1 for p in held.values())
+
+
+def test_edges_count_a_row_as_often_as_it_stands_for_one(spark, monkeypatch):
+    monkeypatch.setattr(gbdt, "REPEATS", 7)
+    df = spark.createDataFrame([(0, i % 3, float(min(i, 900))) for i in range(1000)] + [(1, i % 3, float(i % 10)) for i in range(500)], "fold int, target int, a double")
+    edges = gbdt.fold_edges(gbdt.alike(df, ["fold"], ["a"]), ["a"], 8)
+    assert np.allclose(edges[0][0], [124, 249, 374, 499, 624, 749, 874], atol=2) and edges[1][0].tolist() == [1, 2, 3, 4, 6, 7, 8]

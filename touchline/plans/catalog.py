@@ -326,9 +326,9 @@ def dixon_coles_fitted_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gbdt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every season that has an earlier one, predicted once from all earlier ones by the production setting."""
-    snaps = asof.snapshots(source.from_orders(spark, sf_dir)).where("target is not null")
-    folds = spark.createDataFrame(list(enumerate(_seasons(snaps))), "fold int, season int")
-    return gbdt.fold_probabilities(snaps, folds, asof.FEATURES, gbdt.BoostConfig()).select("fixture_id", "fold", *_triple())
+    fx = source.from_orders(spark, sf_dir)
+    folds = spark.createDataFrame(list(enumerate(_seasons(fx.where("is_final")))), "fold int, season int")  # every final fixture has goals, so a target
+    return gbdt.fold_probabilities(asof.snapshots(fx).where("target is not null"), folds, asof.FEATURES, gbdt.BoostConfig()).select("fixture_id", "fold", *_triple())
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
