@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import probability as P
 from touchline.operators import backtest, gbdt, models, scoring
-from touchline.session import checkpointed
+from touchline.session import FITS, checkpointed, started
 
 PROTOCOL = "walk-forward"
 
@@ -26,17 +27,24 @@ class Backtest:
     report: dict
 
 
-def predictions_of(dealt: DataFrame, features: list[str], config: gbdt.BoostConfig, folds: list[int]) -> DataFrame:
-    """fixture_id, fold, raw, p of the rows to evaluate: boosted on a fold's training rows, calibrated on its calibration rows."""
-    flagged = dealt.withColumn("trains", F.col("role") == "train")
-    raw = gbdt.dealt_probabilities(flagged, features, config).join(dealt.where("role <> 'train'").select("fixture_id", "fold", "role", "target"), ["fixture_id", "fold"])
-    raw = checkpointed(raw)
-    parts = []
-    for fold in folds:  # a plan has a handful
+def predictions_of(examples: DataFrame, roles: DataFrame, features: list[str], config: gbdt.BoostConfig, folds: list[int]) -> DataFrame:
+    """fixture_id, kickoff, target, fold, raw, p of the rows to evaluate: boosted on a fold's training rows, calibrated on its calibration rows; ``roles`` has kickoff, fold, role.
+
+    Training rows alike in all features are made one before they are dealt to the folds, as most of a kickoff's are.
+    """
+    train = gbdt.alike(examples, ["kickoff"], features).persist().join(roles.where("role = 'train'"), "kickoff")
+    grown = gbdt.grown_alike(train.select("fold", *features, *gbdt.COUNTS), features, config)
+    asked = examples.join(roles.where("role <> 'train'"), "kickoff")
+    raw = checkpointed(gbdt.boosted_probabilities(asked, *grown, features, config, carry=["kickoff", "role", "target"]))
+
+    def calibrated(fold: int) -> DataFrame:
         own = raw.where(F.col("fold") == fold)
         curves = models.fit_isotonic(own.where("role = 'calibrate'"))
-        parts.append(own.where("role = 'evaluate'").select("fixture_id", "fold", F.col("p").alias("raw"), models.calibrate(F.col("p"), curves).alias("p")))
-    return reduce(DataFrame.unionByName, parts)
+        return own.where("role = 'evaluate'").select("fixture_id", "kickoff", "target", "fold", F.col("p").alias("raw"), models.calibrate(F.col("p"), curves).alias("p"))
+
+    with ThreadPoolExecutor(FITS) as pool:  # a plan has a handful of folds
+        fits = list(map(partial(started, pool, examples.sparkSession, calibrated), folds))
+        return reduce(DataFrame.unionByName, [fit.result() for fit in fits])
 
 
 def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig = backtest.PlanConfig(), boost: gbdt.BoostConfig | None = None, schema: str = "1", mode: str = "append-only", proof: dict | None = None) -> Backtest:
@@ -44,13 +52,12 @@ def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig =
     spark = examples.sparkSession
     examples = checkpointed(examples.select("fixture_id", "kickoff", "as_of", "target_available", "target", *features))
     stages = backtest.plan(examples.select("fixture_id", "kickoff", "as_of", "target_available"), config)
-    dealt = checkpointed(backtest.deal(examples, stages))
-    found = checkpointed(predictions_of(dealt, features, boost or gbdt.BoostConfig(), sorted({r.fold for r in stages})))
-    truth = examples.select(F.col("fixture_id").alias("key"), "kickoff", "target", P.week_block(F.col("kickoff")).alias("block"))
-    rows = found.select(F.lit("boosted_isotonic").alias("model_id"), F.col("fixture_id").alias("key"), "fold", "p").unionByName(found.select(F.lit("boosted_raw").alias("model_id"), F.col("fixture_id").alias("key"), "fold", F.col("raw").alias("p")))
-    scored = scoring.score(rows.join(truth, "key"))
+    roles = checkpointed(backtest.roles(examples, stages))
+    found = checkpointed(predictions_of(examples, roles, features, boost or gbdt.BoostConfig(), sorted({r.fold for r in stages})))
+    of = lambda model, p: found.select(F.lit(model).alias("model_id"), F.col("fixture_id").alias("key"), "fold", "kickoff", "target", P.week_block(F.col("kickoff")).alias("block"), F.col(p).alias("p"))
+    scored = scoring.score(of("boosted_isotonic", "p").unionByName(of("boosted_raw", "raw")))
     measures = [F.count("*").alias("n"), F.min("kickoff").alias("first_kickoff"), F.max("kickoff").alias("last_kickoff"), *(F.avg(c).alias(c) for c in ("brier", "log_loss", "argmax_hit"))]
-    folds = scored.groupingSets([("model_id",), ("model_id", "fold")], "model_id", "fold").agg(*measures)
+    folds = checkpointed(scored.groupingSets([("model_id",), ("model_id", "fold")], "model_id", "fold").agg(*measures))
     whole = folds.where("model_id = 'boosted_isotonic' and fold is null").first()
     report = {
         "protocol": PROTOCOL if backtest.is_forward(stages) else "other",
@@ -71,7 +78,7 @@ def run(examples: DataFrame, features: list[str], config: backtest.PlanConfig =
     if proof is not None:
         report["pointInTimeProvenance"] = proof
     backtest.apply_gate(spark, report, schema, mode)
-    return Backtest(stages, found, folds, report)
+    return Backtest(stages, found.select("fixture_id", "fold", "raw", "p"), folds, report)
 
 
 def final_tables(examples: DataFrame, features: list[str], done: Backtest, boost: gbdt.BoostConfig | None = None) -> dict[str, DataFrame]:

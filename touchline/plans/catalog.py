@@ -460,7 +460,7 @@ def fold_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the whole backtest by fold and pooled (fold null), raw and calibrated, with the gate's verdict."""
-    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
+    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir)).persist()  # goals are drawn once
     done = walkforward.run(asof.snapshots(fx).where("target is not null"), asof.FEATURES)
     verdict = F.lit("; ".join(done.report["gate"]["failures"]))
     return done.folds.select("model_id", "fold", "n", "first_kickoff", "last_kickoff", *(_r(c).alias(c) for c in ("brier", "log_loss", "argmax_hit")), verdict.alias("gate_failures"))
@@ -516,7 +516,7 @@ def cold_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def systems_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten systems with their ranks, on every season before which another one has out-of-fold predictions to calibrate on."""
-    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir))
+    fx = source.with_drawn_goals(source.from_orders(spark, sf_dir)).persist()  # goals are drawn once
     odds = source.odds_from_orders(spark, sf_dir).select(F.col("key").alias("fixture_id"), "odds")
     rows = systems.predict_all(fx, odds, _seasons(fx.where("is_final"), 2, models.LEAST_MATCHES), gbdt.BoostConfig(), 1)
     truth = fx.select("fixture_id", P.week_block(F.col("kickoff")).alias("block"), P.outcome(F.col("home_goals"), F.col("away_goals")).alias("target"))
