@@ -786,3 +786,21 @@ def test_edges_count_a_row_as_often_as_it_stands_for_one(spark, monkeypatch):
     df = spark.createDataFrame([(0, i % 3, float(min(i, 900))) for i in range(1000)] + [(1, i % 3, float(i % 10)) for i in range(500)], "fold int, target int, a double")
     edges = gbdt.fold_edges(gbdt.alike(df, ["fold"], ["a"]), ["a"], 8)
     assert np.allclose(edges[0][0], [124, 249, 374, 499, 624, 749, 874], atol=2) and edges[1][0].tolist() == [1, 2, 3, 4, 6, 7, 8]
+
+
+def test_walk_forward_deals_rows_alike_as_one(spark, monkeypatch):
+    """Every training row was dealt to each fold by itself, and the rows to evaluate were joined to their targets again."""
+    day, held, grow = asof.DAY, [], gbdt.grown_alike
+    rows = [(i, (i // 6) * day, i % 3, float(i // 6 % 5)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "fixture_id long, kickoff long, target int, a double").withColumns({"as_of": F.col("kickoff") - day, "target_available": F.col("kickoff") + day})
+
+    def spied(train, *more):
+        held.extend(train.collect())
+        return grow(train, *more)
+
+    monkeypatch.setattr(gbdt, "grown_alike", spied)
+    done = walkforward.run(df, ["a"], boost=gbdt.BoostConfig(rounds=2))
+    sizes = {(r.fold, r.role): r.to_row - r.from_row for r in done.stages}
+    assert len(held) == sum(n for (_, role), n in sizes.items() if role == "train") // 6
+    assert all(r[n] == 2 for r in held for n in gbdt.COUNTS)
+    assert sorted(r.fixture_id for r in done.predictions.collect()) == list(range(1800 - sum(n for (_, role), n in sizes.items() if role == "evaluate"), 1800))
